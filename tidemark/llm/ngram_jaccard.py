@@ -206,7 +206,7 @@ def _open_pair(percent: int):
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens").combine_chunks()]
         side = np.array(table.column("side").to_pylist())
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(left) or not len(right):  # a group with itself
+        if not len(right):  # a group with itself
             left = right = np.arange(len(ids))
         links = _links_between(ids, sets, left, right, percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
@@ -247,22 +247,23 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketc
 
     text_of = maybe_in(docs, "doc_id", id_bitmap(reps, "doc_id"))
     prefixes = text_of.mapInArrow(_prefixes(words, percent, sketch_bits, levels), "doc_id long, prefix array<long>")
-    matrix = prefixes.join(groups.select("doc_id", "group"), "doc_id").select(F.explode("prefix").alias("token"), "group").distinct()
-    cells = materialize(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("group").alias("g"), F.max("group").alias("h")).where("c > 1"))
-    busy = cells.where("c > 2").select("token")
-    pairs = cells.where("c = 2").select("g", "h")
-    if busy.limit(1).count():
-        held = materialize(matrix.join(busy, "token"))
-        pairs = pairs.unionByName(held.withColumnRenamed("group", "g").join(held.withColumnRenamed("group", "h"), "token").where("g < h").select("g", "h"))
-    own = groups.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("group").alias("g"), F.col("group").alias("h"))
-    pairs = materialize(pairs.distinct().unionByName(own))
-
-    opened = pairs.select(F.col("g").alias("group")).unionByName(pairs.select(F.col("h").alias("group"))).distinct()
-    members = materialize(groups.join(opened, "group").select("doc_id", "group"))
-    tokens = maybe_in(docs, "doc_id", id_bitmap(members, "doc_id")).mapInArrow(_whole_sets(words), "doc_id long, tokens binary")
-    tokens = materialize(tokens.join(members, "doc_id"))
-    sides = pairs.select(F.col("g").alias("group"), "g", "h", F.lit(0).alias("side")).unionByName(pairs.where("g <> h").select(F.col("h").alias("group"), "g", "h", F.lit(1).alias("side")))
-    links = sides.join(tokens, "group").select("g", "h", "side", "doc_id", "tokens").groupBy("g", "h").applyInArrow(_open_pair(percent), "a long, b long")
+    prefixes = materialize(prefixes.join(groups, "doc_id"))
+    entries = prefixes.select(F.explode("prefix").alias("token"), "group", F.struct("n", "doc_id").alias("doc"))
+    shared = materialize(entries.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g < h").select("token"))
+    # the matrix, where it can matter: tokens of two groups or more, with the sets of each group that they bound
+    matrix = maybe_in(entries, "token", id_bitmap(shared, "token")).join(shared, "token")
+    matrix = materialize(matrix.groupBy("token", "group").agg(F.collect_list("doc").alias("docs")))
+    pairs = matrix.select("token", F.col("group").alias("g"), F.col("docs").alias("left")).join(matrix.select("token", F.col("group").alias("h"), F.col("docs").alias("right")), "token").where("g < h")
+    pairs = pairs.groupBy("g", "h").agg(F.array_distinct(F.flatten(F.collect_list("left"))).alias("left"), F.array_distinct(F.flatten(F.collect_list("right"))).alias("right"))
+    near = f"exists({{other}}, y -> 100 * y.n >= {percent} * x.n and 100 * x.n >= {percent} * y.n)"
+    pairs = materialize(pairs.select("g", "h", F.expr(f"filter(left, x -> {near.format(other='right')})").alias("left"), F.expr(f"filter(right, x -> {near.format(other='left')})").alias("right")).where("size(left) > 0"))
+    own = groups.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "group").select(F.col("group").alias("g"), F.col("group").alias("h"), F.lit(0).alias("side"), "doc_id")
+    sides = [pairs.select("g", "h", F.lit(i).alias("side"), F.explode(F.col(x).getField("doc_id")).alias("doc_id")) for i, x in enumerate(("left", "right"))]
+    opened = materialize(own.unionByName(sides[0]).unionByName(sides[1]))
+
+    tokens = maybe_in(docs, "doc_id", id_bitmap(opened, "doc_id")).mapInArrow(_whole_sets(words), "doc_id long, tokens binary")
+    tokens = materialize(tokens.join(reps.select("doc_id"), "doc_id"))
+    links = opened.join(tokens, "doc_id").select("g", "h", "side", "doc_id", "tokens").groupBy("g", "h").applyInArrow(_open_pair(percent), "a long, b long")
     components = connected_components(links)
 
     of_class = classes.select("sig_a", "sig_b", "n", F.col("first.doc_id").alias("rep"))
