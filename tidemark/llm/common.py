@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text is hashed in pieces of about this many bytes, so that a task's arrays stay small.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Bits of a membership bitmap: 2 MiB when broadcast, whatever the size of the corpus.
 ID_BITS = 24
 
@@ -109,20 +109,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets of the rows in them), about SLICE_BYTES at a time; null is empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_binary()), b"")
-    if len(column) == 0:
-        return
-    _, offset_buffer, data = column.buffers()
-    offsets = np.frombuffer(offset_buffer, np.int64)[column.offset : column.offset + len(column) + 1]
-    everything = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    at, n = 0, len(column)
-    while at < n:
-        end = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1
-        end = min(n, max(end, at + 1))
-        yield at, end, everything[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
-        at = end
+    for first in range(0, len(column), 1024):
+        part = pc.fill_null(column.slice(first, 1024).cast(pa.large_binary()), b"")
+        _, offset_buffer, data = part.buffers()
+        offsets = np.frombuffer(offset_buffer, np.int64)[part.offset : part.offset + len(part) + 1]
+        everything = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        at, n = 0, len(part)
+        while at < n:
+            end = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1
+            end = min(n, max(end, at + 1))
+            yield first + at, first + end, everything[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+            at = end
 
 
 def segment(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,6 +172,27 @@ def signed(a: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(a).view(np.int64)
 
 
+def pack_gaps(sorted_cells: np.ndarray) -> np.ndarray:
+    """Sorted cells as gaps of one byte, 255 standing for 255 and more to come."""
+    gaps = np.diff(sorted_cells, prepend=0)
+    many, rest = gaps // 255, gaps % 255
+    ends = np.cumsum(many + 1)
+    out = np.full(int(ends[-1]), 255, np.uint8)
+    out[ends - 1] = rest
+    return out
+
+
+def unpack_gaps(packed: np.ndarray) -> np.ndarray:
+    return np.cumsum(packed, dtype=np.int64)[packed != 255]
+
+
+def packed_blocks(cells: np.ndarray, block_bits: int) -> tuple[list[int], list[np.ndarray]]:
+    """Numbers of the blocks that the cells fall in, and the packed cells of each."""
+    cells = np.sort(cells)
+    parts = np.split(cells, np.flatnonzero(np.diff(cells >> block_bits)) + 1)
+    return [int(p[0] >> block_bits) for p in parts], [pack_gaps(p & ((1 << block_bits) - 1)) for p in parts]
+
+
 def binary_rows(parts: list[np.ndarray]) -> pa.Array:
     """Each array's bytes as one binary value."""
     return pa.array([x.tobytes() for x in parts], pa.binary())

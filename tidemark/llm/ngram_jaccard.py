@@ -9,8 +9,9 @@ where that bound allows it; inside, intersections are counted exactly.
 * Groups come from min-hash keys and are cut to a bounded number of shingles, so no family of near
   copies, however large, meets in one task; a large family becomes many groups, compared two at a
   time.
-* The matrix holds a set's *prefix* only: its n - ceil(t n) + 1 rarest shingles. Two sets over the
-  threshold share one of those. Rarity comes from a merged count sketch over all documents, whose
+* The matrix holds a set's *prefix* only: its n - ceil(t n) + m rarest shingles. Two sets over the
+  threshold share m of those (the smaller m of both), so that many a group must share with a set to
+  be opened for it. Rarity comes from a merged count sketch over all documents, whose
   fixed size bounds what is broadcast; any order gives the same links, a good one keeps lines that
   a third of the documents share out of the prefixes.
 * A pair of groups yields a spanning forest of its links, not all of them, and components follow
@@ -29,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import binary_rows, connected_components, documents, id_bitmap, materialize, maybe_in, mix, ngrams, signed, text_slices, words_of
+from tidemark.llm.common import binary_rows, connected_components, documents, id_bitmap, materialize, maybe_in, mix, ngrams, packed_blocks, signed, text_slices, unpack_gaps, words_of
 
-#: log2 of the sketch's counters: 2 MiB of bytes when broadcast.
-SKETCH_BITS = 21
-SKETCH_BLOCK = 1 << 16
+#: log2 of the sketch's counters, at most: 16 MiB of bytes when broadcast.
+SKETCH_BITS = 24
+BLOCK_BITS = 16
 #: Shingles and sets that a group holds at most, on average.
 GROUP_SHINGLES, GROUP_SETS = 1 << 17, 256
 KEYS = 4
@@ -68,8 +69,13 @@ def _profile(k: int, bits: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64())] + [(f"key{i}", pa.int64()) for i in range(KEYS)] + [("block", pa.int32()), ("data", pa.binary())])
 
     def run(batches):
-        counters = np.zeros(1 << bits, np.int32)
         waiting, held = [], 0
+
+        def sketched():
+            numbers, parts = packed_blocks(_cells(np.concatenate(waiting), bits), min(BLOCK_BITS, bits))
+            none = [pa.nulls(len(numbers), pa.int64()) for _ in range(4 + KEYS)]
+            return pa.RecordBatch.from_arrays([*none, pa.array(numbers, pa.int32()), binary_rows(parts)], schema=schema)
+
         for batch in batches:
             n, a, b, keys = [], [], [], [[] for _ in range(KEYS)]
             for _, sets in shingle_sets(batch.column("text"), k):
@@ -82,45 +88,49 @@ def _profile(k: int, bits: int):
                 waiting.append(np.concatenate(sets))
                 held += len(waiting[-1])
                 if held > 1 << 21:
-                    counters += np.bincount(_cells(np.concatenate(waiting), bits), minlength=1 << bits).astype(np.int32)
+                    yield sketched()
                     waiting, held = [], 0
             columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())] + [pa.array(x, pa.int64()) for x in keys]
             columns += [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
         if held:
-            counters += np.bincount(_cells(np.concatenate(waiting), bits), minlength=1 << bits).astype(np.int32)
-        data = np.minimum(counters, 255).astype(np.uint8)
-        size = min(SKETCH_BLOCK, 1 << bits)
-        blocks = [i for i in range(len(data) // size) if data[i * size : (i + 1) * size].any()]
-        if blocks:
-            none = [pa.nulls(len(blocks), pa.int64()) for _ in range(4 + KEYS)]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(blocks, pa.int32()), binary_rows([data[i * size : (i + 1) * size] for i in blocks])], schema=schema)
+            yield sketched()
 
     return run, "doc_id long, n long, sig_a long, sig_b long, " + ", ".join(f"key{i} long" for i in range(KEYS)) + ", block int, data binary"
 
 
-def _merge_blocks(batches):
-    """Sums the counters of each block; a task holds the blocks dealt to it, 256 KiB each."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
-            own = np.frombuffer(data.as_buffer(), np.uint8).astype(np.int64)
-            total[block] = total[block] + own if block in total else own
-    if total:
-        levels = [np.floor(np.log2(np.maximum(x, 1))).astype(np.uint8) for x in total.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), binary_rows(levels)], names=["block", "data"])
+def _merge_blocks(bits: int):
+    """log2 of the count in each cell of a block; a task holds the blocks dealt to it, 256 KiB each."""
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        size = 1 << min(BLOCK_BITS, bits)
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
+                counts = total.setdefault(block, np.zeros(size, np.int32))
+                counts += np.bincount(unpack_gaps(np.frombuffer(data.as_buffer(), np.uint8)), minlength=size).astype(np.int32)
+        if total:
+            levels = [np.floor(np.log2(np.maximum(x, 1))).astype(np.uint8) for x in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), binary_rows(levels)], names=["block", "data"])
+
+    return run
 
 
 def rarity_levels(blocks: DataFrame, bits: int) -> np.ndarray:
     """log2 of the estimated number of documents with a shingle, by its cell: 2**bits bytes on the driver."""
-    size = min(SKETCH_BLOCK, 1 << bits)
+    size = 1 << min(BLOCK_BITS, bits)
     levels = np.zeros(1 << bits, np.uint8)
-    merged = blocks.select("block", "data").repartition("block").mapInArrow(_merge_blocks, "block int, data binary")
-    for block, data in merged.collect():
+    merged = blocks.select("block", "data").repartition("block").mapInArrow(_merge_blocks(bits), "block int, data binary")
+    for block, data in merged.toLocalIterator():
         levels[block * size : (block + 1) * size] = np.frombuffer(data, np.uint8)
     return levels
 
 
+def least_shared(n):
+    """Shingles that the prefixes of two linked sets share at least, for the smaller size n: prefixes are as much longer."""
+    return 1 + n * 4 // 100
+
+
 def _prefixes(k: int, percent: int, bits: int, levels):
     def run(batches):
         table = levels.value
@@ -129,7 +139,7 @@ def _prefixes(k: int, percent: int, bits: int, levels):
             for _, sets in shingle_sets(batch.column("text"), k):
                 for s in sets:
                     n = len(s)
-                    keep = n - (percent * n + 99) // 100 + 1 if n else 0
+                    keep = n - (percent * n + 99) // 100 + least_shared(n) if n else 0
                     if keep < n:
                         level = table[_cells(s, bits)]
                         s = s[np.lexsort((s, level))[:keep]]
@@ -234,6 +244,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketc
     words: words a shingle has; percent: least Jaccard similarity of a link, in hundredths."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sketch_bits = min(sketch_bits, max(12, (size // 12).bit_length()))
     run, schema = _profile(words, sketch_bits)
     both = materialize(docs.mapInArrow(run, schema))
     profile = both.where("block is null")
@@ -254,15 +266,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketc
     matrix = maybe_in(entries, "token", id_bitmap(shared, "token")).join(shared, "token")
     matrix = materialize(matrix.groupBy("token", "group").agg(F.collect_list("doc").alias("docs")))
     pairs = matrix.select("token", F.col("group").alias("g"), F.col("docs").alias("left")).join(matrix.select("token", F.col("group").alias("h"), F.col("docs").alias("right")), "token").where("g < h")
-    pairs = pairs.groupBy("g", "h").agg(F.array_distinct(F.flatten(F.collect_list("left"))).alias("left"), F.array_distinct(F.flatten(F.collect_list("right"))).alias("right"))
+    pairs = pairs.groupBy("g", "h").agg(F.count(F.lit(1)).alias("overlap"), F.array_distinct(F.flatten(F.collect_list("left"))).alias("left"), F.array_distinct(F.flatten(F.collect_list("right"))).alias("right"))
+    fewest = F.expr("array_min(transform(concat(left, right), x -> x.n))")
+    pairs = pairs.where(F.col("overlap") >= 1 + F.floor(fewest * 4 / 100))
     near = f"exists({{other}}, y -> 100 * y.n >= {percent} * x.n and 100 * x.n >= {percent} * y.n)"
     pairs = materialize(pairs.select("g", "h", F.expr(f"filter(left, x -> {near.format(other='right')})").alias("left"), F.expr(f"filter(right, x -> {near.format(other='left')})").alias("right")).where("size(left) > 0"))
-    own = groups.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "group").select(F.col("group").alias("g"), F.col("group").alias("h"), F.lit(0).alias("side"), "doc_id")
+    own = groups.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"), F.max("n").alias("high")).where(f"c > 2 or c = 2 and 100 * low >= {percent} * high").drop("low", "high"), "group").select(F.col("group").alias("g"), F.col("group").alias("h"), F.lit(0).alias("side"), "doc_id")
     sides = [pairs.select("g", "h", F.lit(i).alias("side"), F.explode(F.col(x).getField("doc_id")).alias("doc_id")) for i, x in enumerate(("left", "right"))]
     opened = materialize(own.unionByName(sides[0]).unionByName(sides[1]))
 
     tokens = maybe_in(docs, "doc_id", id_bitmap(opened, "doc_id")).mapInArrow(_whole_sets(words), "doc_id long, tokens binary")
-    tokens = materialize(tokens.join(reps.select("doc_id"), "doc_id"))
     links = opened.join(tokens, "doc_id").select("g", "h", "side", "doc_id", "tokens").groupBy("g", "h").applyInArrow(_open_pair(percent), "a long, b long")
     components = connected_components(links)
 
