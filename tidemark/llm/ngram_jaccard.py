@@ -282,7 +282,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketc
     of_class = classes.select("sig_a", "sig_b", "n", F.col("first.doc_id").alias("rep"))
     of_class = of_class.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("sig_a", "sig_b", "n", F.coalesce("component", "rep").alias("component_id"))
     found = profile.join(materialize(of_class), ["sig_a", "sig_b", "n"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
@@ -291,7 +291,7 @@ def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays: the one with the smallest id."""
+    """One document of each near-duplicate component stays: the one with the smallest id. Rows without doc_id stay."""
     kept = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"] == kept["kept_id"]).drop("kept_id")
-    return out.dropDuplicates(["doc_id"])
+    named = docs.join(kept, docs["doc_id"] == kept["kept_id"]).drop("kept_id").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))

@@ -2,8 +2,40 @@
 
 from __future__ import annotations
 
+from tidemark.llm.best_fit_packing import op3_best_fit_packing
+from tidemark.llm.language_id import op4_language_id
+from tidemark.llm.license_scan import op9_license_scan
+from tidemark.llm.line_dedup import op10_line_dedup
 from tidemark.llm.ngram_jaccard import op1_ngram_jaccard
+from tidemark.llm.quality_rules import op5_quality_rules
+from tidemark.llm.secret_scan import op6_secret_scan
+from tidemark.llm.source_mix import op7_source_mix
+from tidemark.llm.substring_dedup import op8_substring_dedup
+from tidemark.llm.syncmer_fingerprint import op2_syncmer_fingerprint
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard,)}
+
+def pipeline(spark, sf_dir: str):
+    """All stages of corpus_pipeline.py, applied to documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard,
+        op2_syncmer_fingerprint,
+        op3_best_fit_packing,
+        op4_language_id,
+        op5_quality_rules,
+        op6_secret_scan,
+        op7_source_mix,
+        op8_substring_dedup,
+        op9_license_scan,
+        op10_line_dedup,
+        pipeline,
+    )
+}
 
 ORACLE: dict[str, str] = {}
