@@ -87,7 +87,7 @@ def _profile(k: int, bits: int):
                     keys[i] += [int(mix(s ^ seeds[i]).min().view(np.int64)) if len(s) else 0 for s in sets]
                 waiting.append(np.concatenate(sets))
                 held += len(waiting[-1])
-                if held > 1 << 21:
+                if held > 1 << 20:
                     yield sketched()
                     waiting, held = [], 0
             columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())] + [pa.array(x, pa.int64()) for x in keys]
@@ -261,19 +261,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketc
     prefixes = text_of.mapInArrow(_prefixes(words, percent, sketch_bits, levels), "doc_id long, prefix array<long>")
     prefixes = materialize(prefixes.join(groups, "doc_id"))
     entries = prefixes.select(F.explode("prefix").alias("token"), "group", F.struct("n", "doc_id").alias("doc"))
-    shared = materialize(entries.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g < h").select("token"))
-    # the matrix, where it can matter: tokens of two groups or more, with the sets of each group that they bound
+    shared = materialize(entries.groupBy("token").agg(F.min("doc.doc_id").alias("a"), F.max("doc.doc_id").alias("b")).where("a < b").select("token"))
+    # the matrix, where it can matter: tokens of two sets or more, with the sets of each group that they bound
     matrix = maybe_in(entries, "token", id_bitmap(shared, "token")).join(shared, "token")
     matrix = materialize(matrix.groupBy("token", "group").agg(F.collect_list("doc").alias("docs")))
-    pairs = matrix.select("token", F.col("group").alias("g"), F.col("docs").alias("left")).join(matrix.select("token", F.col("group").alias("h"), F.col("docs").alias("right")), "token").where("g < h")
+    pairs = matrix.select("token", F.col("group").alias("g"), F.col("docs").alias("left")).join(matrix.select("token", F.col("group").alias("h"), F.col("docs").alias("right")), "token").where("g < h or g = h and size(left) > 1")
     pairs = pairs.groupBy("g", "h").agg(F.count(F.lit(1)).alias("overlap"), F.array_distinct(F.flatten(F.collect_list("left"))).alias("left"), F.array_distinct(F.flatten(F.collect_list("right"))).alias("right"))
     fewest = F.expr("array_min(transform(concat(left, right), x -> x.n))")
     pairs = pairs.where(F.col("overlap") >= 1 + F.floor(fewest * 4 / 100))
-    near = f"exists({{other}}, y -> 100 * y.n >= {percent} * x.n and 100 * x.n >= {percent} * y.n)"
+    near = f"exists({{other}}, y -> y.doc_id <> x.doc_id and 100 * y.n >= {percent} * x.n and 100 * x.n >= {percent} * y.n)"
     pairs = materialize(pairs.select("g", "h", F.expr(f"filter(left, x -> {near.format(other='right')})").alias("left"), F.expr(f"filter(right, x -> {near.format(other='left')})").alias("right")).where("size(left) > 0"))
-    own = groups.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"), F.max("n").alias("high")).where(f"c > 2 or c = 2 and 100 * low >= {percent} * high").drop("low", "high"), "group").select(F.col("group").alias("g"), F.col("group").alias("h"), F.lit(0).alias("side"), "doc_id")
-    sides = [pairs.select("g", "h", F.lit(i).alias("side"), F.explode(F.col(x).getField("doc_id")).alias("doc_id")) for i, x in enumerate(("left", "right"))]
-    opened = materialize(own.unionByName(sides[0]).unionByName(sides[1]))
+    sides = [pairs.where("g < h" if i else "true").select("g", "h", F.lit(i).alias("side"), F.explode(F.col(x).getField("doc_id")).alias("doc_id")) for i, x in enumerate(("left", "right"))]
+    opened = materialize(sides[0].unionByName(sides[1]))
 
     tokens = maybe_in(docs, "doc_id", id_bitmap(opened, "doc_id")).mapInArrow(_whole_sets(words), "doc_id long, tokens binary")
     links = opened.join(tokens, "doc_id").select("g", "h", "side", "doc_id", "tokens").groupBy("g", "h").applyInArrow(_open_pair(percent), "a long, b long")
