@@ -1,15 +1,15 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A k-mer of a text's UTF-8 bytes is an anchor if the smallest hash of its inner s-mers is that of
-its first or its last one. That depends on the k-mer alone, so a passage keeps its anchors wherever
-it stands, and the anchors of two joined texts are those of each and of the bytes around the seam.
-A fingerprint is the `size` anchors of the smallest hashes, with their places, as "hash:place"
-words. Texts of under `SHORT` bytes use all s-mers instead.
+The symbols of a text are its words, long ones cut into pieces. A k-mer of symbols is an anchor if
+the smallest hash of its inner s-mers is that of its first or its last one. That depends on the
+k-mer alone, so a passage keeps its anchors wherever it stands. A fingerprint is the `SIZE` anchors
+of the smallest hashes, with their places, as "hash:place" words. Texts of few bytes have too few
+symbols for that: all their s-mers of bytes stand in, and between `LOW` and `HIGH` bytes both are used, so
+that texts on either side of the border still compare; the better likeness counts.
 
 The likeness of two fingerprints is the Dice coefficient estimated from the smallest hashes of
 both, where an anchor counts as shared if its places differ by what the median of all shared
-anchors does, give or take `SLACK` bytes. Two empty texts are alike (1); an empty one is like no
-other (0).
+anchors does, give or take `SLACK`. Two empty texts are alike (1); an empty one is like no other (0).
 
 The next document in descending doc_id order is found without a global sort: documents are dealt
 into buckets of neighbouring ids between quantiles, a window orders each, and every bucket gets one
@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, materialize
 
-K, S = 12, 4
+#: Symbols of a k-mer and of its inner s-mers; bytes of the s-mers of short texts.
+K, S, SHORT_S = 6, 2, 4
+SYMBOL = r"[^\x20\x09-\x0D]{1,16}"
 SIZE = 48
-SHORT = 64
+LOW, HIGH = 200, 312
 SLACK = 32
 #: Rows of a bucket, about, and quantiles that bound the buckets; within a pair of quantiles they are of equal width.
 BUCKET_ROWS, QUANTILES = 64, 64
@@ -39,18 +41,21 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def anchors_sql(text: str, k: int = K, s: int = S) -> str:
-    """All closed syncmers of a binary expression, as structs of hash and place (bytes from 1)."""
-    w = k - s
-    inner = f"transform(sequence(1, octet_length(b) - {s - 1}), i -> xxhash64(substring(b, i, {s})))"
-    edge = f"array_min(slice(m, i, {w + 1})) >= least(m[i - 1], m[i + {w - 1}])"
-    chosen = f"transform(filter(sequence(1, octet_length(b) - {k - 1}), i -> {edge}), i -> named_struct('h', xxhash64(substring(b, i, {k})) & {_MASK}L, 'place', i))"
-    return let("b", text, f"if(octet_length(b) >= {k}, {let('m', inner, chosen)}, cast(array() as {_ANCHORS}))")
+def anchors_sql(text: str) -> str:
+    """All closed syncmers of a text, as structs of hash and place (symbols from 0). The s-mers of a
+    k-mer at i are those at i to i + K - S; an anchor's hash covers its symbols once each."""
+    inner = f"if(size(w) >= {S}, transform(sequence(0, size(w) - {S}), i -> xxhash64({', '.join(f'w[i + {j}]' for j in range(S))})), cast(array() as array<bigint>))"
+    last = K - S
+    edge = f"least(m[i], m[i + {last}]) <= least({', '.join(f'm[i + {j}]' for j in range(1, last))})"
+    whole = ", ".join(f"m[i + {j}]" for j in range(0, K, S))
+    chosen = f"transform(filter(sequence(0, size(m) - {last + 1}), i -> {edge}), i -> named_struct('h', (xxhash64({whole}) & {_MASK}L) * 2, 'place', i))"
+    return let("w", f"regexp_extract_all({text}, r'{SYMBOL}', 0)", let("m", inner, f"if(size(m) > {last}, {chosen}, cast(array() as {_ANCHORS}))"))
 
 
-def all_inner_sql(text: str, s: int = S) -> str:
-    """Every s-mer of a short binary expression; a shorter one as a whole."""
-    return let("b", text, f"if(octet_length(b) = 0, cast(array() as {_ANCHORS}), transform(sequence(1, greatest(octet_length(b) - {s - 1}, 1)), i -> named_struct('h', xxhash64(substring(b, i, {s})) & {_MASK}L, 'place', i)))")
+def all_inner_sql(text: str, s: int = SHORT_S) -> str:
+    """Every s-mer of bytes of a short text; a shorter one as a whole."""
+    every = f"transform(sequence(1, greatest(octet_length(b) - {s - 1}, 1)), i -> named_struct('h', (xxhash64(substring(b, i, {s})) & {_MASK}L) * 2 + 1, 'place', i))"
+    return let("b", f"cast({text} as binary)", f"if(octet_length(b) = 0, cast(array() as {_ANCHORS}), {every})")
 
 
 def smallest_sql(anchors: str, size: int = SIZE) -> str:
@@ -58,9 +63,10 @@ def smallest_sql(anchors: str, size: int = SIZE) -> str:
     return let("a", f"array_sort({anchors})", f"slice(filter(a, (x, i) -> i = 0 or a[i - 1].h <> x.h), 1, {size})")
 
 
-def sketch_sql(text: str, anchors: str, size: int = SIZE) -> str:
-    short = smallest_sql(all_inner_sql(text), size)
-    return f"if(octet_length({text}) < {SHORT}, {short}, {smallest_sql(anchors, size)})"
+def sketch_sql(text: str, size: int = SIZE) -> str:
+    """Anchors of symbols have even hashes, s-mers of bytes odd ones."""
+    none = f"cast(array() as {_ANCHORS})"
+    return f"concat(if(octet_length({text}) < {HIGH}, {smallest_sql(all_inner_sql(text), size)}, {none}), if(octet_length({text}) >= {LOW}, {smallest_sql(anchors_sql(text), size)}, {none}))"
 
 
 def spelled_sql(sketch: str) -> str:
@@ -68,19 +74,25 @@ def spelled_sql(sketch: str) -> str:
 
 
 def likeness_sql(a: str, b: str, size: int = SIZE) -> str:
-    """0 to 1, from two sketches."""
+    """0 to 1, from two sketches: the better of what their symbols and their bytes say."""
+    kind = lambda sketch, odd: f"filter({sketch}, x -> x.h % 2 = {odd})"
+    both = [let("p", kind(a, odd), let("q", kind(b, odd), _alike_sql("p", "q", size))) for odd in (0, 1)]
+    return f"case when size({a}) = 0 and size({b}) = 0 then 1.0D else greatest({', '.join(both)}) end"
+
+
+def _alike_sql(a: str, b: str, size: int) -> str:
     union = f"slice(array_sort(array_union({a}.h, {b}.h)), 1, {size})"
     common = f"array_intersect(u, array_intersect({a}.h, {b}.h))"
-    shifts = f"zip_with(filter({a}, x -> array_contains(c, x.h)).place, filter({b}, x -> array_contains(c, x.h)).place, (p, q) -> q - p)"
+    shifts = f"zip_with(filter({a}, x -> array_contains(c, x.h)).place, filter({b}, x -> array_contains(c, x.h)).place, (x, y) -> y - x)"
     steady = let("d", f"array_sort({shifts})", f"size(filter(d, x -> abs(x - d[cast(size(d) div 2 as int)]) <= {SLACK}))")
     share = let("u", union, let("j", f"{let('c', common, f'if(size(c) = 0, 0, {steady})')} / size(u)", "2 * j / (1 + j)"))
-    return f"case when size({a}) = 0 and size({b}) = 0 then 1.0D when size({a}) = 0 or size({b}) = 0 then 0.0D else cast({share} as double) end"
+    return f"if(size({a}) = 0 or size({b}) = 0, 0.0D, cast({share} as double))"
 
 
 def fingerprints(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_chars, fingerprint."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sketched = rows.withColumn("sketch", F.expr(let("t", "cast(text as binary)", sketch_sql("t", anchors_sql("t"), size))))
+    sketched = rows.withColumn("sketch", F.expr(sketch_sql("text", size)))
     return sketched.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.expr(spelled_sql("sketch")).alias("fingerprint"))
 
 
@@ -113,20 +125,15 @@ def op2_syncmer_fingerprint(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("doc_id"), "text")
     rows = with_next(docs).withColumn("next_text", F.lead("text").over(order))
-    rows = rows.withColumn("b", F.expr("cast(text as binary)")).withColumn("anchors", F.expr(anchors_sql("b"))).withColumn("sketch", F.expr(sketch_sql("b", "anchors")))
+    rows = rows.withColumn("sketch", F.expr(sketch_sql("text")))
     rows = rows.withColumn("next_sketch", F.lead("sketch").over(order)).where("not extra")
-
-    rows = rows.withColumn("n_chars", F.length("text")).withColumn("kept", F.expr("substring(text, 1, n_chars - n_chars div 3)"))
-    rows = rows.withColumn("given", F.expr("cast(substring(next_text, 1, cast(n_chars div 3 as int)) as binary)")).withColumn("kept", F.expr("cast(kept as binary)")).withColumn("edited", F.expr("concat(kept, given)"))
-    # the edited text's anchors: the kept part's, the given part's, and those over the seam
-    seam = anchors_sql(f"concat(substring(kept, greatest(octet_length(kept) - {K - 2}, 1), {K - 1}), substring(given, 1, {K - 1}))")
-    moved = lambda a, by: f"transform({a}, x -> named_struct('h', x.h, 'place', cast(x.place + {by} as int)))"
-    edited = f"concat(filter(anchors, x -> x.place + {K - 1} <= octet_length(kept)), {moved(seam, f'greatest(octet_length(kept) - {K - 1}, 0)')}, {moved(anchors_sql('given'), 'octet_length(kept)')})"
-    rows = rows.withColumn("edited_sketch", F.expr(sketch_sql("edited", edited)))
+    rows = rows.withColumn("n_chars", F.length("text"))
+    rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, n_chars - n_chars div 3), substring(next_text, 1, cast(n_chars div 3 as int)))"))
+    rows = rows.withColumn("edited_sketch", F.expr(sketch_sql("edited")))
     return rows.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         F.expr(spelled_sql("sketch")).alias("fingerprint"),
         F.expr(spelled_sql("edited_sketch")).alias("edited_fingerprint"),
         F.expr(likeness_sql("sketch", "edited_sketch")).alias("near_edited"),
