@@ -4,7 +4,7 @@ import tempfile
 from pathlib import Path
 
 ROOT = str(Path(__file__).resolve().parents[1])
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, str(Path(__file__).resolve().parent)]
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 import pytest
