@@ -122,7 +122,7 @@ def remove_repeated_chunks(docs: DataFrame, carry: list[str] | None = None) -> D
     # the bytes of the first and of the later occurrences, compared in the JVM
     listed = again.groupBy("doc_id").agg(F.array_sort(F.collect_set("chunk")).alias("chunks"))
     touched = id_bitmap(again.select("doc_id").distinct(), "doc_id")
-    bodies = maybe_in(named, "doc_id", touched).join(listed, "doc_id").mapInArrow(_chunk_texts, "doc_id long, chunk int, hash long, body binary")
+    bodies = maybe_in(named, "doc_id", touched).join(listed.hint("merge"), "doc_id").mapInArrow(_chunk_texts, "doc_id long, chunk int, hash long, body binary")
     bodies = materialize(bodies.join(twice, "hash"))
     first = bodies.where("doc_id = first.doc_id and chunk = first.chunk").groupBy("hash").agg(F.min("body").alias("first_body"))
     later = bodies.where("not (doc_id = first.doc_id and chunk = first.chunk)")
@@ -132,7 +132,7 @@ def remove_repeated_chunks(docs: DataFrame, carry: list[str] | None = None) -> D
     schema = "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string" + (f", row_columns {docs.schema['row_columns'].dataType.simpleString()}" if carry else "")
     losing = id_bitmap(equal, "doc_id")
     clear = maybe_in(docs, "doc_id", losing, keep=False).mapInArrow(_keep, schema)
-    joined = maybe_in(docs, "doc_id", losing).join(equal, "doc_id", "left")
+    joined = maybe_in(docs, "doc_id", losing).join(equal.hint("merge"), "doc_id", "left")
     return clear.unionByName(joined.mapInArrow(_keep, schema))
 
 
