@@ -259,7 +259,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketc
 
     text_of = maybe_in(docs, "doc_id", id_bitmap(reps, "doc_id"))
     prefixes = text_of.mapInArrow(_prefixes(words, percent, sketch_bits, levels), "doc_id long, prefix array<long>")
-    prefixes = materialize(prefixes.join(groups, "doc_id"))
+    prefixes = materialize(prefixes.join(groups.hint("merge"), "doc_id"))
     entries = prefixes.select(F.explode("prefix").alias("token"), "group", F.struct("n", "doc_id").alias("doc"))
     shared = materialize(entries.groupBy("token").agg(F.min("doc.doc_id").alias("a"), F.max("doc.doc_id").alias("b")).where("a < b").select("token"))
     # the matrix, where it can matter: tokens of two sets or more, with the sets of each group that they bound
@@ -275,7 +275,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketc
     opened = materialize(sides[0].unionByName(sides[1]))
 
     tokens = maybe_in(docs, "doc_id", id_bitmap(opened, "doc_id")).mapInArrow(_whole_sets(words), "doc_id long, tokens binary")
-    links = opened.join(tokens, "doc_id").select("g", "h", "side", "doc_id", "tokens").groupBy("g", "h").applyInArrow(_open_pair(percent), "a long, b long")
+    links = opened.hint("merge").join(tokens, "doc_id").select("g", "h", "side", "doc_id", "tokens").groupBy("g", "h").applyInArrow(_open_pair(percent), "a long, b long")
     components = connected_components(links)
 
     of_class = classes.select("sig_a", "sig_b", "n", F.col("first.doc_id").alias("rep"))
