@@ -188,8 +188,8 @@ def op4_language_id(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-#: Below this cosine a text is like none of the languages and is rejected.
-REJECT_BELOW = 0.12
+#: Below this cosine, about what unrelated random vectors have by chance, a text is like none of the languages.
+REJECT_BELOW = 0.02
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str, reject_below: float = REJECT_BELOW) -> DataFrame:
