@@ -21,15 +21,19 @@ def build_tree(events: DataFrame) -> DataFrame:
     return events.where("pid <> 0").groupBy("pid").agg(F.max_by("ppid", "pos").alias("ppid"), last("exe"), last("cmdline"))
 
 
-def ancestor_paths(tree: DataFrame, save=lambda df: df) -> DataFrame:
-    """(pid, ancestors): parents from the nearest on, for every process of the tree. A process that is its own parent has none."""
-    paths = save(tree.select("pid", F.when(F.col("ppid") == F.col("pid"), F.array().cast("array<bigint>")).otherwise(F.array("ppid")).alias("ancestors")))
+def ancestor_paths(tree: DataFrame, save=None) -> DataFrame:
+    """(pid, ancestors): parents from the nearest on, for every process of the tree. A process that is its own parent has none.
+    With save, which writes a table and reads it back, each doubling is computed once and the last needed one ends the loop."""
+    keep = save or (lambda df: df)
+    paths = keep(tree.select("pid", F.when(F.col("ppid") == F.col("pid"), F.array().cast("array<bigint>")).otherwise(F.array("ppid")).alias("ancestors")))
     for step in range(_DOUBLINGS):
+        if save and paths.where(F.size("ancestors") == 1 << step).isEmpty():
+            break
         # only a path that is as long as it could be by now can go on
         further = paths.select(F.col("pid").alias("top"), F.col("ancestors").alias("more"))
         full = F.when(F.size("ancestors") == 1 << step, F.element_at("ancestors", -1))
         paths = paths.withColumn("end", F.when(F.size("ancestors") > 0, full)).join(further, F.col("end") == F.col("top"), "left")
-        paths = save(paths.select("pid", F.when(F.col("more").isNull(), F.col("ancestors")).otherwise(F.concat("ancestors", "more")).alias("ancestors")))
+        paths = keep(paths.select("pid", F.when(F.col("more").isNull(), F.col("ancestors")).otherwise(F.concat("ancestors", "more")).alias("ancestors")))
     return paths.withColumn("ancestors", F.slice("ancestors", 1, MOST_PARENTS))
 
 
