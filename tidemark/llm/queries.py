@@ -38,4 +38,24 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+_OP1 = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, g from (select doc_id, ws[i : i + 3] as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) as i from w where len(ws) > 0) a) b),
+sizes as (select w.doc_id, cast(count(g) as bigint) as n from w left join s on w.doc_id = s.doc_id group by 1),
+links as (select a.doc_id as x, b.doc_id as y from s a join s b on a.g = b.g join sizes p on a.doc_id = p.doc_id join sizes q on b.doc_id = q.doc_id
+  where a.doc_id <> b.doc_id and 100 * p.n >= 85 * q.n and 100 * q.n >= 85 * p.n group by 1, 2, p.n, q.n having 185 * count(*) >= 85 * (p.n + q.n)),
+reach as (select doc_id as x, doc_id as y from w union select r.x, l.y from reach r join links l on r.y = l.x)
+select z.doc_id, z.n as n_shingles, min(r.y) as component_id from sizes z join reach r on z.doc_id = r.x group by 1, 2"""
+
+_OP8 = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, i, ws[i : i + 12] as g from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13) a),
+firsts as (select g, min(doc_id) as m from win group by g),
+gone as (select distinct doc_id, i + j as p from win join firsts using (g), range(0, 13) r(j) where m < doc_id),
+lost as (select doc_id, list(p) as ps from gone group by doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(len(ps), 0) as bigint) as n_removed,
+  sha256(array_to_string(list_filter(ws, lambda x, i: not list_contains(coalesce(ps, []), i)), ' ')) as kept_sha256
+from w left join lost l on w.doc_id = l.doc_id"""
+
+#: The others have no SQL form: learned models, sampling by hashes, tokenizers, cuts by rolling hashes, places of matches.
+ORACLE: dict[str, str] = {"op1_ngram_jaccard": _OP1, "op8_substring_dedup": _OP8}
