@@ -24,64 +24,64 @@ def _relevant(events: DataFrame) -> DataFrame:
     return used.withColumn("own_kinds", F.when(F.col("kind") == "file", source_kinds(F.col("target"))))
 
 
-def _earliest(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.min("pos").alias("pos"))
-
-
-def _better(found: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
-    """What in found is new, or earlier than known."""
-    old = known.select(*[F.col(k).alias(f"old_{k}") for k in keys], F.col("pos").alias("old_pos"))
-    match = [F.col(k) == F.col(f"old_{k}") for k in keys]
-    return found.join(old, match, "left").where("old_pos is null or pos < old_pos").select(*keys, "pos")
+def _fixpoint(start: DataFrame, grow, keys: list[str]) -> DataFrame:
+    """The smallest fixpoint over rows (keys, pos, and what else is in start): the earliest row of each key that
+    start or grow gives. grow(fresh) derives rows from those that were new in the last round; a round
+    writes one table, and every eighth joins what is known into one."""
+    earliest = lambda df: df.groupBy(*keys).agg(F.min(F.struct("pos", *[c for c in df.columns if c not in (*keys, "pos")])).alias("row")).select(*keys, "row.*")
+    fresh = known = save(earliest(start))
+    rounds = 0
+    while True:
+        old = known.groupBy(*[F.col(k).alias(f"old_{k}") for k in keys]).agg(F.min("pos").alias("old_pos"))
+        match = [F.col(k).eqNullSafe(F.col(f"old_{k}")) for k in keys]
+        found = earliest(grow(fresh).select(start.columns))
+        fresh = save(found.join(old, match, "left").where("old_pos is null or pos < old_pos").select(start.columns))
+        if fresh.isEmpty():
+            return save(earliest(known))
+        known, rounds = known.unionByName(fresh), rounds + 1
+        if rounds % 8 == 0:
+            known = save(earliest(known))
 
 
 def first_taint(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pid, pos) from which a process is tainted, and (path, pos, stainer) from which a path that is no source is."""
-    staged = events.where("kind = 'file' and size(own_kinds) = 0").select("pid", F.col("target").alias("path"), F.col("pos").alias("at"))
-    execs = events.where("kind = 'exec'").select("pid", "ppid", F.col("pos").alias("at"))
-    base = events.where("kind = 'file' and size(own_kinds) > 0").select("pid", "pos")
-    argv = events.where("kind = 'exec'").where(F.size(carrier_tokens(F.col("cmdline"))) > 0).select("pid", "pos")
-    pids = fresh = save(_earliest(base.unionByName(argv), ["pid"]))
-    paths = None
-    while True:
-        stains = staged.join(fresh, "pid").where("pos < at").groupBy("path").agg(F.min(F.struct(F.col("at").alias("pos"), F.col("pid").alias("stainer"))).alias("s")).select("path", "s.pos", "s.stainer")
-        if paths is None:
-            new_paths = paths = save(stains)
-        else:
-            new_paths = _better(stains.select("path", "pos"), paths, ["path"]).join(stains, ["path", "pos"])
-            new_paths = save(new_paths)
-            paths = save(paths.unionByName(new_paths).groupBy("path").agg(F.min(F.struct("pos", "stainer")).alias("s")).select("path", "s.pos", "s.stainer"))
-        born = execs.join(fresh.withColumnRenamed("pid", "parent"), F.col("ppid") == F.col("parent")).where("pos < at").select("pid", F.col("at").alias("pos"))
-        adopted = staged.join(new_paths, "path").where("pos < at").select("pid", F.col("at").alias("pos"))
-        fresh = save(_better(_earliest(born.unionByName(adopted), ["pid"]), pids, ["pid"]))
-        if fresh.isEmpty():
-            return pids, paths
-        pids = save(_earliest(pids.unionByName(fresh), ["pid"]))
+    staged = events.where("kind = 'file' and size(own_kinds) = 0").select(F.col("pid").alias("toucher"), F.col("target").alias("file"), F.col("pos").alias("at"))
+    execs = events.where("kind = 'exec'").select(F.col("pid").alias("child"), F.col("ppid").alias("parent"), F.col("pos").alias("at"))
+    read = events.where("kind = 'file' and size(own_kinds) > 0").select("pid", "pos")
+    argued = events.where("kind = 'exec'").where(F.size(carrier_tokens(F.col("cmdline"))) > 0).select("pid", "pos")
+    no_path, no_pid = F.lit(None).cast("string").alias("path"), F.lit(None).cast("long")
+
+    def grow(fresh: DataFrame) -> DataFrame:
+        pids, paths = fresh.where("path is null").select("pid", "pos"), fresh.where("path is not null").select("path", "pos")
+        born = execs.join(pids, F.col("parent") == F.col("pid")).where("pos < at").select(F.col("child").alias("pid"), no_path, F.col("at").alias("pos"), no_pid.alias("stainer"))
+        adopted = staged.join(paths, F.col("file") == F.col("path")).where("pos < at").select(F.col("toucher").alias("pid"), no_path, F.col("at").alias("pos"), no_pid.alias("stainer"))
+        stained = staged.join(pids, F.col("toucher") == F.col("pid")).where("pos < at").select(no_pid.alias("pid"), F.col("file").alias("path"), F.col("at").alias("pos"), F.col("toucher").alias("stainer"))
+        return born.unionByName(adopted).unionByName(stained)
+
+    reached = _fixpoint(read.unionByName(argued).select("pid", no_path, "pos", no_pid.alias("stainer")), grow, ["pid", "path"])
+    return reached.where("path is null").select("pid", "pos"), reached.where("path is not null").select("path", "pos", "stainer")
 
 
 def taint_by_kind(events: DataFrame, paths: DataFrame) -> DataFrame:
     """(pid, kind_rank, pos): from which position a process holds each kind."""
     files = events.where("kind = 'file'")
     sources = files.where("size(own_kinds) > 0").select("pid", F.col("target").alias("path"), F.col("pos").alias("at"))
-    staged = files.where("size(own_kinds) = 0").select("pid", F.col("target").alias("path"), F.col("pos").alias("at"))
-    execs = events.where("kind = 'exec'").select("pid", "ppid", F.col("pos").alias("at"))
-    tokens = events.where("kind = 'exec'").select("pid", F.explode(carrier_tokens(F.col("cmdline"))).alias("path"), F.col("pos").alias("at"))
+    staged = files.where("size(own_kinds) = 0").select(F.col("pid").alias("toucher"), F.col("target").alias("path"), F.col("pos").alias("at"))
+    execs = events.where("kind = 'exec'").select(F.col("pid").alias("child"), "ppid", F.col("pos").alias("at"))
+    tokens = events.where("kind = 'exec'").select(F.col("pid").alias("namer"), F.explode(carrier_tokens(F.col("cmdline"))).alias("path"), F.col("pos").alias("at"))
     read = files.select("pid", F.explode("own_kinds").alias("kind_rank"), "pos")
-    named = tokens.select("pid", F.explode(source_kinds(F.col("path"))).alias("kind_rank"), F.col("at").alias("pos"))
-    keys = ["pid", "kind_rank"]
-    held = fresh = save(_earliest(read.unionByName(named), keys))
+    named = tokens.select(F.col("namer").alias("pid"), F.explode(source_kinds(F.col("path"))).alias("kind_rank"), F.col("at").alias("pos"))
     stainers = paths.select(F.col("stainer").alias("pid"), "path", F.col("pos").alias("stained"))
-    while True:
-        born = execs.join(fresh.withColumnRenamed("pid", "parent"), F.col("ppid") == F.col("parent")).where("pos < at").select("pid", "kind_rank", F.col("at").alias("pos"))
+
+    def grow(fresh: DataFrame) -> DataFrame:
+        born = execs.join(fresh, F.col("ppid") == F.col("pid")).where("pos < at").select(F.col("child").alias("pid"), "kind_rank", F.col("at").alias("pos"))
         frozen = stainers.join(fresh, "pid").where("pos < stained").select("path", "kind_rank", "stained")
-        adopted = staged.join(frozen, "path").where("stained < at").select("pid", "kind_rank", F.col("at").alias("pos"))
+        adopted = staged.join(frozen, "path").where("stained < at").select(F.col("toucher").alias("pid"), "kind_rank", F.col("at").alias("pos"))
         grown = sources.join(fresh, "pid").where("pos <= at").groupBy("path", "kind_rank").agg(F.min("at").alias("grown"))
-        argued = tokens.join(grown, "path").where("grown < at").select("pid", "kind_rank", F.col("at").alias("pos"))
-        found = _earliest(born.unionByName(adopted).unionByName(argued), keys)
-        fresh = save(_better(found, held, keys))
-        if fresh.isEmpty():
-            return held
-        held = save(_earliest(held.unionByName(fresh), keys))
+        argued = tokens.join(grown, "path").where("grown < at").select(F.col("namer").alias("pid"), "kind_rank", F.col("at").alias("pos"))
+        return born.unionByName(adopted).unionByName(argued)
+
+    return _fixpoint(read.unionByName(named), grow, ["pid", "kind_rank"])
 
 
 def taint_flows(events: DataFrame, chains: DataFrame, exec_clears_taint: bool = False) -> DataFrame:
