@@ -13,7 +13,10 @@ repeat, each is packed for itself. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +31,18 @@ OPEN_BINS = 1024
 #: Tokens of a packing share: about 8,192 sequences, so that bins left open at its end are few.
 SHARE_TOKENS = 1 << 24
 #: Chunks of text whose ids a Python worker remembers; beyond it starts afresh.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 800_000
 
 
 class ChunkTokenizer:
     """Ids of a text as the ids of its chunks between ASCII white space, each encoded once.
 
-    Right for tokenizers that lower-case, split at white space and drop it. Chunks that aren't known
-    yet are encoded together, parted by a special token; texts with the beginning of one are encoded
-    as they are."""
+    Right for tokenizers that lower-case, split at white space and drop it, and part a run of
+    punctuation from the letters before it. Chunks that aren't known yet are encoded together,
+    parted by a special token; texts with the beginning of one are encoded as they are."""
+
+    #: A run of points and commas behind a word: told from it, so that words are known with or without.
+    TAIL = re.compile(rb"(?<=[a-z0-9])[.,]+(?=[ \n])")
 
     def __init__(self, path: str, parting: str = "<|endoftext|>", beginning: bytes = b"<|"):
         from tokenizers import Tokenizer
@@ -44,35 +50,45 @@ class ChunkTokenizer:
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.parting, self.beginning = tokenizer.encode_batch_fast, parting, beginning
         self.parting_id = tokenizer.token_to_id(parting)
-        self.known: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)  # a chunk's place in the table
+        self.flat, self.starts, self.lengths, self.held = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
     def _learn(self, chunks: list[bytes]) -> None:
-        groups = [chunks[at : at + 200] for at in range(0, len(chunks), 200)]
-        for group, e in zip(groups, self.encode([self.parting.join([c.decode() for c in g]) for g in groups], add_special_tokens=False), strict=True):
+        """Adds the ids of chunks, in order, to the table."""
+        groups = [chunks[at : at + 64] for at in range(0, len(chunks), 64)]
+        encoded = self.encode([self.parting.encode().join(g).decode() for g in groups], add_special_tokens=False)
+        flats, lengths = [self.flat], [self.lengths]
+        for e in encoded:
             ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.parting_id)
-            data, start = ids.tobytes(), 0
-            for chunk, end in zip(group, [*cuts.tolist(), len(ids)], strict=True):
-                self.known[chunk] = data[4 * start : 4 * end]
-                start = end + 1
+            edges = np.concatenate([[-1], np.flatnonzero(ids == self.parting_id), [len(ids)]])
+            lengths.append(np.diff(edges) - 1)
+            flats.append(ids[ids != self.parting_id])
+        self.flat, self.lengths = np.concatenate(flats), np.concatenate(lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.held += sum(map(len, chunks))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.places) > CACHE_CHUNKS or self.held > 32 * CACHE_CHUNKS:
+            self._forget()
         odd = [i for i, t in enumerate(texts) if self.beginning in t]
-        split = [t.lower().split() for t in texts]
+        split = [self.TAIL.sub(rb" \g<0>", t.lower()).split() for t in texts]
         for i in odd:
             split[i] = []
-        if len(self.known) > CACHE_CHUNKS:
-            self.known = {}
-        known = self.known
-        missing = list({c for chunks in split for c in chunks if c not in known})
-        self._learn(missing)
-        out = [b"".join([known[c] for c in chunks]) for chunks in split]
+        known = len(self.places)
+        at = np.fromiter(map(self.places.__getitem__, itertools.chain.from_iterable(split)), np.int64)
+        if len(self.places) > known:
+            self._learn(list(itertools.islice(self.places, known, None)))
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        flat = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(c) for c in split])])]
+        out = [flat[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         for i, e in zip(odd, self.encode([texts[i].decode() for i in odd], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, "<u4").tobytes()
-        for c in missing:
-            if len(c) > 64:
-                del known[c]
         return out
 
 
@@ -88,9 +104,9 @@ def _pieces(path: str, end_id: int, length: int):
         for batch in batches:
             texts = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"")
             doc_ids = batch.column("doc_id").to_pylist()
-            for low in range(0, len(texts), 256):
+            for low in range(0, len(texts), 1024):
                 rows = []
-                for doc_id, ids in zip(doc_ids[low:], tokenizer.ids(texts[low : low + 256].to_pylist()), strict=False):
+                for doc_id, ids in zip(doc_ids[low:], tokenizer.ids(texts[low : low + 1024].to_pylist()), strict=False):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * length)):
                         part = ids[at : at + 4 * length]
