@@ -249,7 +249,7 @@ def test_inherited_empty_and_frozen(spark):
     assert flows_of(spark, frozen) == [("net-accept", 3, 1, "cloud-credentials", "/x")]
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_fixpoint_equals_fold(spark, seed):
     """Many random logs at once, told apart by pid and path."""
     rng, rows = random.Random(seed), []
