@@ -94,7 +94,6 @@ def repeated_cells(texts: DataFrame, window: int, bits: int) -> np.ndarray:
     block_bits = min(BLOCK_BITS, bits)
     bitmap = np.zeros((ROWS, 1 << bits >> 3), np.uint8)
     merged = texts.mapInArrow(_sketch(window, bits), "block long, data binary").repartition("block").mapInArrow(_merge(bits), "block long, data binary")
-    merged = materialize(merged)  # few files, so that fetching them is few jobs
     size = max(1, 1 << block_bits >> 3)
     for block, data in merged.toLocalIterator():
         at = (block & 0xFFFFFFFF) * size
