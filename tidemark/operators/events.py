@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.functions.paths import ESCALATION_TOOLS, NoiseConfig, danger_labels, is_sensitive
 from tidemark.operators.ordering import number_by_time
+from tidemark.operators.storage import save
 from tidemark.operators.syscalls import with_syscall
 from tidemark.schemas import EVENT
 
@@ -147,6 +148,7 @@ def system_events(records: DataFrame) -> DataFrame:
 def build_events(records: DataFrame, dimension: DataFrame, noise: NoiseConfig | None = None) -> DataFrame:
     """All events of parsed records in order, seq and pos from 1."""
     every = syscall_events(staple(records), dimension, last_verdicts(records), noise or NoiseConfig()).unionByName(system_events(records))
+    every = save(every)  # numbering reads it twice
     ordered = number_by_time(every, "epoch", ["pid", "is_syscall", "first_at"], "pos")
     return ordered.withColumn("seq", F.col("pos")).select("pos", *EVENT_COLUMNS)
 

@@ -37,7 +37,7 @@ def query(sql: str | None = None, plain: bool = False):
 
 
 def _records(spark, sf_dir, lines=audit_lines):
-    return E.parse_records(split_lines(lines(spark, sf_dir))[0])
+    return save(E.parse_records(split_lines(lines(spark, sf_dir))[0]))
 
 
 def _tree(spark, sf_dir):
