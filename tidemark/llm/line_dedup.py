@@ -1,11 +1,16 @@
 """Line dedup by content-defined chunks of lines.
 
-Lines are hashed, and a rolling hash over the hashes of the last lines ends a chunk where it meets
+Lines are hashed, and a rolling hash over the hashes of the last lines ends a chunk where it misses
 a mask, so that chunk borders move with the content: the same run of lines is cut alike wherever it
 stands. A chunk holds between `least` and `most` lines. Chunks of two lines or more that occur
 again, in another document or further down, are candidates by hash; of each, the first occurrence
 by (doc_id, chunk) stays, and the others go once their bytes were compared with it and are equal.
 
+Chunks part a text, so a repeated passage whose borders differ from the chunks' loses only what lies
+between them. The stage of the pipeline therefore takes every two neighbouring lines as a unit instead
+(`whole_runs`): all lines of a repeated run of two or more go, wherever it stands. A pair that overlaps
+its own first occurrence stays.
+
 A null text stays null and has no lines. A chunk of one line is never removed. Documents without
 doc_id are left as they are. Rows of one doc_id are one document: they share chunk positions, and
 lose nothing to each other. Extra columns stay as they are in the stage and are ignored by the query.
@@ -22,13 +27,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, id_bitmap, materialize, maybe_in, mix, signed, span_hashes, text_slices
 
-ROLL, MASK, LEAST, MOST = 3, 3, 2, 16
+#: A line ends a chunk unless the mask meets zero, so 7 lines of 8 do: chunks have 2.1 lines on the average.
+ROLL, MASK, LEAST, MOST = 1, 7, 2, 16
 
 
-def line_chunks(column: pa.Array):
-    """For each row: (bytes of its slice, line starts, line ends, first line of each chunk and the end, chunk hashes)."""
+def _lines(column: pa.Array):
+    """For each slice: (bytes, line starts, line ends, row of each line, first line of each row and the end)."""
     for _, _, buf, offsets in text_slices(column):
-        data, n = buf.tobytes(), len(offsets) - 1
+        n = len(offsets) - 1
         newlines = np.flatnonzero(buf == 10)
         some = np.flatnonzero(offsets[:-1] < offsets[1:])
         starts = np.sort(np.concatenate([offsets[:-1][some], newlines + 1]))
@@ -37,12 +43,18 @@ def line_chunks(column: pa.Array):
         row = np.concatenate([some, np.searchsorted(offsets, newlines, "right") - 1])[np.argsort(np.concatenate([offsets[:-1][some], newlines + 1]), kind="stable")]
         order = np.lexsort((starts, row))
         starts, row = starts[order], row[order]
+        yield buf, starts, ends, row, np.searchsorted(row, np.arange(n + 1))
+
+
+def line_chunks(column: pa.Array):
+    """For each row: (bytes of its slice, line starts, line ends, first line of each chunk and the end, chunk hashes)."""
+    for buf, starts, ends, row, firsts in _lines(column):
+        data, n = buf.tobytes(), len(firsts) - 1
         lines = span_hashes(buf, starts, ends)
-        firsts = np.searchsorted(row, np.arange(n + 1))
         rolled = lines.copy()
         for j in range(1, ROLL):
             rolled[j:] += np.where(row[j:] == row[:-j], mix(lines[:-j] + np.uint64(j)), np.uint64(0))
-        border = ((mix(rolled) & np.uint64(MASK)) == 0).tolist()
+        border = ((mix(rolled) & np.uint64(MASK)) != 0).tolist()
         cuts = []
         for i in range(n):
             at, own = int(firsts[i]), [0]
@@ -64,57 +76,84 @@ def line_chunks(column: pa.Array):
             yield data, starts[own], ends[own], cuts[i], hashes[chunk_firsts[i] : chunk_firsts[i + 1]]
 
 
-def _chunk_rows(batches):
-    for batch in batches:
-        ids, out = batch.column("doc_id").to_pylist(), ([], [], [])
-        for doc_id, (_, _, _, cuts, hashes) in zip(ids, line_chunks(batch.column("text")), strict=True):
-            multi = np.flatnonzero(np.diff(cuts) > 1)
-            out[0].append(np.full(len(multi), doc_id, np.int64))
-            out[1].append(multi.astype(np.int32))
-            out[2].append(signed(hashes[multi]))
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["doc_id", "chunk", "hash"])
-
-
-def _chunk_texts(batches):
+def _units(column: pa.Array, whole_runs: bool):
+    """For each row: (bytes of its slice, line starts, line ends, first line of each unit, line behind it, unit hashes)."""
+    if not whole_runs:
+        for data, starts, ends, cuts, hashes in line_chunks(column):
+            yield data, starts, ends, cuts[:-1], cuts[1:], hashes
+        return
+    for buf, starts, ends, _, firsts in _lines(column):
+        data = buf.tobytes()
+        hashes = span_hashes(buf, starts[:-1], np.maximum(ends[1:], starts[:-1]))
+        for first, end in zip(firsts[:-1], firsts[1:], strict=True):
+            pairs = np.arange(max(end - first - 1, 0))
+            yield data, starts[first:end], ends[first:end], pairs, pairs + 2, hashes[first : first + len(pairs)]
+
+
+def _chunk_rows(whole_runs: bool):
+    def run(batches):
+        for batch in batches:
+            ids, out = batch.column("doc_id").to_pylist(), ([], [], [])
+            for doc_id, (_, _, _, begins, behind, hashes) in zip(ids, _units(batch.column("text"), whole_runs), strict=True):
+                multi = np.flatnonzero(behind - begins > 1)
+                out[0].append(np.full(len(multi), doc_id, np.int64))
+                out[1].append(multi.astype(np.int32))
+                out[2].append(signed(hashes[multi]))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["doc_id", "chunk", "hash"])
+
+    return run
+
+
+def _chunk_texts(whole_runs: bool):
     """The bytes of the chunks listed for each document."""
-    for batch in batches:
-        rows = ([], [], [], [])
-        wanted = batch.column("chunks").to_pylist()
-        for doc_id, chunks, (data, starts, ends, cuts, hashes) in zip(batch.column("doc_id").to_pylist(), wanted, line_chunks(batch.column("text")), strict=True):
-            for c in chunks:
-                if c < len(hashes):
-                    rows[0].append(doc_id)
-                    rows[1].append(c)
-                    rows[2].append(int(hashes[c].view(np.int64)))
-                    rows[3].append(data[starts[cuts[c]] : ends[cuts[c + 1] - 1]])
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "chunk", "hash", "body"])
-
-
-def _keep(batches):
-    for batch in batches:
-        gone = batch.column("gone").to_pylist() if "gone" in batch.schema.names else [None] * len(batch)
-        n_lines, n_removed, text = [], [], []
-        for removed, null, (data, starts, ends, cuts, _) in zip(gone, batch.column("text").is_null().to_pylist(), line_chunks(batch.column("text")), strict=True):
-            stay = np.ones(len(starts), bool)
-            for c in removed or ():
-                stay[cuts[c] : cuts[c + 1]] = False
-            n_lines.append(len(starts))
-            n_removed.append(int((~stay).sum()))
-            text.append(None if null else b"\n".join([data[starts[i] : ends[i]] for i in np.flatnonzero(stay)]).decode())
-        sha = [hashlib.sha256((x or "").encode()).hexdigest() for x in text]
-        carried = [x for x in batch.schema.names if x == "row_columns"]
-        columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns + [batch.column(x) for x in carried], names=["doc_id", "n_lines", "n_removed", "kept_sha256", "kept_text", *carried])
-
-
-def remove_repeated_chunks(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+
+    def run(batches):
+        for batch in batches:
+            rows = ([], [], [], [])
+            wanted = batch.column("chunks").to_pylist()
+            for doc_id, chunks, (data, starts, ends, begins, behind, hashes) in zip(batch.column("doc_id").to_pylist(), wanted, _units(batch.column("text"), whole_runs), strict=True):
+                for c in chunks:
+                    if c < len(hashes):
+                        rows[0].append(doc_id)
+                        rows[1].append(c)
+                        rows[2].append(int(hashes[c].view(np.int64)))
+                        rows[3].append(data[starts[begins[c]] : ends[behind[c] - 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "chunk", "hash", "body"])
+
+    return run
+
+
+def _keep(whole_runs: bool):
+    def run(batches):
+        for batch in batches:
+            gone = batch.column("gone").to_pylist() if "gone" in batch.schema.names else [None] * len(batch)
+            n_lines, n_removed, text = [], [], []
+            for removed, null, (data, starts, ends, begins, behind, hashes) in zip(gone, batch.column("text").is_null().to_pylist(), _units(batch.column("text"), whole_runs), strict=True):
+                stay = np.ones(len(starts), bool)
+                for unit in removed or ():
+                    c = unit["chunk"]
+                    # rows of one doc_id may differ
+                    if c < len(hashes) and int(hashes[c].view(np.int64)) == unit["hash"]:
+                        stay[begins[c] : behind[c]] = False
+                n_lines.append(len(starts))
+                n_removed.append(int((~stay).sum()))
+                text.append(None if null else b"\n".join([data[starts[i] : ends[i]] for i in np.flatnonzero(stay)]).decode())
+            sha = [hashlib.sha256((x or "").encode()).hexdigest() for x in text]
+            carried = [x for x in batch.schema.names if x == "row_columns"]
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [batch.column(x) for x in carried], names=["doc_id", "n_lines", "n_removed", "kept_sha256", "kept_text", *carried])
+
+    return run
+
+
+def remove_repeated_chunks(docs: DataFrame, carry: list[str] | None = None, whole_runs: bool = False) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_lines, n_removed, kept_sha256, kept_text, and the columns in
-    carry as a struct row_columns."""
+    carry as a struct row_columns. With whole_runs the units are all pairs of neighbouring lines."""
     rest = [F.struct(*[F.col(c) for c in carry]).alias("row_columns")] if carry else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
     named = docs.where("doc_id is not null").select("doc_id", "text")
-    chunks = materialize(named.mapInArrow(_chunk_rows, "doc_id long, chunk int, hash long"))
+    chunks = materialize(named.mapInArrow(_chunk_rows(whole_runs), "doc_id long, chunk int, hash long"))
     place = F.struct("doc_id", "chunk")
     twice = materialize(chunks.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("hash", "first"))
     again = materialize(maybe_in(chunks, "hash", id_bitmap(twice, "hash")).join(twice.select("hash", "first"), "hash").distinct())
@@ -122,18 +161,18 @@ def remove_repeated_chunks(docs: DataFrame, carry: list[str] | None = None) -> D
     # the bytes of the first and of the later occurrences, compared in the JVM
     listed = again.groupBy("doc_id").agg(F.array_sort(F.collect_set("chunk")).alias("chunks"))
     touched = id_bitmap(again.select("doc_id").distinct(), "doc_id")
-    bodies = maybe_in(named, "doc_id", touched).join(listed.hint("merge"), "doc_id").mapInArrow(_chunk_texts, "doc_id long, chunk int, hash long, body binary")
+    bodies = maybe_in(named, "doc_id", touched).join(listed.hint("merge"), "doc_id").mapInArrow(_chunk_texts(whole_runs), "doc_id long, chunk int, hash long, body binary")
     bodies = materialize(bodies.join(twice, "hash"))
     first = bodies.where("doc_id = first.doc_id and chunk = first.chunk").groupBy("hash").agg(F.min("body").alias("first_body"))
-    later = bodies.where("not (doc_id = first.doc_id and chunk = first.chunk)")
-    equal = later.join(first, "hash").where("body = first_body").groupBy("doc_id").agg(F.array_sort(F.collect_set("chunk")).alias("gone"))
+    later = bodies.where(f"doc_id <> first.doc_id or chunk >= first.chunk + {2 if whole_runs else 1}")
+    equal = later.join(first, "hash").where("body = first_body").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("chunk", "hash"))).alias("gone"))
     equal = materialize(equal)
 
     schema = "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string" + (f", row_columns {docs.schema['row_columns'].dataType.simpleString()}" if carry else "")
     losing = id_bitmap(equal, "doc_id")
-    clear = maybe_in(docs, "doc_id", losing, keep=False).mapInArrow(_keep, schema)
+    clear = maybe_in(docs, "doc_id", losing, keep=False).mapInArrow(_keep(whole_runs), schema)
     joined = maybe_in(docs, "doc_id", losing).join(equal.hint("merge"), "doc_id", "left")
-    return clear.unionByName(joined.mapInArrow(_keep, schema))
+    return clear.unionByName(joined.mapInArrow(_keep(whole_runs), schema))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -141,9 +180,9 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated chunks; a document that has lost all its lines goes."""
+    """Texts without their repeated runs of lines; a document that has lost all its lines goes."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = remove_repeated_chunks(docs, carry=others).where("not (n_removed > 0 and n_removed = n_lines)")
+    out = remove_repeated_chunks(docs, carry=others, whole_runs=True).where("not (n_removed > 0 and n_removed = n_lines)")
     columns = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")} | {c: F.col(f"row_columns.`{c}`") for c in others}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(columns["n_chars"])
