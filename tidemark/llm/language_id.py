@@ -188,11 +188,13 @@ def op4_language_id(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-#: Below this cosine, about what unrelated random vectors have by chance, a text is like none of the languages.
-REJECT_BELOW = 0.02
+#: Below this cosine a text is like none of the languages: unrelated vectors have a standard deviation of
+#: 1 / sqrt(dimension), and five of them leave the best of a few languages almost no chance.
+REJECT_BELOW = 5 / DIMENSION**0.5
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str, reject_below: float = REJECT_BELOW) -> DataFrame:
-    """Drops documents whose language cannot be told: those without letters, and those that are like no prototype."""
+    """Drops documents whose language cannot be told: those without letters, and those that are
+    like no prototype. A text of a word or two, whose few trigrams are rare, may be among the latter."""
     rejected = materialize(identify(docs, training_rows(docs)).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < reject_below)).select(F.col("doc_id").alias("rejected_id")).distinct())
     return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["rejected_id"]), "left_anti")
