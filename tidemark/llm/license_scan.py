@@ -2,7 +2,7 @@
 
 A text is lower-cased (A-Z) and reduced to its words of letters and digits; one automaton finds
 every notice phrase and every identifier tag in one pass over the words, whatever the number of
-patterns. Behind a tag, the raw text is read as a licence expression: identifiers joined by `and`,
+patterns. Behind a tag, wherever the automaton found it, the raw text is read as a licence expression to its end: identifiers joined by `and`,
 `or` and `with`, in parentheses or not, `with` binding closest. It is evaluated to the licences
 that it needs at least; malformed tails are cut at the last well-formed point.
 
@@ -62,10 +62,12 @@ for _b in [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]:
     _WORD[_b] = _b
 for _b in range(0x41, 0x5B):
     _WORD[_b] = _b + 32
+#: The same words in decoded text.
+_RAW_WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010FFFF]+")
+#: What may stand between a tag and its expression.
+_BEHIND_TAG = re.compile(r"[\s\"'`*\\]*[:=]*>?[\s\"'`*\\]*")
 _TOKEN = re.compile(r"\s*(?:(\()|(\))|([A-Za-z0-9][A-Za-z0-9.+-]*))")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-#: Code points of raw text that are read behind a tag.
-EXPRESSION_REACH = 400
 
 
 @dataclass(frozen=True)
@@ -79,25 +81,39 @@ class Expression:
 
     def licences(self) -> set[str]:
         """Every identifier, exceptions left out."""
-        if not self.op:
-            return {self.name}
-        return self.left.licences() | (set() if self.op == "with" else self.right.licences())
+        found, todo = set(), [self]
+        while todo:
+            e = todo.pop()
+            if not e.op:
+                found.add(e.name)
+            else:
+                todo += [e.left] if e.op == "with" else [e.left, e.right]
+        return found
 
     def allowed(self, accept: set[str]) -> bool:
         """Whether accepted licences suffice: `or` needs one side, `and` both, `with` its licence."""
-        if not self.op:
-            return self.name in accept
-        if self.op == "or":
-            return self.left.allowed(accept) or self.right.allowed(accept)
-        return self.left.allowed(accept) and (self.op == "with" or self.right.allowed(accept))
+        values: list[bool] = []
+        todo = [(self, False)]
+        while todo:
+            e, ready = todo.pop()
+            if not e.op:
+                values.append(e.name in accept)
+            elif e.op == "with":
+                todo.append((e.left, False))
+            elif not ready:
+                todo += [(e, True), (e.left, False), (e.right, False)]
+            else:
+                a, b = values.pop(), values.pop()
+                values.append((a or b) if e.op == "or" else (a and b))
+        return values[0]
 
 
-def parse_expression(text: str) -> Expression | None:
-    """The longest well-formed expression at the start of text, by the shunting-yard algorithm."""
+def parse_expression(text: str, at: int = 0) -> Expression | None:
+    """The longest well-formed expression that starts at a place of text, by the shunting-yard algorithm."""
     output: list[Expression] = []
     operators: list[str] = []
     best: Expression | None = None
-    want_operand, at = True, 0
+    want_operand = True
 
     def reduce() -> None:
         right, left = output.pop(), output.pop()
@@ -166,7 +182,9 @@ def scan_text(automaton, data: bytes) -> tuple:
     words = [w for w in words if w]
     joined = (b" " + b" ".join(words) + b" ").decode("utf-8", "replace")
     base: list[int] = []
-    base_labels, labels, score, tags = set(), set(), 0.0, 0
+    base_labels, labels, score = set(), set(), 0.0
+    tags: list[int] = []
+    counted = n_spaces = 0
     for end, (phrase, what) in automaton.iter(joined):
         if "base" in what:
             base.append(joined.count(" ", 0, end - len(phrase)) - 1)
@@ -174,11 +192,15 @@ def scan_text(automaton, data: bytes) -> tuple:
         if "own" in what:
             labels.add(what["own"][0])
             score = max(score, what["own"][1])
-        tags += "tag" in what
+        if "tag" in what:
+            # the number of the tag's last word
+            n_spaces, counted = n_spaces + joined.count(" ", counted, end), end
+            tags.append(n_spaces - 1)
     if tags:
         raw = data.decode("utf-8", "replace")
-        for m in re.finditer(r"(?i)(?:spdx\W+license\W+identifier|license\W+expression)\s*[:=]?\s*[\"']?", raw):
-            expression = parse_expression(raw[m.end() : m.end() + EXPRESSION_REACH])
+        behind = [m.end() for m in _RAW_WORD.finditer(raw)]
+        for last in tags:
+            expression = parse_expression(raw, _BEHIND_TAG.match(raw, behind[last]).end())
             if expression is not None:
                 labels |= expression.licences()
                 score = 1.0
