@@ -222,12 +222,37 @@ def test_op8(spark, any_dir, docs_of):
     same(run(spark, "op8_substring_dedup", any_dir), want, "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-def test_op8_small_sketch_loses_nothing(spark, sf_dir):
+def test_op8_small_sketches_lose_nothing(spark, sf_dir):
     from tidemark.llm.substring_dedup import remove_repeated_windows
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     full = {tuple(r) for r in remove_repeated_windows(docs).collect()}
-    assert {tuple(r) for r in remove_repeated_windows(docs, most_bits=8).collect()} == full
+    assert {tuple(r) for r in remove_repeated_windows(docs, range_windows=4096, cell_bits=6).collect()} == full
+
+
+@pytest.mark.parametrize(("n_docs", "ranges"), [(100, 4), (800, 32)])
+def test_op8_sketch_passes_few_single_windows(spark, n_docs, ranges):
+    """Texts without a repeated window: as the table grows, so do the ranges, and the share that passes stays small."""
+    import random
+
+    from tidemark.llm.substring_dedup import range_bits, suspect_names
+
+    rng = random.Random(n_docs)
+    texts = [(i, " ".join(f"{rng.randrange(10**8):08}" for _ in range(120))) for i in range(n_docs)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bits = range_bits(sum(len(t) for _, t in texts), 8192)
+    assert 1 << bits == ranges
+    passed = sum(len(r["names"]) for r in suspect_names(docs, 13, bits, cell_bits=15).collect())
+    assert passed < 0.1 * 108 * n_docs
+
+
+def test_op8_windows_of_very_many_documents(spark):
+    """A passage that all documents share goes from all but the first, whatever the batches."""
+    from tidemark.llm.substring_dedup import remove_repeated_windows
+
+    shared = " ".join(f"s{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"own{i} {shared} end{i}") for i in range(500)], "doc_id long, text string").repartition(7)
+    assert {(r["doc_id"], r["n_removed"]) for r in remove_repeated_windows(docs, texts=False).collect()} == {(i, 20 if i else 0) for i in range(500)}
 
 
 def test_op9(spark, any_dir, docs_of):

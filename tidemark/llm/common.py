@@ -1,16 +1,18 @@
 """Shared pieces of the training-data operators.
 
 Three things live here: vectorised word and n-gram hashing over Arrow string columns, tables
-written to the cluster's shared folder (so that a lost executor loses nothing), and a fixed-size
-membership bitmap that lets a scan drop most rows before a shuffle. A bitmap only ever lets too
-much through, so an exact join always follows it.
+written to the cluster's shared folder (so that a lost executor loses nothing), and membership
+filters that let a scan drop most rows before a shuffle. A filter only ever lets too much through,
+so an exact join always follows it.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Text is hashed in pieces of about this many bytes, so that a task's arrays stay small.
 SLICE_BYTES = 1 << 19
-#: Bits of a membership bitmap: 2 MiB when broadcast, whatever the size of the corpus.
-ID_BITS = 24
+#: log2 of the bits of a membership bitmap, at most: 32 MiB when broadcast. Larger sets of ids are joined instead.
+MOST_ID_BITS = 28
 
 _LOCAL_SCRATCH: list[str] = []
 
@@ -30,10 +32,13 @@ _LOCAL_SCRATCH: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one in local
+    mode, in which all tasks see it; on a cluster they would not, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL_SCRATCH:
         _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="spark-"))
     return f"file://{_LOCAL_SCRATCH[0]}"
@@ -52,28 +57,47 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-# --- fixed-size membership bitmap -----------------------------------------------------------
+# --- membership filters ---------------------------------------------------------------------
+
+#: Longs in a row of a membership bitmap.
+_WIDE = 16
+
+
+@dataclass(frozen=True)
+class Members:
+    """Ids that a scan is thinned by: a bitmap of 2**bits bits, or the ids themselves (bits is None)."""
+
+    table: DataFrame
+    column: str
+    bits: int | None
 
 
 def _bit(column: str, bits: int):
     return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << bits))
 
 
-def id_bitmap(ids: DataFrame, column: str, bits: int = ID_BITS) -> DataFrame:
-    """A bitmap of the hashed ids as at most 2**bits / 64 rows (bitmap_word, bitmap_bits)."""
+def members(ids: DataFrame, column: str, most_bits: int = MOST_ID_BITS) -> Members:
+    """ids is best a written table, as it is counted first. A bitmap of some eight bits an id is made if it
+    is no larger than 2**most_bits bits, and so may be broadcast; else the ids stay a table to be joined."""
+    bits = max(10, (8 * ids.count()).bit_length())
+    if bits > most_bits:
+        return Members(ids.select(F.col(column).alias("member_id")).distinct(), column, None)
     at = _bit(column, bits)
-    one = F.expr("shiftleft(1L, cast(bitmap_at & 63 as int))")
-    words = ids.select(at.alias("bitmap_at")).groupBy(F.shiftright("bitmap_at", 6).alias("bitmap_word"))
-    return materialize(words.agg(F.bit_or(one).alias("bitmap_bits")))
+    one, word = F.expr("shiftleft(1L, cast(bitmap_at & 63 as int))"), F.expr("shiftright(bitmap_at, 6) & 15")
+    rows = ids.select(at.alias("bitmap_at")).groupBy(F.shiftright("bitmap_at", 10).alias("bitmap_row"))
+    return Members(materialize(rows.agg(*[F.bit_or(F.when(word == j, one).otherwise(0)).alias(f"bitmap_{j}") for j in range(_WIDE)])), column, bits)
 
 
-def maybe_in(df: DataFrame, column: str, bitmap: DataFrame, bits: int = ID_BITS, keep: bool = True) -> DataFrame:
-    """Rows whose id may be in the bitmap (keep) or surely isn't (not keep). Broadcasts the bitmap,
-    which has a fixed size; every id that was put in passes, some others do too."""
-    marked = df.withColumn("bitmap_at", _bit(column, bits)).withColumn("bitmap_word", F.shiftright("bitmap_at", 6))
-    marked = marked.join(F.broadcast(bitmap), "bitmap_word", "left")
-    hit = F.coalesce(F.expr("(shiftrightunsigned(bitmap_bits, cast(bitmap_at & 63 as int)) & 1) = 1"), F.lit(False))
-    return marked.where(hit if keep else ~hit).drop("bitmap_at", "bitmap_word", "bitmap_bits")
+def maybe_in(df: DataFrame, column: str, ids: Members, keep: bool = True) -> DataFrame:
+    """Rows whose id may be among the ids (keep), or surely isn't (not keep). A bitmap also lets some
+    others pass, so an exact join follows; ids beyond the bitmap's bound are joined right here."""
+    if ids.bits is None:
+        return df.join(ids.table, df[column] == ids.table["member_id"], "left_semi" if keep else "left_anti")
+    marked = df.withColumn("bitmap_at", _bit(column, ids.bits)).withColumn("bitmap_row", F.shiftright("bitmap_at", 10))
+    marked = marked.join(F.broadcast(ids.table), "bitmap_row", "left")
+    word = f"array({', '.join(f'bitmap_{j}' for j in range(_WIDE))})[cast(shiftright(bitmap_at, 6) & 15 as int)]"
+    hit = F.coalesce(F.expr(f"(shiftrightunsigned({word}, cast(bitmap_at & 63 as int)) & 1) = 1"), F.lit(False))
+    return marked.where(hit if keep else ~hit).drop("bitmap_at", "bitmap_row", *[f"bitmap_{j}" for j in range(_WIDE)])
 
 
 # --- hashing --------------------------------------------------------------------------------
@@ -193,6 +217,32 @@ def packed_blocks(cells: np.ndarray, block_bits: int) -> tuple[list[int], list[n
     return [int(p[0] >> block_bits) for p in parts], [pack_gaps(p & ((1 << block_bits) - 1)) for p in parts]
 
 
+def pack_varints(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 to 2**35 - 1 as bytes of seven bits, the lowest first; the top bit says that more follow."""
+    values = values.astype(np.uint64)
+    more = [values >> np.uint64(7 * k) for k in range(1, 5)]
+    width = 1 + sum((m > 0).astype(np.int64) for m in more)
+    ends = np.cumsum(width)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    starts = ends - width
+    out[starts] = (values & np.uint64(127)).astype(np.uint8) | ((width > 1) << 7).astype(np.uint8)
+    for k, m in enumerate(more, 1):
+        has = np.flatnonzero(width > k)
+        out[starts[has] + k] = (m[has] & np.uint64(127)).astype(np.uint8) | ((width[has] > k + 1) << 7).astype(np.uint8)
+    return out
+
+
+def unpack_varints(packed: np.ndarray) -> np.ndarray:
+    if not len(packed):
+        return np.zeros(0, np.int64)
+    last = packed < 128
+    ends = np.flatnonzero(last)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    number = np.cumsum(last) - last
+    shift = np.arange(len(packed)) - starts[number]
+    return np.add.reduceat((packed & 127).astype(np.int64) << (7 * shift), starts)
+
+
 def binary_rows(parts: list[np.ndarray]) -> pa.Array:
     """Each array's bytes as one binary value."""
     return pa.array([x.tobytes() for x in parts], pa.binary())

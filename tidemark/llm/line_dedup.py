@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, id_bitmap, materialize, maybe_in, mix, signed, span_hashes, text_slices
+from tidemark.llm.common import documents, materialize, maybe_in, members, mix, signed, span_hashes, text_slices
 
 #: A line ends a chunk unless the mask meets zero, so 7 lines of 8 do: chunks have 2.1 lines on the average.
 ROLL, MASK, LEAST, MOST = 1, 7, 2, 16
@@ -156,11 +156,11 @@ def remove_repeated_chunks(docs: DataFrame, carry: list[str] | None = None, whol
     chunks = materialize(named.mapInArrow(_chunk_rows(whole_runs), "doc_id long, chunk int, hash long"))
     place = F.struct("doc_id", "chunk")
     twice = materialize(chunks.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("hash", "first"))
-    again = materialize(maybe_in(chunks, "hash", id_bitmap(twice, "hash")).join(twice.select("hash", "first"), "hash").distinct())
+    again = materialize(maybe_in(chunks, "hash", members(twice, "hash")).join(twice.select("hash", "first"), "hash").distinct())
 
     # the bytes of the first and of the later occurrences, compared in the JVM
     listed = again.groupBy("doc_id").agg(F.array_sort(F.collect_set("chunk")).alias("chunks"))
-    touched = id_bitmap(again.select("doc_id").distinct(), "doc_id")
+    touched = members(again, "doc_id")
     bodies = maybe_in(named, "doc_id", touched).join(listed.hint("merge"), "doc_id").mapInArrow(_chunk_texts(whole_runs), "doc_id long, chunk int, hash long, body binary")
     bodies = materialize(bodies.join(twice, "hash"))
     first = bodies.where("doc_id = first.doc_id and chunk = first.chunk").groupBy("hash").agg(F.min("body").alias("first_body"))
@@ -169,7 +169,7 @@ def remove_repeated_chunks(docs: DataFrame, carry: list[str] | None = None, whol
     equal = materialize(equal)
 
     schema = "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string" + (f", row_columns {docs.schema['row_columns'].dataType.simpleString()}" if carry else "")
-    losing = id_bitmap(equal, "doc_id")
+    losing = members(equal, "doc_id")
     clear = maybe_in(docs, "doc_id", losing, keep=False).mapInArrow(_keep(whole_runs), schema)
     joined = maybe_in(docs, "doc_id", losing).join(equal.hint("merge"), "doc_id", "left")
     return clear.unionByName(joined.mapInArrow(_keep(whole_runs), schema))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import binary_rows, connected_components, documents, id_bitmap, materialize, maybe_in, mix, ngrams, packed_blocks, signed, text_slices, unpack_gaps, words_of
+from tidemark.llm.common import binary_rows, connected_components, documents, materialize, maybe_in, members, mix, ngrams, packed_blocks, signed, text_slices, unpack_gaps, words_of
 
 #: log2 of the sketch's counters, at most: 16 MiB of bytes when broadcast.
 SKETCH_BITS = 24
@@ -257,13 +257,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketc
     reps = classes.select("first.*", "n")
     groups = materialize(_grouped(reps))
 
-    text_of = maybe_in(docs, "doc_id", id_bitmap(reps, "doc_id"))
+    text_of = maybe_in(docs, "doc_id", members(reps, "doc_id"))
     prefixes = text_of.mapInArrow(_prefixes(words, percent, sketch_bits, levels), "doc_id long, prefix array<long>")
     prefixes = materialize(prefixes.join(groups.hint("merge"), "doc_id"))
     entries = prefixes.select(F.explode("prefix").alias("token"), "group", F.struct("n", "doc_id").alias("doc"))
     shared = materialize(entries.groupBy("token").agg(F.min("doc.doc_id").alias("a"), F.max("doc.doc_id").alias("b")).where("a < b").select("token"))
     # the matrix, where it can matter: tokens of two sets or more, with the sets of each group that they bound
-    matrix = maybe_in(entries, "token", id_bitmap(shared, "token")).join(shared, "token")
+    matrix = maybe_in(entries, "token", members(shared, "token")).join(shared, "token")
     matrix = materialize(matrix.groupBy("token", "group").agg(F.collect_list("doc").alias("docs")))
     pairs = matrix.select("token", F.col("group").alias("g"), F.col("docs").alias("left")).join(matrix.select("token", F.col("group").alias("h"), F.col("docs").alias("right")), "token").where("g < h or g = h and size(left) > 1")
     pairs = pairs.groupBy("g", "h").agg(F.count(F.lit(1)).alias("overlap"), F.array_distinct(F.flatten(F.collect_list("left"))).alias("left"), F.array_distinct(F.flatten(F.collect_list("right"))).alias("right"))
@@ -274,7 +274,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketc
     sides = [pairs.where("g < h" if i else "true").select("g", "h", F.lit(i).alias("side"), F.explode(F.col(x).getField("doc_id")).alias("doc_id")) for i, x in enumerate(("left", "right"))]
     opened = materialize(sides[0].unionByName(sides[1]))
 
-    tokens = maybe_in(docs, "doc_id", id_bitmap(opened, "doc_id")).mapInArrow(_whole_sets(words), "doc_id long, tokens binary")
+    tokens = maybe_in(docs, "doc_id", members(opened, "doc_id")).mapInArrow(_whole_sets(words), "doc_id long, tokens binary")
     links = opened.hint("merge").join(tokens, "doc_id").select("g", "h", "side", "doc_id", "tokens").groupBy("g", "h").applyInArrow(_open_pair(percent), "a long, b long")
     components = connected_components(links)
 
