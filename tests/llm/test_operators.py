@@ -264,10 +264,20 @@ def test_op9(spark, any_dir, docs_of):
         places = [(j, label) for p, label in phrases.items() for j in range(len(w)) if w[j : j + len(p.split())] == p.split()]
         at = [j for j, _ in places]
         want.append({"doc_id": i, "n_words": len(w), "n_base": len(at), "first_word": min(at, default=None), "last_word": max(at, default=None), "base_labels": ",".join(sorted({x for _, x in places}))})
+    text_of = {i: t or "" for i, t, *_ in docs_of(any_dir)}
     got = run(spark, "op9_license_scan", any_dir)
     same(got, want, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     for r in got:
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    # labels and score of the notices, by a plain search; texts with a tag are tested in test_license_reach.py
+    from tidemark.llm.license_scan import NOTICES, TAGS
+
+    for r in got:
+        texts = [t or "" for i, t, *_ in docs_of(any_dir) if i == r["doc_id"]] if len(got) < 50 else [text_of[r["doc_id"]]]
+        spaced = [" " + " ".join(word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t))) + " " for t in texts]
+        held = [{(label, weight) for p, label, weight in NOTICES if f" {p} " in t} for t in spaced]
+        expected = [(",".join(sorted({x for x, _ in h})), max([w for _, w in h], default=0.0)) for h in held]
+        assert any(f" {p} " in t for p in TAGS for t in spaced) or (r["labels"], r["score"]) in expected
 
 
 def test_op9_expressions():
@@ -275,9 +285,10 @@ def test_op9_expressions():
 
     e = parse_expression("(MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0\nnext words here")
     assert e.licences() == {"mit", "apache-2.0", "gpl-2.0-only"}
-    assert e.allowed({"mit", "gpl-2.0-only"}) and not e.allowed({"mit", "apache-2.0"})
+    assert e.required() == {"gpl-2.0-only"}
+    assert e.allowed({"mit", "gpl-2.0-only"}.__contains__) and not e.allowed({"mit", "apache-2.0"}.__contains__)
     assert parse_expression("MIT OR ").licences() == {"mit"} and parse_expression("and or") is None
-    assert parse_expression("a or b and c").op == "or" and parse_expression("((x)").__class__ is type(None)
+    assert parse_expression("mit or isc and zlib").postfix == ("mit", "isc", "zlib", "and", "or") and parse_expression("((mit)") is None
 
 
 def repeated_pairs(docs):
