@@ -10,7 +10,7 @@ are named once, without their documents, so a range holds at most one cell of a
 window, however many documents share it.
 
 A second pass over the documents that have windows estimated as repeated groups exactly these, by
-128 bits of hash, which loses none and finds each window's smallest document. Words covered by a
+96 bits of hash, which loses none and finds each window's smallest document. Words covered by a
 window that starts in a smaller document go. Exact copies of a whole text need no grouping: all but
 the smallest document lose every word that a window covers.
 
@@ -33,11 +33,11 @@ from tidemark.llm.common import binary_rows, documents, materialize, maybe_in, m
 WINDOW = 13
 ROWS = 2
 #: Windows of a key range, about, and log2 of the cells in each row of its sketch (a byte each).
-RANGE_WINDOWS, CELL_BITS = 1 << 21, 23
+RANGE_WINDOWS, CELL_BITS = 1 << 21, 24
 #: Bits by which a sketch names a window in its range.
-NAME_BITS = 27
+NAME_BITS = 30
 #: Windows and documents that a partition sketch covers, about.
-BATCH_WINDOWS, BATCH_DOCS = 1 << 20, 50_000
+BATCH_WINDOWS, BATCH_DOCS = 1 << 19, 50_000
 _ROW_SEED = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
 _CHECK_SEED = np.uint64(0x2545F4914F6CDD1D)
 _SKETCH_COLUMNS = "range int, first_doc long, docs binary, doc_at binary, cells binary, repeated binary, doc_id long, names array<long>"
@@ -116,7 +116,7 @@ def _partition_sketches(window: int, bits: int):
             for low, grams, at, _ in windows_of(batch.column("text"), window):
                 rows = len(at) - 1
                 # a slice of many short texts may have more documents than a sketch can number
-                if n and (n + len(grams) > 2 * BATCH_WINDOWS or n_docs + rows > BATCH_DOCS):
+                if n and (n + len(grams) > 3 * BATCH_WINDOWS or n_docs + rows > BATCH_DOCS):
                     yield from flush()
                     hashes, owners, n, n_docs = [], [], 0, 0
                 if len(grams):
@@ -133,11 +133,11 @@ def _partition_sketches(window: int, bits: int):
 
 
 def _sketch_cells(names: np.ndarray, row: int, cell_bits: int) -> np.ndarray:
-    return (((names + 1).astype(np.uint64) * _ROW_SEED[row]) >> np.uint64(64 - cell_bits)).astype(np.int64)
+    return (((names + 1).astype(np.uint64) * _ROW_SEED[row]) >> np.uint64(64 - cell_bits)).astype(np.int32)
 
 
 def _merge_range(cell_bits: int):
-    """A range's partition sketches -> for each document, the windows whose counters are all two or more."""
+    """A range's partition sketches -> the windows of each document whose counters are all two or more."""
 
     def run(table: pa.Table) -> pa.Table:
         number = table.column("range")[0].as_py()
@@ -151,13 +151,13 @@ def _merge_range(cell_bits: int):
         suspect = np.ones(len(single), bool)
         for row in range(ROWS):
             own = _sketch_cells(single, row, cell_bits)
-            counters = np.minimum(np.bincount(own, minlength=1 << cell_bits), 2).astype(np.uint8)
+            ordered = np.sort(own)
+            counters = np.zeros(1 << cell_bits, np.uint8)  # one is as good as none: only two and more matters
+            counters[ordered[1:][ordered[1:] == ordered[:-1]]] = 2
             counters[_sketch_cells(several, row, cell_bits)] = 2
             suspect &= counters[own] > 1
-            del counters
         owner = np.concatenate([d[at] for _, d, at in messages])
-        docs, lists = _lists(single[suspect].astype(np.int64) + (number << NAME_BITS), owner[suspect])
-        return pa.table({"doc_id": pa.array(docs, pa.int64()), "names": lists})
+        return pa.table({"doc_id": pa.array(owner[suspect], pa.int64()), "name": pa.array(single[suspect].astype(np.int64) + (number << NAME_BITS), pa.int64())})
 
     return run
 
@@ -166,8 +166,8 @@ def suspect_names(texts: DataFrame, window: int, bits: int, cell_bits: int = CEL
     """texts (doc_id, text) -> doc_id, names: the windows of each document, by name, that are estimated as repeated."""
     sketches = materialize(texts.mapInArrow(_partition_sketches(window, bits), _SKETCH_COLUMNS))
     known = sketches.where("range is null").select("doc_id", "names")
-    merged = sketches.where("range is not null").select("range", "first_doc", "docs", "doc_at", "cells", "repeated").groupBy("range").applyInArrow(_merge_range(cell_bits), "doc_id long, names array<long>")
-    return materialize(known.unionByName(merged).groupBy("doc_id").agg(F.flatten(F.collect_list("names")).alias("names")))
+    merged = sketches.where("range is not null").select("range", "first_doc", "docs", "doc_at", "cells", "repeated").groupBy("range").applyInArrow(_merge_range(cell_bits), "doc_id long, name long")
+    return materialize(known.unionByName(merged.select("doc_id", F.array("name").alias("names"))).groupBy("doc_id").agg(F.flatten(F.collect_list("names")).alias("names")))
 
 
 def _suspects(window: int, bits: int):
@@ -189,7 +189,7 @@ def _suspects(window: int, bits: int):
                     out[1].append(checks[own][hit][first])
                     out[2].append(np.full(len(h), ids[low + i]))
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(out[0]))), pa.array(signed(np.concatenate(out[1]))), pa.array(np.concatenate(out[2]))], names=["window", "check", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(out[0]))), pa.array((signed(np.concatenate(out[1])) >> 32).astype(np.int32)), pa.array(np.concatenate(out[2]))], names=["window", "check", "doc_id"])
 
     return run
 
@@ -250,7 +250,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, texts: bool =
     originals = maybe_in(docs.where("doc_id is not null"), "doc_id", members(firsts, "first_id"))
     names = suspect_names(originals, window, bits, cell_bits)
     again = maybe_in(originals, "doc_id", members(names, "doc_id")).join(names.hint("merge"), "doc_id")
-    suspects = materialize(again.mapInArrow(_suspects(window, bits), "window long, check long, doc_id long"))
+    suspects = materialize(again.mapInArrow(_suspects(window, bits), "window long, check int, doc_id long"))
     least = materialize(suspects.groupBy("window", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
     flagged = suspects.join(least, ["window", "check"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
     flagged = materialize(flagged.join(copies.withColumn("every", F.lit(True)), "doc_id", "full").select("doc_id", "windows", F.coalesce("every", F.lit(False)).alias("every")))
