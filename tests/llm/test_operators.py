@@ -207,6 +207,35 @@ def test_op7(spark, any_dir, docs_of):
     same(got, run(spark, "op7_source_mix", any_dir), "doc_id", "taken")
 
 
+def test_op7_inclusion_follows_the_probabilities(spark):
+    """Within one source, documents are sampled in proportion to their size, large ones for certain."""
+    from tidemark.llm.source_mix import mix_sources
+
+    docs = spark.createDataFrame([(i, "w " * (10, 20, 40, 400)[min(i % 4, 3 if i < 40 else 2)], "b" if i % 5 else "a") for i in range(4000)], "doc_id long, text string, source string")
+    share, expected = Counter(), {}
+    for seed in (1, 2, 3):
+        rows = mix_sources(docs, seed=seed).where("source = 'b'").collect()
+        whole = min(r["copies"] for r in rows)
+        assert {r["copies"] - whole for r in rows} == {0, 1}
+        for size in (10, 20, 40, 400):
+            own = [r for r in rows if r["size"] == size]
+            expected[size] = sum(r["p"] for r in own) / len(own)
+            assert max(r["p"] for r in own) - min(r["p"] for r in own) < 1e-9
+            share[size] += sum(r["copies"] - whole for r in own) / len(own) / 3
+    assert 0.05 < expected[10] and expected[20] == pytest.approx(2 * expected[10]) and expected[400] > 0.99
+    assert all(abs(share[s] - expected[s]) < 0.05 for s in expected)
+
+
+def test_op7_many_sources(spark, monkeypatch):
+    """Beyond FEW_SOURCES the tables of sources are joined; nothing else changes."""
+    from tidemark.llm import source_mix
+
+    docs = spark.createDataFrame([(i, "w " * (i % 13), f"s{i % 300}" if i % 7 else None) for i in range(2000)], "doc_id long, text string, source string")
+    few = sorted(tuple(r) for r in source_mix.mix_sources(docs).select("doc_id", "source_size", "target", "taken").collect())
+    monkeypatch.setattr(source_mix, "FEW_SOURCES", 10)
+    assert few == sorted(tuple(r) for r in source_mix.mix_sources(docs).select("doc_id", "source_size", "target", "taken").collect())
+
+
 def test_op8(spark, any_dir, docs_of):
     docs = [(i, WORD.findall(t or "")) for i, t, *_ in docs_of(any_dir)]
     first = {}

@@ -76,3 +76,19 @@ def test_packing_covers_every_row(spark, sf_dir, stages):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)
     out = stages["best-fit packing"](spark, docs.union(docs.limit(5)), sf_dir).where("piece = 0")
     assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in docs.union(docs.limit(5)).collect())
+
+
+def test_stages_keep_clashing_columns(spark, sf_dir, stages):
+    """Columns with the names of inner ones stay as they are, and different texts under one id are documents of their own."""
+    names = ["copies", "mix_size", "kept_id", "extra", "size", "text_hash", "line", "repeats", "component_id", "n", "bucket", "p", "of_source", "mix_row", "kept_text"]
+    rows = [(2, "alpha beta gamma delta epsilon zeta eta theta", "s", 1), (2, "one quite different text under the same id it is", "s", 2), (3, "alpha beta gamma delta epsilon zeta eta theta", "s", 3), (4, None, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, docs["n_chars"] + i)
+    for name in ("line dedup", "n-gram Jaccard join", "source mix"):
+        out = stages[name](spark, docs, sf_dir)
+        assert out.dtypes == docs.dtypes
+        for r in out.collect():
+            assert name == "line dedup" or all(r[x] == r["n_chars"] + i for i, x in enumerate(names))
+    kept = {r["text"] for r in stages["n-gram Jaccard join"](spark, docs, sf_dir).collect()}
+    assert kept == {r[1] for r in rows}
