@@ -47,7 +47,7 @@ def test_op1(spark, any_dir, docs_of):
         if i is not None:
             for g in s:
                 holders[g].append(n)
-    seen = set()
+    seen, links = set(), Counter()
     for members in holders.values():
         for a in members:
             for b in members:
@@ -55,10 +55,12 @@ def test_op1(spark, any_dir, docs_of):
                     seen.add((a, b))
                     x, y = sets[a][1], sets[b][1]
                     if 100 * len(x & y) >= 85 * len(x | y):
+                        links[a] += 1
+                        links[b] += 1
                         p, q = root(sets[a][0]), root(sets[b][0])
                         parent[max(p, q)] = min(p, q)
-    want = [{"doc_id": i, "n_shingles": len(s), "component_id": None if i is None else root(i)} for i, s in sets]
-    same(run(spark, "op1_ngram_jaccard", any_dir), want, "doc_id", "n_shingles", "component_id")
+    want = [{"doc_id": i, "n_shingles": len(s), "component_id": None if i is None else root(i), "n_links": links[n]} for n, (i, s) in enumerate(sets)]
+    same(run(spark, "op1_ngram_jaccard", any_dir), want, "doc_id", "n_shingles", "component_id", "n_links")
 
 
 def test_op2(spark, any_dir, docs_of):

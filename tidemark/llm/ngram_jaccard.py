@@ -14,8 +14,8 @@ where that bound allows it; inside, intersections are counted exactly.
   be opened for it. Rarity comes from a merged count sketch over all documents, whose
   fixed size bounds what is broadcast; any order gives the same links, a good one keeps lines that
   a third of the documents share out of the prefixes.
-* A pair of groups yields a spanning forest of its links, not all of them, and components follow
-  from the forests.
+* A pair of groups yields a spanning forest of its links and the number of links of each set; the
+  components follow from the forests, the numbers add up.
 
 Nulls and empty texts have an empty set and no link; null doc_ids are left out of the grouping and
 get no component. Rows may repeat. Extra columns are ignored.
@@ -36,7 +36,7 @@ from tidemark.llm.common import binary_rows, connected_components, documents, ma
 SKETCH_BITS = 24
 BLOCK_BITS = 16
 #: Shingles and sets that a group holds at most, on average.
-GROUP_SHINGLES, GROUP_SETS = 1 << 17, 256
+GROUP_SHINGLES, GROUP_SETS = 1 << 18, 512
 KEYS = 4
 
 
@@ -160,8 +160,10 @@ def _whole_sets(k: int):
     return run
 
 
-def _links_between(ids: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links from the sets at `left` to those at `right`."""
+def _links_between(ids: list[int], sets: list[np.ndarray], copies: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the links from the sets at `left` to those at `right`, and the number of
+    documents that each set is linked with, for sets that so many documents have."""
+    n_links = np.zeros(len(ids), np.int64)
     sizes = np.array([len(s) for s in sets])
     _, code = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.concatenate([[0], np.cumsum(sizes)])
@@ -172,7 +174,7 @@ def _links_between(ids: list[int], sets: list[np.ndarray], left: np.ndarray, rig
     shared = np.array([int(union[code[at[i] : at[i + 1]]].sum()) for i in left])
     open_for = left[100 * shared >= percent * sizes[left]]
     if not len(open_for):
-        return []
+        return [], n_links
     # only shingles that two sets hold can meet
     useful = np.flatnonzero(count > 1)
     place = np.full(len(count), -1)
@@ -202,12 +204,17 @@ def _links_between(ids: list[int], sets: list[np.ndarray], left: np.ndarray, rig
             cols = right[b : b + step]
             inter = (m @ matrix(cols).T).astype(np.int64)
             hit = (100 + percent) * inter >= percent * (sizes[rows][:, None] + sizes[cols][None, :])
+            if left is right:
+                hit &= rows[:, None] != cols[None, :]
+            else:
+                n_links[cols] += copies[rows] @ hit
+            n_links[rows] += hit @ copies[cols]
             for r, c in zip(*np.nonzero(hit), strict=True):
                 x, y = root(int(rows[r])), root(int(cols[c]))
                 if x != y:
                     parent[x] = y
                     found.append((ids[int(rows[r])], ids[int(cols[c])]))
-    return found
+    return found, n_links
 
 
 def _open_pair(percent: int):
@@ -218,8 +225,10 @@ def _open_pair(percent: int):
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(right):  # a group with itself
             left = right = np.arange(len(ids))
-        links = _links_between(ids, sets, left, right, percent)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        links, n_links = _links_between(ids, sets, table.column("copies").to_numpy(), left, right, percent)
+        linked = np.flatnonzero(n_links)
+        a, b = [x for x, _ in links] + [ids[i] for i in linked], [y for _, y in links] + [None] * len(linked)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n_links": pa.array([0] * len(links) + n_links[linked].tolist(), pa.int64())})
 
     return run
 
@@ -229,17 +238,19 @@ def _grouped(reps: DataFrame) -> DataFrame:
     alone, done = reps, None
     for i in range(KEYS - 1):
         size = alone.groupBy(f"key{i}").agg(F.count(F.lit(1)).alias("family_sets"), F.sum("n").alias("family_n")).where("family_sets > 1")
-        joined = materialize(alone.join(size, f"key{i}", "left"))
+        # written, so that a join with a large family can be split
+        joined = materialize(alone.join(materialize(size).hint("merge"), f"key{i}", "left"))
         parts = F.greatest(F.ceil(F.col("family_n") / GROUP_SHINGLES), F.ceil(F.col("family_sets") / GROUP_SETS))
         part = F.pmod(F.xxhash64("doc_id", F.lit("part")), parts)
-        met = joined.where("family_sets is not null").select("doc_id", "n", F.xxhash64(F.lit(i), f"key{i}", part).alias("group"))
+        met = joined.where("family_sets is not null").select("doc_id", "n", "copies", F.xxhash64(F.lit(i), f"key{i}", part).alias("group"))
         done = met if done is None else done.unionByName(met)
         alone = joined.where("family_sets is null").drop("family_sets", "family_n")
-    return done.unionByName(alone.select("doc_id", "n", F.xxhash64(F.lit(-1), "doc_id").alias("group")))
+    return done.unionByName(alone.select("doc_id", "n", "copies", F.xxhash64(F.lit(-1), "doc_id").alias("group")))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_shingles, component_id), one row per row of docs.
+    """docs (doc_id, text) -> (doc_id, n_shingles, component_id, n_links), one row per row of docs.
+    n_links is the number of other documents (rows) that this one is linked with, copies among them.
 
     words: words a shingle has; percent: least Jaccard similarity of a link, in hundredths."""
     spark = docs.sparkSession
@@ -253,14 +264,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketc
 
     sets = profile.where("n > 0 and doc_id is not null")
     first = F.min(F.struct("doc_id", *[f"key{i}" for i in range(KEYS)])).alias("first")
-    classes = materialize(sets.groupBy("sig_a", "sig_b", "n").agg(first))
-    reps = classes.select("first.*", "n")
+    classes = materialize(sets.groupBy("sig_a", "sig_b", "n").agg(first, F.count(F.lit(1)).alias("copies")))
+    reps = classes.select("first.*", "n", "copies")
     groups = materialize(_grouped(reps))
 
     text_of = maybe_in(docs, "doc_id", members(reps, "doc_id"))
     prefixes = text_of.mapInArrow(_prefixes(words, percent, sketch_bits, levels), "doc_id long, prefix array<long>")
     prefixes = materialize(prefixes.join(groups.hint("merge"), "doc_id"))
-    entries = prefixes.select(F.explode("prefix").alias("token"), "group", F.struct("n", "doc_id").alias("doc"))
+    entries = prefixes.select(F.explode("prefix").alias("token"), "group", F.struct("n", "doc_id", "copies").alias("doc"))
     shared = materialize(entries.groupBy("token").agg(F.min("doc.doc_id").alias("a"), F.max("doc.doc_id").alias("b")).where("a < b").select("token"))
     # the matrix, where it can matter: tokens of two sets or more, with the sets of each group that they bound
     matrix = maybe_in(entries, "token", members(shared, "token")).join(shared, "token")
@@ -271,17 +282,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketc
     pairs = pairs.where(F.col("overlap") >= 1 + F.floor(fewest * 4 / 100))
     near = f"exists({{other}}, y -> y.doc_id <> x.doc_id and 100 * y.n >= {percent} * x.n and 100 * x.n >= {percent} * y.n)"
     pairs = materialize(pairs.select("g", "h", F.expr(f"filter(left, x -> {near.format(other='right')})").alias("left"), F.expr(f"filter(right, x -> {near.format(other='left')})").alias("right")).where("size(left) > 0"))
-    sides = [pairs.where("g < h" if i else "true").select("g", "h", F.lit(i).alias("side"), F.explode(F.col(x).getField("doc_id")).alias("doc_id")) for i, x in enumerate(("left", "right"))]
+    sides = [pairs.where("g < h" if i else "true").select("g", "h", F.lit(i).alias("side"), F.explode(x).alias("doc")).select("g", "h", "side", "doc.doc_id", "doc.copies") for i, x in enumerate(("left", "right"))]
     opened = materialize(sides[0].unionByName(sides[1]))
 
     tokens = maybe_in(docs, "doc_id", members(opened, "doc_id")).mapInArrow(_whole_sets(words), "doc_id long, tokens binary")
-    links = opened.hint("merge").join(tokens, "doc_id").select("g", "h", "side", "doc_id", "tokens").groupBy("g", "h").applyInArrow(_open_pair(percent), "a long, b long")
-    components = connected_components(links)
-
-    of_class = classes.select("sig_a", "sig_b", "n", F.col("first.doc_id").alias("rep"))
-    of_class = of_class.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("sig_a", "sig_b", "n", F.coalesce("component", "rep").alias("component_id"))
+    met = opened.hint("merge").join(tokens, "doc_id").select("g", "h", "side", "doc_id", "copies", "tokens")
+    links = materialize(met.groupBy("g", "h").applyInArrow(_open_pair(percent), "a long, b long, n_links long"))
+    components = connected_components(links.where("b is not null").select("a", "b"))
+    n_links = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("n_links"))
+
+    of_class = classes.select("sig_a", "sig_b", "n", "copies", F.col("first.doc_id").alias("rep"))
+    of_class = of_class.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(n_links, "rep", "left")
+    of_class = of_class.select("sig_a", "sig_b", "n", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     found = profile.join(materialize(of_class), ["sig_a", "sig_b", "n"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    named = F.col("doc_id").isNotNull()
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(named, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
@@ -290,7 +305,12 @@ def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays: the one with the smallest id. Rows without doc_id stay."""
-    kept = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["kept_id"]).drop("kept_id").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """One document of each near-duplicate component stays: the one with the smallest id. Rows without doc_id
+    stay, and so do all rows of an id that stays, once for each text."""
+    kept = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("near_kept")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("near_id"), F.struct("*").alias("near_row"))
+    named = rows.where("near_id is not null").join(kept, F.col("near_id") == F.col("near_kept"), "left_semi")
+    # rows of one id and text are one document; the order of their other columns decides which stays
+    digest = F.xxhash64(F.to_json("near_row", {"ignoreNullFields": "false"}))
+    same = named.groupBy("near_id", F.xxhash64("near_row.text")).agg(F.min_by("near_row", digest).alias("near_row"))
+    return same.select("near_row.*").unionByName(rows.where("near_id is null").select("near_row.*"))

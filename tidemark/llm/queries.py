@@ -44,8 +44,10 @@ s as (select distinct doc_id, g from (select doc_id, ws[i : i + 3] as g from (se
 sizes as (select w.doc_id, cast(count(g) as bigint) as n from w left join s on w.doc_id = s.doc_id group by 1),
 links as (select a.doc_id as x, b.doc_id as y from s a join s b on a.g = b.g join sizes p on a.doc_id = p.doc_id join sizes q on b.doc_id = q.doc_id
   where a.doc_id <> b.doc_id and 100 * p.n >= 85 * q.n and 100 * q.n >= 85 * p.n group by 1, 2, p.n, q.n having 185 * count(*) >= 85 * (p.n + q.n)),
+counted as (select x, count(*) as c from links group by x),
 reach as (select doc_id as x, doc_id as y from w union select r.x, l.y from reach r join links l on r.y = l.x)
-select z.doc_id, z.n as n_shingles, min(r.y) as component_id from sizes z join reach r on z.doc_id = r.x group by 1, 2"""
+select z.doc_id, z.n as n_shingles, min(r.y) as component_id, cast(coalesce(any_value(c), 0) as bigint) as n_links
+from sizes z join reach r on z.doc_id = r.x left join counted on z.doc_id = counted.x group by 1, 2"""
 
 _OP8 = r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
