@@ -91,6 +91,59 @@ def test_op2_edited_equals_fingerprint_of_edited_text(spark, sf_dir, docs_of):
     assert sum(r["near_edited"] for r in got) / len(got) > 0.5 > 0.1 > sum(r["near_next"] for r in got) / len(got)
 
 
+@pytest.mark.parametrize("kind", ["latin", "base64", "cjk", "thai", "words", "short"])
+def test_op2_insertions_keep_likeness(spark, kind):
+    """A character put in at the head of a text, with spaces or without any, leaves its fingerprint alike; other texts are not."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.syncmer_fingerprint import likeness_sql, sketch_sql
+
+    rng = random.Random(kind)
+    letters = {"latin": "abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "cjk": [chr(x) for x in range(0x4E00, 0x5200)], "thai": [chr(x) for x in range(0xE01, 0xE2F)]}
+    if kind in letters:
+        texts = ["".join(rng.choice(letters[kind]) for _ in range(n)) for n in (900, 1200, 1500, 5000)]
+    else:
+        texts = [" ".join("".join(rng.choice(letters["latin"]) for _ in range(rng.randrange(2, 9))) for _ in range(n)) for n in ((20, 25, 30, 40) if kind == "short" else (80, 300, 1000, 3000))]
+    rows = spark.createDataFrame([(t, "x" + t, texts[i - 1]) for i, t in enumerate(texts)], "own string, near string, far string")
+    rows = rows.select(*[F.expr(sketch_sql(x)).alias(x) for x in rows.columns])
+    for near, far in rows.select(F.expr(likeness_sql("own", "near")), F.expr(likeness_sql("own", "far"))).collect():
+        assert near > (0.6 if kind == "short" else 0.9) and far < 0.1
+
+
+def test_op2_fingerprint_by_brute_force(spark, edge_dir, docs_of):
+    """Symbols, k-mers and their edges by plain Python, with the hash that Spark gives."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import syncmer_fingerprint as op
+
+    pattern = re.compile(op.SYMBOL.replace("\\x{10FFFF}", "\U0010ffff"))
+    texts = sorted({t or "" for _, t, *_ in docs_of(edge_dir) if len(t or "") < 3000})
+    marked = []
+    for t in texts:
+        symbols = [m[0] for m in pattern.finditer(t)] or ([t] if t else [])
+        marked.append(["\x02"] * 3 + symbols + ["\x03"] * 2 if symbols else [])
+    pairs = sorted({(a, b) for w in marked for a, b in zip(w, w[1:], strict=False)})
+    mers = {(r["a"], r["b"]): r["h"] for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    chosen = []
+    for w in marked:
+        m = [mers[p] for p in zip(w, w[1:], strict=False)]
+        chosen.append([(i, m[i], m[i + 2], m[i + 4]) for i in range(len(m) - 4) if i == 0 or min(m[i], m[i + 4]) <= min(m[i + 1 : i + 4])])
+    whole = sorted({c[1:] for own in chosen for c in own})
+    hashes = {(r["x"], r["y"], r["z"]): r["h"] for r in spark.createDataFrame(whole, "x long, y long, z long").select("x", "y", "z", F.xxhash64("x", "y", "z").bitwiseAND((1 << 40) - 1).alias("h")).collect()}
+    want = []
+    for t, own in zip(texts, chosen, strict=True):
+        first = {}
+        for i, *mer in own:
+            first.setdefault(hashes[tuple(mer)], i)
+        want.append((t, " ".join(f"{h:x}:{i}" for h, i in sorted(first.items())[: op.SIZE])))
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.expr(op.spelled_sql(op.sketch_sql("text")))).collect()
+    assert sorted(tuple(r) for r in got) == want
+
+
 def test_op3(spark, any_dir, docs_of):
     import numpy as np
     import public_tokenizers

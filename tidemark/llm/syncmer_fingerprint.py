@@ -1,20 +1,24 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-The symbols of a text are its words, long ones cut into pieces. A k-mer of symbols is an anchor if
-the smallest hash of its inner s-mers is that of its first or its last one. That depends on the
-k-mer alone, so a passage keeps its anchors wherever it stands. A fingerprint is the `SIZE` anchors
-of the smallest hashes, with their places, as "hash:place" words. Texts of few bytes have too few
-symbols for that: all their s-mers of bytes stand in, and between `LOW` and `HIGH` bytes both are used, so
-that texts on either side of the border still compare; the better likeness counts.
+A text's symbols are cut at content-defined places: between white space, behind each character of
+`CUT`, and around each character of scripts that write without spaces (from U+0900 on). A k-mer of
+symbols is an anchor if the smallest hash of its inner s-mers is that of its first or its last one.
+That depends on the k-mer alone, so a passage keeps its anchors wherever it stands, in texts with
+and without spaces. Marks before the first and behind the last symbol belong to the k-mers there, and
+the first k-mer, with the marks, is always an anchor: so every text that is not empty has one, and short texts are
+treated as long ones are. A fingerprint is the `SIZE` anchors of the smallest hashes, with their places, as
+"hash:place" words.
 
 The likeness of two fingerprints is the Dice coefficient estimated from the smallest hashes of
 both, where an anchor counts as shared if its places differ by what the median of all shared
 anchors does, give or take `SLACK`. Two empty texts are alike (1); an empty one is like no other (0).
+A text of white space alone is one symbol. In other scripts a long run without spaces and without a
+character of `CUT` is one symbol, too.
 
 The next document in descending doc_id order is found without a global sort: documents are dealt
 into buckets of neighbouring ids between quantiles, a window orders each, and every bucket gets one
-extra row, the first of the next bucket that has rows. A null text is empty. Null doc_ids come
-last; rows of one doc_id follow each other by text. Extra columns are ignored.
+extra row, the first of the next bucket that has rows; these are found among `WIDE` buckets at a time. A null
+text is empty. Null doc_ids come last; rows of one doc_id follow each other by text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +28,18 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, materialize
 
-#: Symbols of a k-mer and of its inner s-mers; bytes of the s-mers of short texts.
-K, S, SHORT_S = 6, 2, 4
-SYMBOL = r"[^\x20\x09-\x0D]{1,16}"
+#: Symbols of a k-mer and of its inner s-mers.
+K, S = 6, 2
+#: Characters that end a symbol: some one in ten of letters, of base 64 and of digits.
+CUT = "oOkKvV5/=\u043e\u041e\u043a\u041a\u0432\u0412\u03bf\u039f\u03ba\u039a\u03bd\u039d\u05d5\u05e7\u0627\u0643\u0648"
+_ALONE = r"\u0900-\x{10FFFF}"
+SYMBOL = rf"[^\x20\x09-\x0D{CUT}{_ALONE}]++[{CUT}]?|[{CUT}]|[{_ALONE}]"
 SIZE = 48
-LOW, HIGH = 200, 312
 SLACK = 32
 #: Rows of a bucket, about, and quantiles that bound the buckets; within a pair of quantiles they are of equal width.
 BUCKET_ROWS, QUANTILES = 64, 64
+#: Buckets whose tops are ordered together.
+WIDE = 4096
 _MASK = (1 << 40) - 1
 _ANCHORS = "array<struct<h:bigint,place:int>>"
 
@@ -42,20 +50,16 @@ def let(name: str, value: str, body: str) -> str:
 
 
 def anchors_sql(text: str) -> str:
-    """All closed syncmers of a text, as structs of hash and place (symbols from 0). The s-mers of a
+    """The closed syncmers of a text, as structs of hash and place (symbols from 0). The s-mers of a
     k-mer at i are those at i to i + K - S; an anchor's hash covers its symbols once each."""
-    inner = f"if(size(w) >= {S}, transform(sequence(0, size(w) - {S}), i -> xxhash64({', '.join(f'w[i + {j}]' for j in range(S))})), cast(array() as array<bigint>))"
     last = K - S
-    edge = f"least(m[i], m[i + {last}]) <= least({', '.join(f'm[i + {j}]' for j in range(1, last))})"
+    found = f"regexp_extract_all({text}, r'{SYMBOL}', 0)"
+    marked = let("v", found, f"if(size(v) = 0 and {text} = '', v, concat(array('\x02', '\x02', '\x02'), if(size(v) = 0, array({text}), v), array('\x03', '\x03')))")
+    inner = f"if(size(w) >= {S}, transform(sequence(0, size(w) - {S}), i -> xxhash64({', '.join(f'w[i + {j}]' for j in range(S))})), cast(array() as array<bigint>))"
+    edge = f"i = 0 or least(m[i], m[i + {last}]) <= least({', '.join(f'm[i + {j}]' for j in range(1, last))})"
     whole = ", ".join(f"m[i + {j}]" for j in range(0, K, S))
-    chosen = f"transform(filter(sequence(0, size(m) - {last + 1}), i -> {edge}), i -> named_struct('h', (xxhash64({whole}) & {_MASK}L) * 2, 'place', i))"
-    return let("w", f"regexp_extract_all({text}, r'{SYMBOL}', 0)", let("m", inner, f"if(size(m) > {last}, {chosen}, cast(array() as {_ANCHORS}))"))
-
-
-def all_inner_sql(text: str, s: int = SHORT_S) -> str:
-    """Every s-mer of bytes of a short text; a shorter one as a whole."""
-    every = f"transform(sequence(1, greatest(octet_length(b) - {s - 1}, 1)), i -> named_struct('h', (xxhash64(substring(b, i, {s})) & {_MASK}L) * 2 + 1, 'place', i))"
-    return let("b", f"cast({text} as binary)", f"if(octet_length(b) = 0, cast(array() as {_ANCHORS}), {every})")
+    chosen = f"transform(filter(sequence(0, size(m) - {last + 1}), i -> {edge}), i -> named_struct('h', xxhash64({whole}) & {_MASK}L, 'place', i))"
+    return let("w", marked, let("m", inner, f"if(size(m) > {last}, {chosen}, cast(array() as {_ANCHORS}))"))
 
 
 def smallest_sql(anchors: str, size: int = SIZE) -> str:
@@ -64,9 +68,7 @@ def smallest_sql(anchors: str, size: int = SIZE) -> str:
 
 
 def sketch_sql(text: str, size: int = SIZE) -> str:
-    """Anchors of symbols have even hashes, s-mers of bytes odd ones."""
-    none = f"cast(array() as {_ANCHORS})"
-    return f"concat(if(octet_length({text}) < {HIGH}, {smallest_sql(all_inner_sql(text), size)}, {none}), if(octet_length({text}) >= {LOW}, {smallest_sql(anchors_sql(text), size)}, {none}))"
+    return smallest_sql(anchors_sql(text), size)
 
 
 def spelled_sql(sketch: str) -> str:
@@ -74,19 +76,13 @@ def spelled_sql(sketch: str) -> str:
 
 
 def likeness_sql(a: str, b: str, size: int = SIZE) -> str:
-    """0 to 1, from two sketches: the better of what their symbols and their bytes say."""
-    kind = lambda sketch, odd: f"filter({sketch}, x -> x.h % 2 = {odd})"
-    both = [let("p", kind(a, odd), let("q", kind(b, odd), _alike_sql("p", "q", size))) for odd in (0, 1)]
-    return f"case when size({a}) = 0 and size({b}) = 0 then 1.0D else greatest({', '.join(both)}) end"
-
-
-def _alike_sql(a: str, b: str, size: int) -> str:
+    """0 to 1, from two sketches."""
     union = f"slice(array_sort(array_union({a}.h, {b}.h)), 1, {size})"
     common = f"array_intersect(u, array_intersect({a}.h, {b}.h))"
     shifts = f"zip_with(filter({a}, x -> array_contains(c, x.h)).place, filter({b}, x -> array_contains(c, x.h)).place, (x, y) -> y - x)"
     steady = let("d", f"array_sort({shifts})", f"size(filter(d, x -> abs(x - d[cast(size(d) div 2 as int)]) <= {SLACK}))")
     share = let("u", union, let("j", f"{let('c', common, f'if(size(c) = 0, 0, {steady})')} / size(u)", "2 * j / (1 + j)"))
-    return f"if(size({a}) = 0 or size({b}) = 0, 0.0D, cast({share} as double))"
+    return f"case when size({a}) = 0 and size({b}) = 0 then 1.0D when size({a}) = 0 or size({b}) = 0 then 0.0D else cast({share} as double) end"
 
 
 def fingerprints(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -112,11 +108,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> the same rows and one extra per bucket (extra is true), ready for windows in bucket
     order: the row that follows the bucket's last one in descending doc_id order, or the first of all."""
     dealt = with_bucket(docs)
-    tops = dealt.groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    after = Window.orderBy(F.desc("bucket"))  # a row per bucket
-    first = F.first("top").over(after.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = tops.withColumn("next_top", F.coalesce(F.lead("top").over(after), first)).select(F.col("bucket").alias("for_bucket"), "next_top")
-    heads = materialize(heads)
+    tops = materialize(dealt.groupBy("bucket").agg(F.max("doc_id").alias("top")).withColumn("wide", F.floor(F.col("bucket") / WIDE)))
+    # of each run of WIDE buckets the highest one's top; a row per run meets in one window
+    runs = tops.groupBy("wide").agg(F.max_by("top", "bucket").alias("run_top"))
+    after = Window.orderBy(F.desc("wide"))
+    first = F.first("run_top").over(after.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    runs = runs.select("wide", F.lead("run_top").over(after).alias("below"), F.lead(F.lit(True)).over(after).alias("has_below"), first.alias("first"))
+    within = Window.partitionBy("wide").orderBy(F.desc("bucket"))
+    heads = tops.withColumn("lead_top", F.lead("top").over(within)).withColumn("has_lead", F.lead(F.lit(True)).over(within)).join(runs, "wide")
+    next_top = F.when(F.col("has_lead"), F.col("lead_top")).when(F.col("has_below"), F.col("below")).otherwise(F.col("first"))
+    heads = materialize(heads.select(F.col("bucket").alias("for_bucket"), next_top.alias("next_top")))
     extra = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("next_top"))).select("doc_id", "text", F.col("for_bucket").alias("bucket"), F.lit(True).alias("extra"))
     return dealt.select("doc_id", "text", "bucket", F.lit(False).alias("extra")).unionByName(extra)
 
