@@ -48,15 +48,11 @@ def record_type(line: Column) -> Column:
     return F.when(found == "", "?").otherwise(found)
 
 
-def audit_epoch(line: Column) -> Column:
-    """Seconds from the header; null without one."""
-    return F.regexp_extract(line, MESSAGE, 1).try_cast("double")
-
-
-def audit_id(line: Column) -> Column:
-    """"epoch:serial" as written; null without a header."""
-    head = F.regexp_extract(line, MESSAGE, 1)
-    return F.when(head != "", F.concat_ws(":", head, F.regexp_extract(line, MESSAGE, 2)))
+def audit_header(line: Column) -> Column:
+    """A struct of id ("epoch:serial" as written) and epoch (seconds) from the header; null without one."""
+    inside = lambda found: F.substring(found, F.lit(11), F.length(found) - 11)  # noqa: E731  msg=audit(...)
+    read = lambda x: F.struct(x.alias("id"), F.substring_index(x, ":", 1).try_cast("double").alias("epoch"))
+    return bind(F.regexp_extract(line, MESSAGE, 0), lambda found: F.when(found != "", bind(inside(found), read)))
 
 
 def body_of(line: Column) -> Column:
@@ -66,17 +62,21 @@ def body_of(line: Column) -> Column:
 
 
 def entries(blob: Column) -> Column:
-    """key=value pairs in order, as structs (k, v)."""
-    both = F.arrays_zip(F.regexp_extract_all(blob, F.lit(FIELD), 1).alias("k"), F.regexp_extract_all(blob, F.lit(FIELD), 2).alias("v"))
-    return F.transform(both, lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))
+    """key=value pairs in order, as structs (k, v). A key holds no equals sign, so the first one parts them."""
+
+    def parted(pair: Column) -> Column:
+        return bind(F.substring_index(pair, "=", 1), lambda k: F.struct(k.alias("k"), F.substring(pair, F.length(k) + 2, F.length(pair)).alias("v")))
+
+    return F.transform(F.regexp_extract_all(blob, F.lit(FIELD), 0), parted)
 
 
 def last_wins(pairs: Column) -> Column:
-    """A map of structs (k, v), later ones replacing earlier ones."""
+    """A map of structs (k, v), later ones replacing earlier ones; most records repeat no key."""
 
     def kept(all_pairs: Column) -> Column:
         rest = lambda i: F.slice(all_pairs, i + 2, F.greatest(F.size(all_pairs) - i - 1, F.lit(0)))
-        return F.map_from_entries(F.filter(all_pairs, lambda e, i: ~F.exists(rest(i), lambda later: later["k"] == e["k"])))
+        last = F.filter(all_pairs, lambda e, i: ~F.exists(rest(i), lambda later: later["k"] == e["k"]))
+        return F.map_from_entries(F.when(F.size(F.array_distinct(all_pairs["k"])) == F.size(all_pairs), all_pairs).otherwise(last))
 
     return bind(pairs, kept)
 

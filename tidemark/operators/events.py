@@ -36,7 +36,8 @@ def parse_records(lines: DataFrame) -> DataFrame:
     """(file, line_no, value) -> one row per record of a class that is read: adds record_type, class,
     audit_id, epoch and pairs. The class filter stands before the field parser."""
     typed = lines.withColumn("record_type", T.record_type(F.col("value"))).withColumn("class", record_class(F.col("record_type"))).where("class is not null")
-    headed = typed.withColumn("audit_id", T.audit_id(F.col("value"))).where("audit_id is not null").withColumn("epoch", F.coalesce(T.audit_epoch(F.col("value")), F.lit(0.0)))
+    headed = typed.withColumn("header", T.audit_header(F.col("value"))).where("header is not null")
+    headed = headed.withColumn("audit_id", F.col("header.id")).withColumn("epoch", F.coalesce("header.epoch", F.lit(0.0))).drop("header")
     return headed.withColumn("pairs", T.record_entries(F.col("value"))).withColumn("fields", T.last_wins(F.col("pairs")))
 
 

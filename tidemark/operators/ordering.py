@@ -6,22 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_by_time(df: DataFrame, epoch: str, order: list, name: str) -> DataFrame:
+#: Numbers of the first order column that rows without a time are dealt by.
+_CHUNK = 1 << 16
+
+
+def number_by_time(df: DataFrame, epoch: str, order: list, name: str, dealt_by: str | None = None) -> DataFrame:
     """Adds `name`, 1, 2, 3 and so on in the order of epoch (null as 0) and then `order`.
 
     Rows are ordered within one second; the rows of the seconds before are counted by second, added
-    up within each day, and the days' totals on top. Only the days meet in one window."""
-    second = F.floor(F.coalesce(F.col(epoch), F.lit(0.0)))
-    df = df.withColumn("at_second", second).withColumn("at_day", F.floor(second / 86400))
-    per_second = df.groupBy("at_day", "at_second").agg(F.count(F.lit(1)).alias("rows"))
+    up within each day, and the days' totals on top. Only the days meet in one window. Where times may be
+    missing, dealt_by names the first of order if it is a number: rows at 0 are ordered within chunks of it."""
+    time = F.coalesce(F.col(epoch), F.lit(0.0))
+    second = F.floor(time)
+    chunk = F.when(time == 0, F.floor(F.col(dealt_by) / _CHUNK)).otherwise(1 << 62) if dealt_by else F.lit(0)
+    df = df.withColumn("at_second", second).withColumn("at_day", F.floor(second / 86400)).withColumn("at_chunk", chunk.cast("long"))
+    per_second = df.groupBy("at_day", "at_second", "at_chunk").agg(F.count(F.lit(1)).alias("rows"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    per_second = per_second.withColumn("in_day", F.coalesce(F.sum("rows").over(before(Window.partitionBy("at_day").orderBy("at_second"))), F.lit(0)))
+    per_second = per_second.withColumn("in_day", F.coalesce(F.sum("rows").over(before(Window.partitionBy("at_day").orderBy("at_second", "at_chunk"))), F.lit(0)))
     days = per_second.groupBy("at_day").agg(F.sum("rows").alias("rows"))
     days = days.select(F.col("at_day").alias("day"), F.coalesce(F.sum("rows").over(before(Window.orderBy("at_day"))), F.lit(0)).alias("days_before"))
-    offsets = per_second.join(days, F.col("at_day") == F.col("day")).select(F.col("at_second").alias("second"), (F.col("in_day") + F.col("days_before")).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("at_second").orderBy(F.coalesce(F.col(epoch), F.lit(0.0)), *order))
+    offsets = per_second.join(days, F.col("at_day") == F.col("day")).select(F.col("at_second").alias("second"), F.col("at_chunk").alias("chunk"), (F.col("in_day") + F.col("days_before")).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("at_second", "at_chunk").orderBy(time, *order))
     ranked = df.withColumn("rank_in_second", rank)
-    return ranked.join(offsets, F.col("at_second") == F.col("second")).withColumn(name, (F.col("offset") + F.col("rank_in_second")).cast("long")).drop("at_second", "at_day", "second", "offset", "rank_in_second")
+    placed = ranked.join(offsets, (F.col("at_second") == F.col("second")) & (F.col("at_chunk") == F.col("chunk")))
+    return placed.withColumn(name, (F.col("offset") + F.col("rank_in_second")).cast("long")).drop("at_second", "at_day", "at_chunk", "second", "chunk", "offset", "rank_in_second")
 
 
 def number_lines(lines: DataFrame) -> DataFrame:

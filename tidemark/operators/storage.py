@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,13 @@ _LOCAL: list[str] = []
 
 
 def save(df: DataFrame) -> DataFrame:
-    """Write df under the folder that the cluster names in spark.checkpoint.dir, and read it back."""
+    """Write df under the folder that the cluster names in spark.checkpoint.dir, and read it back. Where it is
+    unset, a temporary folder does in local mode, in which all tasks see it; on a cluster that is an error."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = _LOCAL[0]

@@ -1,11 +1,18 @@
 """Audit events and audit lines derived from the `events` table, as SQL that Spark and DuckDB both read.
 
-Only the epoch expression differs between the two; the same text builds a query's input and its oracle's.
+Only the epoch and the numbering differ between the two: Spark numbers events without a global sort and
+writes them once. The same text builds the rest of a query's input and its oracle's.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators.ordering import number_by_time
+from tidemark.operators.storage import save
 
 EPOCH = {"spark": "unix_timestamp(cast(ts as timestamp))", "duckdb": "cast(floor(epoch(ts)) as bigint)"}
 
@@ -21,9 +28,8 @@ def _case(over: str, values: dict[int, str], other: str) -> str:
 
 
 def audit_sql(dialect: str) -> str:
-    """Columns of audit events, from the table or view `events`."""
+    """Columns of audit events, from the table or view `events`, but for their numbers pos and seq."""
     return f"""
-select *, row_number() over (order by epoch, pid, event_id) as pos, row_number() over (order by epoch, pid, event_id) as seq from (
   select event_id, cast({EPOCH[dialect]} as double) as epoch, 100000 + user_id as pid,
     case when user_id % 50 = 0 then 1 + user_id else 100000 + (user_id - user_id % 50) + cast(floor((user_id % 50 - 1) / 2.0) as bigint) end as ppid,
     cast(user_id % 3 as bigint) as uid,
@@ -36,7 +42,7 @@ select *, row_number() over (order by epoch, pid, event_id) as pos, row_number()
       when event_id % 3 = 0 then 'host.example:443' else '10.0.0.' || cast(user_id % 250 as varchar(10)) || ':443' end as target,
     event_id % 11 <> 0 as success,
     case when event_id % 331 = 0 then 'failed' end as auth
-  from events) b"""
+  from events"""
 
 
 def lines_sql(dialect: str) -> str:
@@ -53,22 +59,27 @@ select event_id, 2 * pos as line_no, case when kind = 'exec' then 'type=EXECVE '
 
 
 def auth_sql() -> str:
-    """Authentication records of every seventh event of audit_sql, as (line_no, value); the same in both dialects."""
+    """An authentication record for every event of audit_sql, as (line_no, value); the same in both dialects."""
     return """
 select pos as line_no, 'type=' || case event_id % 4 when 0 then 'USER_ERR' when 1 then 'USER_LOGIN' else 'USER_AUTH' end || ' msg=audit(' || cast(cast(epoch as bigint) + event_id % 60 as varchar(20)) || '.0:' || cast(900000000 + event_id as varchar(20))
   || '): pid=' || cast(pid as varchar(20)) || ' uid=0 msg=''op=PAM:bad_ident acct="u' || cast(uid as varchar(20)) || '" exe="/usr/sbin/sshd" hostname=' || case when event_id % 5 = 0 then '?' else 'h' || cast(pid % 4 as varchar(20)) end
   || ' addr=' || case when event_id % 3 = 0 then '10.1.1.' || cast(pid % 9 as varchar(20)) else '?' end || ' terminal=ssh res=' || case when event_id % 2 = 0 then 'success' else 'failed' end || '''' as value
-from audit where event_id % 7 = 1"""
+from audit"""
 
 
-def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return spark.sql(f"with audit as ({audit_sql('spark').replace('from events)', 'from {{events}})')}) ".replace("{{events}}", "{events}") + sql, events=events)
+    rows = spark.sql(audit_sql("spark").replace("from events", "from {events}"), events=events)
+    return save(number_by_time(rows, "epoch", ["pid", "event_id"], "pos").withColumn("seq", F.col("pos")))
+
+
+def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(re.sub(r"\bfrom audit\b", "from {audit}", sql), audit=_numbered(spark, sf_dir))
 
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with every column that the operators read."""
-    full = _run(spark, sf_dir, "select * from audit")
+    full = _numbered(spark, sf_dir)
     return full.selectExpr("pos", "seq", "epoch", "cast(pid as bigint) as pid", "cast(ppid as bigint) as ppid", "uid", "kind", "exe", "cmdline", "target", "success", "auth", "event_id", "array() as danger", "cast('' as string) as uid_name", "cast('' as string) as audit_key")
 
 
@@ -86,4 +97,5 @@ def duckdb(sql: str) -> str:
     recursive = "recursive " if sql.startswith("recursive ") else ""
     sql = sql.removeprefix("recursive ")
     tail = ", " + sql.removeprefix("with ") if sql.startswith("with ") else " " + sql
-    return f"with {recursive}audit as ({audit_sql('duckdb')}), lines as ({lines_sql('duckdb')}), auth_lines as ({auth_sql()}){tail}"
+    numbered = f"select *, row_number() over (order by epoch, pid, event_id) as pos, row_number() over (order by epoch, pid, event_id) as seq from ({audit_sql('duckdb')}) b"
+    return f"with {recursive}audit as ({numbered}), lines as ({lines_sql('duckdb')}), auth_lines as ({auth_sql()}){tail}"

@@ -195,7 +195,7 @@ select event_id, case event_id % 4 when 0 then 'user-add' when 1 then 'service'
   case event_id % 4 when 0 then 'adding-user e' || cast(uid as varchar) when 1 then 'auditd stopped' when 2 then 'add_rule: k' || cast(uid as varchar) else 'acct_lock e' || cast(uid as varchar) end as cmdline,
   case event_id % 4 when 0 then 'e' || cast(uid as varchar) when 1 then 'auditd' when 2 then 'k' || cast(uid as varchar) else 'e' || cast(uid as varchar) end as target,
   event_id % 5 <> 0 as success, array_to_string(list_filter([case when event_id % 5 = 0 then 'failed account/group change' end, case when event_id % 4 in (1, 2) then 'audit config change' end], lambda x: x is not null), ',') as danger
-from audit where event_id % 10 = event_id % 2"""
+from audit"""
 
 
 @query(_SYSTEM)
@@ -205,7 +205,7 @@ def evt_system(spark, sf_dir):
     value = F.expr(f"""concat('type=', case event_id % 4 when 0 then 'ADD_USER' when 1 then 'SERVICE_STOP' when 2 then 'CONFIG_CHANGE' else 'ACCT_LOCK' end, ' msg=audit(', cast(cast(epoch as bigint) as string), '.0:', cast(event_id as string), '): pid=1 auid=7 ',
       case event_id % 4 when 0 then concat('msg=\\'op=adding-user acct="e', {who}, '" exe="/usr/sbin/useradd"') when 1 then 'msg=\\'unit=auditd' when 2 then concat('op=add_rule key="k', {who}, '"') else concat('msg=\\'op=? id=e', {who}) end,
       ' res=', if(event_id % 5 = 0, 'failed', 'success'), if(event_id % 4 = 2, '', '\\''))""")
-    lines = audit_events(spark, sf_dir).where("event_id % 10 = event_id % 2").select(F.lit("system").alias("file"), F.col("pos").alias("line_no"), value.alias("value"))
+    lines = audit_events(spark, sf_dir).select(F.lit("system").alias("file"), F.col("pos").alias("line_no"), value.alias("value"))
     events = E.build_events(E.parse_records(lines), S.syscall_dimension(spark))
     return events.select(F.substring_index("audit_id", ":", -1).cast("bigint").alias("event_id"), "kind", "cmdline", "target", "success", F.array_join("danger", ",").alias("danger"))
 
