@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -301,15 +303,58 @@ def tnt_source_kinds(spark, sf_dir):
     return docs.select("doc_id", F.array_join(P.source_kinds(path).cast("array<string>"), ",").alias("kinds"))
 
 
-@query()
+_FLOWS = (
+    _CHAIN.rstrip()
+    + """, used as (select * from audit where success and kind in ('exec', 'file', 'net-connect', 'net-send', 'net-accept')),
+words as (select pid, pos, unnest(regexp_split_to_array(cmdline, '\\s+')) as path from used where kind = 'exec'),
+named_paths as (select distinct target as path from used where kind = 'file' union select distinct path from words where contains(path, '/')),
+path_kinds as (select path, unnest(list_filter([
+    case when regexp_matches(p, '/id_rsa|/id_ed25519|\\.ssh/authorized_keys|/\\.ssh/control|/ssh-agent|\\.pem$|\\.gnupg$') or (contains(p, '.env') and not contains(p, '/proc/')) then 0 end,
+    case when regexp_matches(p, '\\.kdbx$|\\.p12$|\\.pfx$|\\.gnupg/|/keystore') then 1 end, case when regexp_matches(p, 'cookies|/login-data|\\.mozilla/|\\.config/google-chrome') then 2 end,
+    case when regexp_matches(p, '\\.aws/credentials|\\.config/gcloud|\\.azure/|\\.kube/config') then 3 end, case when regexp_matches(p, '\\.sql$|\\.mysql/history|dump.*\\.gz$') then 4 end,
+    case when contains(p, '.csv') and regexp_matches(p, 'customer|user|klient') then 5 end], lambda x: x is not null)) as k from (select path, lower(path) as p from named_paths) n),
+sources as (select distinct path from path_kinds),
+tokens as (select pid, pos, path from words where contains(path, '/') and path in (select path from sources)),
+files as (select pid, pos, seq, target as path, target in (select path from sources) as is_source from used where kind = 'file'),
+execs as (select pid, ppid, pos from used where kind = 'exec'),
+reach as (
+  select pid, cast(null as varchar) as path, pos, cast(null as bigint) as stainer from (select pid, pos from files where is_source union select pid, pos from tokens) s
+  union (select e.pid, null, e.pos, null from reach r join execs e on e.ppid = r.pid and r.pos < e.pos
+    union all select f.pid, null, f.pos, null from reach r join files f on f.path = r.path and r.pos < f.pos where not f.is_source
+    union all select null, f.path, f.pos, f.pid from reach r join files f on f.pid = r.pid and r.pos < f.pos where not f.is_source)),
+tainted as (select pid, min(pos) as since from reach where path is null group by 1),
+stained as (select path, min(pos) as since, arg_min(stainer, pos) as stainer from reach where path is not null group by 1),
+held as (
+  select f.pid, k, f.pos from files f join path_kinds using (path) union select t.pid, k, t.pos from tokens t join path_kinds using (path)
+  union (select e.pid, h.k, e.pos from held h join execs e on e.ppid = h.pid and h.pos < e.pos
+    union all select f.pid, h.k, f.pos from held h join stained s on s.stainer = h.pid and h.pos < s.since join files f on f.path = s.path and not f.is_source and f.pos > s.since
+    union all select t.pid, h.k, t.pos from held h join files f on f.pid = h.pid and f.is_source and f.pos >= h.pos join tokens t on t.path = f.path and t.pos > f.pos)),
+holds as (select pid, k, min(pos) as since from held group by 1, 2),
+spans as (select u.*, sum(case when kind = 'exec' then 1 else 0 end) over (partition by pid order by pos) as span, t.since as t_pos from used u left join tainted t using (pid)),
+carried as (select *, coalesce(last_value(case when kind = 'file' and pos >= t_pos then target end ignore nulls) over (partition by pid, span order by pos rows between unbounded preceding and 1 preceding), '') as carrier from spans),
+sinks as (select * from carried where starts_with(kind, 'net-') and contains(target, ':')),
+own as (select s.*, h.k from sinks s join holds h on h.pid = s.pid and h.since < s.pos),
+sent as (select * from own union all select s.*, h.k from sinks s join holds h on h.pid = s.ppid and h.since < s.pos where s.pos not in (select pos from own)),
+outward as (select pos, seq, pid, target, carrier, k, case when kind = 'net-accept' then kind else 'net-exfil' end as sink_kind from sent
+  union all select f.pos, f.seq, f.pid, f.path, f.path, h.k, 'archive-write' from files f join holds h on h.pid = f.pid and h.since <= f.pos where not f.is_source and regexp_matches(lower(f.path), '(\\.tar|\\.tar\\.gz|\\.tgz|\\.zip|\\.7z)$')),
+origins as (select path, arg_min(pid, pos) as origin from (select pid, pos, path from files where is_source union all select pid, pos, path from tokens) o group by 1 union all select path, stainer from stained),
+flows as (select o.pos, o.k, ['credentials', 'crypto-key', 'session-token', 'cloud-credentials', 'database-dump', 'personal-data'][o.k + 1] as kind, o.pid as sink_pid, coalesce(p.origin, o.pid) as origin_pid, o.seq as sink_seq, sink_kind, o.target as sink_target,
+    coalesce(c.chain, '?(' || cast(o.pid as varchar) || ')') as chain, o.carrier
+  from outward o left join origins p on o.carrier = p.path left join chain c on o.pid = c.pid)
+"""
+)
+
+
+@query(_FLOWS + "select pos, kind, sink_pid, origin_pid, sink_seq, sink_kind, sink_target, chain, carrier from flows")
 def tnt_flows(spark, sf_dir):
-    """All of taint: tnt_exec, tnt_file_source, tnt_file_adopt, tnt_file_stage, tnt_net_sink and tnt_flow_row. Iterative; tests hold it against a fold."""
+    """All of taint: tnt_exec, tnt_file_source, tnt_file_adopt, tnt_file_stage, tnt_net_sink and tnt_flow_row. Tests also hold it against a fold."""
     events = save(audit_events(spark, sf_dir))
     flows = taint_flows(events, _tree(spark, sf_dir)[2])
     return flows.select(F.col("ord.pos").alias("pos"), F.col("taint.kind").alias("kind"), "sink_pid", "origin_pid", "sink_seq", "sink_kind", "sink_target", "chain", "carrier")
 
 
-@query()
+@query(_FLOWS + f""", {_FOUND}, leaked as (select sink_pid as pid, array_to_string(list_sort(list_distinct(list(kind))), ',') as taints from flows group by 1)
+select rule_id, seq, f.pid, coalesce(taints, '') as taints from found f left join leaked l on f.pid = l.pid""")
 def fn_confirm_taints(spark, sf_dir):
     a = analyze(save(audit_events(spark, sf_dir)), confirm=True)
     return a.findings.select("rule_id", "seq", "pid", F.array_join("taints", ",").alias("taints"))
@@ -340,31 +385,65 @@ def _analysis(spark, sf_dir):
     return analyze(save(audit_events(spark, sf_dir)))
 
 
-@query()
+_INCIDENTS = (
+    _FLOWS.rstrip()
+    + f""", {_FOUND}, rooted as (select f.*, coalesce(c.root, f.pid) as root from found f left join chain c on f.pid = c.pid),
+signs as (select root, count(*) as n, max(severity) as top, arg_min(title, (phase, pos, place)) as first_title, arg_max(pid, (severity, phase, pos, place)) as primary_pid, list(rule_id order by phase, pos, place) as findings,
+  min(seq) as f_from, max(seq) as f_to, list(distinct pid) as pids from rooted group by 1),
+leaks as (select coalesce(c.root, f.sink_pid) as root, arg_min(f.sink_pid, (f.pos, f.k)) as primary_sink, min(sink_seq) as t_from, max(sink_seq) as t_to, list_concat(list(distinct f.sink_pid), list(distinct f.origin_pid)) as pids,
+  list_sort(list(distinct f.kind)) as taints, list_sort(coalesce(list(distinct f.carrier) filter (where f.carrier <> ''), [])) as carriers from flows f left join chain c on f.sink_pid = c.pid group by 1),
+met as (select coalesce(s.root, l.root) as root, coalesce(n, 0) as n, coalesce(top, 0) as top, first_title, primary_sink is not null as leaky, coalesce(primary_pid, primary_sink) as primary_pid, coalesce(findings, []) as findings, coalesce(taints, []) as taints,
+  coalesce(carriers, []) as carriers, list_sort(list_distinct(list_concat(coalesce(s.pids, []), coalesce(l.pids, [])))) as actors, least(f_from, t_from) as seq_from, greatest(f_to, t_to) as seq_to from signs s full join leaks l on s.root = l.root),
+incident as (select m.root as root, case when leaky then 'Data theft chain: ' || coalesce(first_title, 'Sensitive data') || ' → exfiltration of ' || array_to_string(taints, ' + ')
+    when n > 1 then 'Suspicious activity chain: ' || first_title || ' + ' || cast(n - 1 as varchar) || ' more signal(s)' else first_title end as title,
+  case when leaky then least(greatest(top, 3) + 1, 4) when n > 1 then least(top + 1, 4) else top end as rank, actors, coalesce(c.chain, '?(' || cast(primary_pid as varchar) || ')') as chain, findings, taints, carriers, seq_from, seq_to,
+  'actor(s) [' || array_to_string(actors, ', ') || ']; evidence seq ' || cast(seq_from as varchar) || '–' || cast(seq_to as varchar) || '; signals: ' || case when n = 0 then 'none (taint-only)' else array_to_string(findings, ', ') end || '; '
+    || case when leaky then 'taint flows confirmed: ' || array_to_string(taints, ', ') || case when len(carriers) > 0 then ' via ' || array_to_string(carriers, ', ') else '' end else 'no taint confirmation' end as summary
+  from met m left join chain c on m.primary_pid = c.pid where not (n = 1 and not leaky and top <= 1)),
+actor as (select root, unnest(actors) as pid from incident),
+forks as (select a.root as root, arg_min(w.node, w.hop) as from_pid, a.pid as to_pid from actor a join walk w on w.pid = a.pid and w.hop > 0 join actor b on b.root = a.root and b.pid = w.node group by a.root, a.pid),
+edges as (select root, from_pid, to_pid, '' as label, 'fork' as edge_kind from forks
+  union all select distinct coalesce(c.root, f.sink_pid) as root, case when origin_pid = 0 then sink_pid else origin_pid end, sink_pid, sink_target, 'flow' from flows f left join chain c on f.sink_pid = c.pid)
+"""
+)
+_LABEL = "['info', 'low', 'medium', 'high', 'critical'][rank + 1]"
+
+
+@query(_INCIDENTS + f"select root, title, {_LABEL} as severity, array_to_string(actors, ',') as actors, chain, array_to_string(findings, ',') as findings, array_to_string(taints, ',') as taints, array_to_string(carriers, ',') as carriers, seq_from, seq_to, summary from incident where rank >= 1")
 def incidents(spark, sf_dir):
     """The whole batch plan with taint: cor_union_roots, cor_taints and all of the above."""
     found = I.at_least(_analysis(spark, sf_dir).incidents, 1)
     return found.select("root", "title", severity_label(F.col("severity")).alias("severity"), F.array_join(F.col("actors").cast("array<string>"), ",").alias("actors"), "chain", F.array_join("findings", ",").alias("findings"), F.array_join("taints", ",").alias("taints"), F.array_join("carriers", ",").alias("carriers"), "seq_from", "seq_to", "summary")
 
 
-@query()
+@query(_INCIDENTS + "select root, from_pid, to_pid, label, edge_kind from edges")
 def cor_edges(spark, sf_dir):
     """cor_edges_fork, cor_edges_flow and cor_edges."""
     return _analysis(spark, sf_dir).incidents.select("root", F.explode("edges").alias("e")).select("root", "e.*")
 
 
-@query()
+@query(
+    _INCIDENTS.rstrip() + """, climb as (select root, pid, pid as node, 0 as depth from actor union all select c.root, c.pid, f.from_pid, c.depth + 1 from climb c join forks f on f.root = c.root and f.to_pid = c.node where c.depth < 65),
+deep as (select root, pid, max(depth) as depth from climb group by 1, 2) select root, cast(depth as integer) as depth, array_to_string(list(pid order by pid), ',') as pids from deep group by 1, 2"""
+)
 def graph_layers(spark, sf_dir):
     return I.graph_layers(_analysis(spark, sf_dir).incidents).select("root", "depth", F.array_join(F.col("pids").cast("array<string>"), ",").alias("pids"))
 
 
-@query()
+@query(_INCIDENTS + "select root, from_pid, to_pid, label from edges e where edge_kind = 'flow' and not exists (select 1 from walk w where w.pid = e.to_pid and w.node = e.from_pid and w.hop > 0) and not exists (select 1 from tree t where t.pid = e.to_pid and t.ppid = t.pid and t.pid = e.from_pid)")
 def graph_cross_hops(spark, sf_dir):
     a = _analysis(spark, sf_dir)
     return I.cross_hops(a.incidents, a.tree, a.paths)
 
 
-@query()
+_LOGGED = (
+    _AUTH.strip().removeprefix("with ")
+    + f""", verdict as (select pid, arg_max(epoch, line_no) as e, arg_max(res <> 'failed', line_no) as ok from rec where t = 'USER_AUTH' group by 1), event as (select *, cast(string_split(audit_id, ':')[1] as double) as epoch from ({_EVENTS.strip()}) x),
+logged as (select seq as pos, seq, epoch, e.pid, ppid, uid, kind, exe, cmdline, target, success, case when exe = '/usr/bin/sudo' and kind = 'exec' and not v.ok and v.e - epoch >= 0 and v.e - epoch < 30 then 'failed' end as auth from event e left join verdict v on e.pid = v.pid), """
+)
+
+
+@query(f"recursive with {_LOGGED}" + re.sub(r"\baudit\b", "logged", _INCIDENTS).removeprefix("recursive with ") + f"select root, title, {_LABEL} as severity, chain, seq_from, seq_to, summary from incident")
 def log_incidents(spark, sf_dir):
     """The whole batch plan from raw lines."""
     both = audit_lines(spark, sf_dir).unionByName(auth_lines(spark, sf_dir))
@@ -384,13 +463,15 @@ def out_plain_table(spark, sf_dir):
     return R.event_lines(audit_events(spark, sf_dir).withColumn("ts", T.show_epoch(F.col("epoch"))))
 
 
-@query()
+@query(_INCIDENTS + f"""select n as incident_no, '{R.PREFIX}-INC-' || lpad(cast(n as varchar), 3, '0') as rule_id, case when rank >= 3 then 'error' when rank >= 1 then 'warning' else 'note' end as level, title, summary || ' [' || chain || ']' as message, {_LABEL} as severity
+from (select *, cast(row_number() over (order by rank desc, root) as integer) as n from incident) i""")
 def out_sarif(spark, sf_dir):
     """out_sarif and out_sarif_level."""
     return R.sarif_results(_analysis(spark, sf_dir).incidents).select("incident_no", "rule_id", "level", "title", "message", "severity")
 
 
-@query()
+@query(_INCIDENTS + f"""select i.root as root, cast(to_json({{'title': title, 'severity': {_LABEL}, 'actors': actors, 'chain': chain, 'findings': findings, 'taints': taints, 'carriers': carriers, 'seq_from': seq_from, 'seq_to': seq_to, 'summary': summary, 'edges': coalesce(e.edges, [])}}) as varchar) as value
+from incident i left join (select root, list({{'from_pid': from_pid, 'to_pid': to_pid, 'label': label, 'edge_kind': edge_kind}} order by from_pid, to_pid, label, edge_kind desc) as edges from edges group by 1) e on i.root = e.root""")
 def out_jsonl(spark, sf_dir):
     """out_json and out_jsonl_stream, a line per incident."""
     return R.json_lines(_analysis(spark, sf_dir).incidents)
