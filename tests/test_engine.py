@@ -311,8 +311,8 @@ def test_reports(spark):
     shown = R.terminal(a.incidents, "s")
     assert "MEDIUM" in shown and len({len(x) for x in shown.split("\n")[1:4]}) == 1 and "No incidents" in R.terminal(a.incidents.limit(0), "s")
     long = analyze_lines(as_lines(spark, 'type=SYSCALL msg=audit(1.0:1): arch=c000003e syscall=59 pid=5 ppid=1 uid=1000 exe="/usr/bin/sudo"\x1dUID="alice"\ntype=EXECVE msg=audit(1.0:1): a0="' + "x" * 200 + "\"\ntype=USER_AUTH msg=audit(2.0:2): pid=5 msg='op=PAM:x acct=\"r\" addr=1.1.1.1 res=failed'"))
-    table = R.event_table(long.events)
-    assert "1000 (alice)" in table and "! 1" in table and "auth fail…" in table and "1 flagged" in table and "x" * 200 in R.event_table(long.events, full=True)
+    table = "\n".join(R.event_table(long.events))
+    assert "1000 (alice)" in table and "! 1" in table and "auth fail…" in table and "1 flagged" in table and "x" * 200 in "\n".join(R.event_table(long.events, full=True))
     assert "1 total, 1 distinct source(s)" in R.auth_table(long.auth_failures)
 
 
@@ -323,3 +323,46 @@ def test_command(spark, tmp_path, capsys):
     (tmp_path / "empty.log").write_text("# nothing\n")
     assert main([str(tmp_path / "a.log"), "-f", "json"], spark) == 2 and '"severity": "medium"' in capsys.readouterr().out
     assert main([str(tmp_path / "a.log"), "-m", "high"], spark) == 0 and main([str(tmp_path / "a.log"), "--plain"], spark) == 0 and main([str(tmp_path / "empty.log")], spark) == 1
+
+
+def test_call_names_of_installed_headers(spark):
+    """Every call that the installed kernel headers name has its name; those of no interest are of kind other."""
+    from tidemark.operators import syscalls as S
+
+    known = {(r["arch_table"], int(r["nr"])): (r["name"], r["syscall_kind"]) for r in S.syscall_dimension(spark).collect()}
+    assert known["x86_64", 59] == ("execve", "exec")
+    expected = {("x86_64", 101): "ptrace", ("x86_64", 62): "kill", ("x86_64", 165): "mount", ("x86_64", 175): "init_module", ("i386", 26): "ptrace", ("aarch64", 117): "ptrace"}
+    for (table, number), name in expected.items():
+        if S.header_calls(S.KERNEL_HEADERS[table]):
+            assert known[table, number] == (name, "other")
+    assert S.header_calls("/nowhere") == {} and len(known) == S.syscall_dimension(spark).count()
+
+
+def test_numbering_of_rows_without_time(spark):
+    """Rows at time 0 are numbered by chunks, in the same order as all at once."""
+    from tidemark.operators import ordering
+
+    rows = [(None if i % 3 else float(i % 5) / 4, (i * 7919) % 500) for i in range(500)]
+    df = spark.createDataFrame(rows, "epoch double, seq long")
+    want = sorted(((e or 0.0), s) for e, s in rows)
+    old, ordering._CHUNK = ordering._CHUNK, 64
+    try:
+        got = [((r["epoch"] or 0.0), r["seq"]) for r in ordering.number_by_time(df, "epoch", ["seq"], "n", dealt_by="seq").orderBy("n").collect()]
+    finally:
+        ordering._CHUNK = old
+    assert got == want
+
+
+def test_follow_plain_and_kept_state(spark, tmp_path, capsys):
+    from tidemark.__main__ import main
+
+    line = "type=SYSCALL msg=audit(1700000000.{0}:{0}): arch=c000003e syscall=59 success=yes exit=0 ppid=1 pid={0} uid=0 ses=1 comm=\"x\" exe=\"/bin/x{0}\" key=(null)"
+    log = tmp_path / "a.log"
+    log.write_text("".join(line.format(i) + "\n" for i in (7, 8)))
+    run = lambda: main([str(log), "--follow", "--plain", "--seconds", "12", "--state", f"file://{tmp_path}/kept"], spark) or capsys.readouterr().out
+    first = run()
+    assert "/bin/x7" in first and "/bin/x8" in first
+    with log.open("a") as f:
+        f.write(line.format(9) + "\n")
+    again = run()
+    assert "/bin/x9" in again and "/bin/x7" not in again

@@ -66,3 +66,15 @@ def test_follow(spark, tmp_path):
     query.stop()
     found.extend(session.flush().collect())
     assert any("exfiltration" in r["title"] for r in found)
+
+
+def test_state_survives_as_text():
+    from tidemark.operators.taint_fold import TaintState, fold
+
+    event = lambda pos, pid, kind, target, ppid=1, cmdline="": {"pos": pos, "seq": pos, "pid": pid, "ppid": ppid, "kind": kind, "target": target, "cmdline": cmdline, "success": True}
+    events = [event(1, 5, "file", "/home/u/.ssh/id_rsa"), event(2, 5, "file", "/tmp/a"), event(3, 6, "exec", "", 5), event(4, 7, "file", "/tmp/a"), event(5, 7, "net-send", "h:1"), event(6, 6, "net-send", "h:2")]
+    whole, parted, state = fold(events), [], TaintState()
+    for e in events:
+        parted += fold([e], state)
+        state = TaintState.from_json(state.to_json())
+    assert parted == whole and whole

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import argparse
 import sys
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 from tidemark.functions.paths import NoiseConfig
 from tidemark.operators import report as R
 from tidemark.operators.incidents import at_least
+from tidemark.operators.storage import save, scratch
 from tidemark.plans.analysis import analyze_jsonl, analyze_log
 from tidemark.schemas import SEVERITIES
 
@@ -24,6 +25,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--full", action="store_true", help="with --plain: don't cut cells")
     p.add_argument("--flagged", action="store_true", help="with --plain: flagged events only")
     p.add_argument("-F", "--follow", action="store_true", help="go on with lines that are appended; ends at an interrupt")
+    p.add_argument("--state", metavar="FOLDER", help="with --follow: keep the state in this shared folder and go on from it; else it starts afresh")
+    p.add_argument("--seconds", type=int, help="with --follow: end after so many seconds")
     p.add_argument("--include-noise", action="store_true")
     p.add_argument("--exclude", action="append", default=[], metavar="PREFIX")
     p.add_argument("--replace-noise", action="store_true")
@@ -37,29 +40,35 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("tidemark").getOrCreate()
     noise = NoiseConfig(a.include_noise, tuple(a.exclude), a.replace_noise)
     least = SEVERITIES.index(a.min_severity)
-    if a.follow and not a.plain:
+    if a.follow:
         from tidemark.streaming.session import StreamSession, follow
 
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        show = lambda df, _: [print(r["value"], flush=True) for r in R.json_lines(at_least(df, least)).collect()]
-        session = StreamSession(spark, f"file://{folder}/state", emit=show, window=a.window, noise=noise)
-        query = follow(spark, a.input, session, f"file://{folder}/checkpoint", start="begin")
+        folder = a.state.rstrip("/") if a.state else f"{scratch(spark)}/follow-{uuid.uuid4().hex}"
+        lines = lambda rows: [print(r[0], flush=True) for r in rows.toLocalIterator()]
+        incidents = lambda df, _: lines(R.json_lines(at_least(df, least)).select("value"))
+        table = lambda df, _: lines(R.event_lines(df, a.flagged).orderBy("pos").select("line"))
+        if a.plain:
+            print("\n".join(R.event_header()), flush=True)
+        session = StreamSession(spark, f"{folder}/state", emit=None if a.plain else incidents, emit_events=table if a.plain else None, window=a.window, noise=noise)
+        query = follow(spark, a.input, session, f"{folder}/checkpoint", start="begin")
         try:
-            query.awaitTermination()
+            query.awaitTermination(a.seconds)
         except KeyboardInterrupt:
-            query.stop()
-            session.flush()
+            pass
+        query.stop()
+        session.flush()
         return 0
     found = analyze_jsonl(spark, a.input) if a.jsonl else analyze_log(spark, a.input, noise=noise)
     if found.events.isEmpty():
         print("no events", file=sys.stderr)
         return 1
     if a.plain:
-        print(R.event_table(found.events, a.flagged, a.full), end="")
+        for line in R.event_table(found.events, a.flagged, a.full):
+            print(line)
         if found.auth_failures is not None and not found.auth_failures.isEmpty():
             print(R.auth_table(found.auth_failures), end="")
         return 0
-    shown = at_least(found.incidents, least)
+    shown = save(at_least(found.incidents, least))
     stats = R.stats(found.events, found.findings, found.flows, shown)
     print({"terminal": lambda: R.terminal(shown, stats), "json": lambda: R.as_json(shown, stats), "sarif": lambda: R.as_sarif(shown)}[a.format]())
     return 0 if shown.isEmpty() else 2

@@ -4,7 +4,7 @@ and are brought to the driver; event tables stay DataFrames of finished cells.""
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,18 +54,24 @@ def _header(names: Iterable[str], widths: Iterable[int]) -> list[str]:
     return [" | ".join(n.ljust(w) if len(n) <= w else n[: w - 1] + "…" for n, w in zip(names, widths, strict=True)), "-" * (sum(widths) + 3 * (len(names) - 1))]
 
 
-def event_table(events: DataFrame, flagged_only: bool = False, full: bool = False) -> str:
-    lines = [r["line"] for r in event_lines(events, flagged_only, full).orderBy("pos").collect()]
+def event_table(events: DataFrame, flagged_only: bool = False, full: bool = False) -> Iterator[str]:
+    """The lines of the table, a partition at a time on the driver."""
+    rows = (r["line"] for r in event_lines(events, flagged_only, full).orderBy("pos").toLocalIterator())
     widths = list(COLUMNS.values())
-    if full and lines:
-        widths = [len(x) for x in lines[0].split(" | ")] if lines[0].count(" | ") == 9 else widths
-    elif full:
-        widths = [len(n) for n in COLUMNS]
-    out = [*_header(COLUMNS, widths), *lines]
+    top = next(rows, None)
+    if full:
+        widths = [len(x) for x in top.split(" | ")] if top is not None and top.count(" | ") == 9 else widths if top is not None else [len(n) for n in COLUMNS]
+    yield from _header(COLUMNS, widths)
+    if top is not None:
+        yield top
+        yield from rows
     dangerous = events.where(F.size("danger") > 0).count()
     if dangerous and not flagged_only:
-        out += ["", f"{dangerous} flagged (potentially dangerous) event(s)"]
-    return "\n".join(out) + "\n"
+        yield from ("", f"{dangerous} flagged (potentially dangerous) event(s)")
+
+
+def event_header() -> list[str]:
+    return _header(COLUMNS, COLUMNS.values())
 
 
 def auth_table(failures: DataFrame) -> str:

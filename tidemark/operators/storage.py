@@ -6,22 +6,26 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 
 
-def save(df: DataFrame) -> DataFrame:
-    """Write df under the folder that the cluster names in spark.checkpoint.dir, and read it back. Where it is
-    unset, a temporary folder does in local mode, in which all tasks see it; on a cluster that is an error."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one in local mode,
+    in which all tasks see it; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
+    if base:
+        return base.rstrip("/")
+    if not _LOCAL:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not _LOCAL:
-            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="spark-"))
-        base = _LOCAL[0]
-    path = f"{base.rstrip('/')}/loop-{uuid.uuid4().hex}"
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return _LOCAL[0]
+
+
+def save(df: DataFrame) -> DataFrame:
+    """Write df under the shared folder, and read it back."""
+    path = f"{scratch(df.sparkSession)}/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,9 @@ events, come from its header files, given as a parameter.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,16 +66,31 @@ NUMBERS = {
 KIND_OF = {name: kind for kind, names in KINDS.items() for name in names.split()}
 
 
+#: Where the kernel's headers are on most systems, by table.
+KERNEL_HEADERS = {"x86_64": "/usr/include/x86_64-linux-gnu/asm/unistd_64.h", "i386": "/usr/include/x86_64-linux-gnu/asm/unistd_32.h", "aarch64": "/usr/include/asm-generic/unistd.h"}
+_DEFINED = re.compile(r"^\s*#\s*define\s+__NR(?:3264)?_(\w+)\s+(\d+)\b", re.MULTILINE)
+
+
+def header_calls(path: str) -> dict[int, str]:
+    """Numbers and names of a kernel header's `#define __NR_name number` lines, a few hundred; empty without the file.
+    Of two names for a number the first in order counts."""
+    if not Path(path).is_file():
+        return {}
+    found: dict[int, str] = {}
+    for name, number in sorted(_DEFINED.findall(Path(path).read_text())):
+        if name not in ("syscalls", "arch_specific_syscall"):
+            found.setdefault(int(number), name)
+    return found
+
+
 def syscall_dimension(spark: SparkSession, headers: dict[str, str] | None = None) -> DataFrame:
-    """(arch_table, nr, name, syscall_kind). headers: for a table, the path of a kernel header with
-    `#define __NR_name number` lines, whose rows are added; kinds follow from the names."""
-    rows = [(table, number, name, KIND_OF[name]) for table, text in NUMBERS.items() for number, _, name in (x.partition(":") for x in text.split())]
-    known = spark.createDataFrame(rows, "arch_table string, nr string, name string, syscall_kind string")
-    for table, path in (headers or {}).items():
-        part = lambda i: F.regexp_extract("value", r"^\s*#\s*define\s+__NR(?:3264)?_(\w+)\s+(\d+)", i)
-        more = spark.read.text(path).select(F.lit(table).alias("arch_table"), part(2).alias("nr"), part(1).alias("name"))
-        known = known.unionByName(more.where("nr <> ''").join(known, ["arch_table", "nr"], "left_anti").select("arch_table", "nr", "name", classify("name").alias("syscall_kind")))
-    return known
+    """(arch_table, nr, name, syscall_kind): the calls whose kind matters, and the names of all others from kernel
+    headers on the driver, given by table or else the installed ones; kinds follow from the names."""
+    rows = {(table, int(number)): name for table, text in NUMBERS.items() for number, _, name in (x.partition(":") for x in text.split())}
+    for table, path in (KERNEL_HEADERS if headers is None else headers).items():
+        rows = {(table, number): name for number, name in header_calls(path).items()} | rows
+    schema = "arch_table string, nr string, name string, syscall_kind string"
+    return spark.createDataFrame([(table, str(number), name, KIND_OF.get(name, "other")) for (table, number), name in sorted(rows.items())], schema)
 
 
 def classify(name: str):

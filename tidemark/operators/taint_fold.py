@@ -6,6 +6,7 @@ reads need to be passed, in order.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -38,6 +39,17 @@ class TaintState:
     held: dict[int, set[int]] = field(default_factory=dict)
     label: dict[int, str] = field(default_factory=dict)
 
+    def to_json(self) -> str:
+        """The state as text; carriers keep their order."""
+        kinds = lambda held: [[key, sorted(k)] for key, k in held.items()]
+        return json.dumps({"carriers": kinds(self.carriers), "origins": list(self.origins.items()), "held": kinds(self.held), "label": list(self.label.items())})
+
+    @classmethod
+    def from_json(cls, text: str, cap: int = CARRIER_CAP) -> TaintState:
+        d = json.loads(text)
+        sets = lambda rows: {key: set(k) for key, k in rows}
+        return cls(cap, sets(d["carriers"]), dict(d["origins"]), sets(d["held"]), dict(d["label"]))
+
     def stain(self, path: str, kinds: set[int], pid: int) -> None:
         self.carriers.setdefault(path, set()).update(kinds)
         while len(self.carriers) > self.cap:

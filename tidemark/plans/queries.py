@@ -92,7 +92,8 @@ def fn_event_label(spark, sf_dir):
 
 # --- system calls and predicates ------------------------------------------------------------
 
-_DIM = "values " + ", ".join(f"('{t}', {x.split(':')[0]}, '{x.split(':')[1]}', '{S.KIND_OF[x.split(':')[1]]}')" for t, text in S.NUMBERS.items() for x in text.split())
+_NAMED = {(t, n): name for t, path in S.KERNEL_HEADERS.items() for n, name in S.header_calls(path).items()} | {(t, int(x.split(":")[0])): x.split(":")[1] for t, text in S.NUMBERS.items() for x in text.split()}
+_DIM = "values " + ", ".join(f"('{t}', {n}, '{name}', '{S.KIND_OF.get(name, 'other')}')" for (t, n), name in _NAMED.items())
 
 
 @query(f"""

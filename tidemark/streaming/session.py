@@ -7,14 +7,13 @@ the same state and writes the same result:
 * pending: records whose audit id may get more; an id closes once a batch brings nothing for it, or at a flush
 * verdicts: the last authentication outcome of each process
 * window: the newest events; older ones go, and processes that are gone from it lose their taint
-* taint: the fold's state per host, so that a file staged long ago still taints who picks it up
+* taint: the fold's state, so that a file staged long ago still taints who picks it up
 * flows: all flows so far, so an incident keeps them when it is seen again
 * reported: keys of incidents that were emitted
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable
 
 import pandas as pd
@@ -51,22 +50,24 @@ def _step(cap: int):
     """New events of one host, in order, and its state so far -> flows, and one row with the state after."""
 
     def run(own: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        state = pickle.loads(bytes.fromhex(states["state"].iloc[0])) if len(states) else TaintState(cap)
+        state = TaintState.from_json(states["state"].iloc[0], cap) if len(states) else TaintState(cap)
         live = set(own["pid"])
         rows = own[own["fresh"]].sort_values("pos")
         flows = fold(rows.to_dict("records"), state)
         if len(own) and own["evicting"].iloc[0]:
             state.keep_pids({int(p) for p in live})
-        last = {"state": pickle.dumps(state).hex(), "carriers": len(state.carriers)}
+        last = {"state": state.to_json(), "carriers": len(state.carriers)}
         return pd.DataFrame([*flows, last], columns=[c.strip().split(" ")[0] for c in _FOLDED.split(", ")]).astype(object)
 
     return run
 
 
 class StreamSession:
-    """One log's session. `folder` holds the state; `emit` gets a DataFrame of new incidents per batch."""
+    """One host's session, as process numbers are a host's own: give each host a session and a folder. `folder`
+    holds the state; `emit` gets a DataFrame of new incidents per batch, `emit_events` one of new events."""
 
-    def __init__(self, spark: SparkSession, folder: str, emit: Callable[[DataFrame, int], None] | None = None, window: int = DEFAULT_WINDOW, noise: NoiseConfig | None = None, carrier_cap: int = CARRIER_CAP, headers: dict[str, str] | None = None):
+    def __init__(self, spark: SparkSession, folder: str, emit: Callable[[DataFrame, int], None] | None = None, window: int = DEFAULT_WINDOW, noise: NoiseConfig | None = None, carrier_cap: int = CARRIER_CAP, headers: dict[str, str] | None = None, emit_events: Callable[[DataFrame, int], None] | None = None):
+        self.emit_events = emit_events
         self.spark, self.folder, self.emit = spark, folder.rstrip("/"), emit
         self.window, self.noise, self.cap = max(window, LEAST_WINDOW), noise or NoiseConfig(), carrier_cap
         self.dimension = syscall_dimension(spark, headers)
@@ -137,6 +138,8 @@ class StreamSession:
         self._store(batch_id, "reported", state["reported"].unionByName(news.select("key")).distinct())
         news = save(news.drop("key"))
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.folder}/{batch_id}/done")
+        if self.emit_events is not None:
+            self.emit_events(events, batch_id)
         if self.emit is not None:
             self.emit(news, batch_id)
         return news
