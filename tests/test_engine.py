@@ -359,7 +359,7 @@ def test_follow_plain_and_kept_state(spark, tmp_path, capsys):
     line = "type=SYSCALL msg=audit(1700000000.{0}:{0}): arch=c000003e syscall=59 success=yes exit=0 ppid=1 pid={0} uid=0 ses=1 comm=\"x\" exe=\"/bin/x{0}\" key=(null)"
     log = tmp_path / "a.log"
     log.write_text("".join(line.format(i) + "\n" for i in (7, 8)))
-    run = lambda: main([str(log), "--follow", "--plain", "--seconds", "12", "--state", f"file://{tmp_path}/kept"], spark) or capsys.readouterr().out
+    run = lambda: main([str(log), "--follow", "--plain", "--seconds", "1", "--state", f"file://{tmp_path}/kept"], spark) or capsys.readouterr().out
     first = run()
     assert "/bin/x7" in first and "/bin/x8" in first
     with log.open("a") as f:

@@ -26,7 +26,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--flagged", action="store_true", help="with --plain: flagged events only")
     p.add_argument("-F", "--follow", action="store_true", help="go on with lines that are appended; ends at an interrupt")
     p.add_argument("--state", metavar="FOLDER", help="with --follow: keep the state in this shared folder and go on from it; else it starts afresh")
-    p.add_argument("--seconds", type=int, help="with --follow: end after so many seconds")
+    p.add_argument("--seconds", type=int, help="with --follow: end after so many seconds, behind the lines that are there by then")
     p.add_argument("--include-noise", action="store_true")
     p.add_argument("--exclude", action="append", default=[], metavar="PREFIX")
     p.add_argument("--replace-noise", action="store_true")
@@ -52,7 +52,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         session = StreamSession(spark, f"{folder}/state", emit=None if a.plain else incidents, emit_events=table if a.plain else None, window=a.window, noise=noise)
         query = follow(spark, a.input, session, f"{folder}/checkpoint", start="begin")
         try:
-            query.awaitTermination(a.seconds)
+            if not query.awaitTermination(a.seconds) and a.seconds is not None:
+                query.processAllAvailable()
         except KeyboardInterrupt:
             pass
         query.stop()

@@ -2,7 +2,8 @@
 
 A batch runs the plans of the batch engine on what is new. What has to outlive a batch is kept as tables
 in a state folder, a version per batch, so that a batch that is run again after a failure starts from
-the same state and writes the same result:
+the same state and writes the same result. A flush makes a version behind its batch's, so that the next
+batch, in this run or a later one, goes on from it:
 
 * pending: records whose audit id may get more; an id closes once a batch brings nothing for it, or at a flush
 * verdicts: the last authentication outcome of each process
@@ -14,6 +15,7 @@ the same state and writes the same result:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -45,6 +47,10 @@ _TABLES = {
 }
 _FOLDED = _TABLES["flows"] + ", state string, carriers long"
 
+#: The batch, and the flushes since.
+Version = tuple[int, int]
+_VERSION = re.compile(r"(-?[0-9]+)-([0-9]+)")
+
 
 def _step(cap: int):
     """New events of one host, in order, and its state so far -> flows, and one row with the state after."""
@@ -72,26 +78,31 @@ class StreamSession:
         self.window, self.noise, self.cap = max(window, LEAST_WINDOW), noise or NoiseConfig(), carrier_cap
         self.dimension = syscall_dimension(spark, headers)
 
-    def _load(self, version: int | None, name: str) -> DataFrame:
+    def _place(self, version: Version, name: str) -> str:
+        return f"{self.folder}/{version[0]}-{version[1]}/{name}"
+
+    def _load(self, version: Version | None, name: str) -> DataFrame:
         if version is None:
             return self.spark.createDataFrame([], _TABLES[name])
-        return self.spark.read.schema(_TABLES[name]).parquet(f"{self.folder}/{version}/{name}")
+        return self.spark.read.schema(_TABLES[name]).parquet(self._place(version, name))
 
-    def _store(self, version: int, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{version}/{name}"
+    def _store(self, version: Version, name: str, df: DataFrame) -> DataFrame:
+        path = self._place(version, name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _versions(self) -> list[int]:
+    def _versions(self) -> list[Version]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(path):
             return []
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "done")))
+        named = [(s.getPath(), _VERSION.fullmatch(s.getPath().getName())) for s in fs.listStatus(path)]
+        return sorted((int(m[1]), int(m[2])) for p, m in named if m and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "done")))
 
-    def process(self, lines: DataFrame, batch_id: int, flush: bool = False) -> DataFrame:
-        """Run one batch (file, line_no, value); returns its new incidents. flush closes every pending id."""
-        before = max((v for v in self._versions() if v < batch_id), default=None)
+    def process(self, lines: DataFrame, batch_id: int, flushes: int = 0) -> DataFrame:
+        """Run one batch (file, line_no, value), or a flush behind it, which closes every pending id; returns the new incidents."""
+        version, flush = (batch_id, flushes), flushes > 0
+        before = max((v for v in self._versions() if v < version), default=None)
         state = {name: self._load(before, name) for name in _TABLES}
         counters = state["counters"].first()
         last_pos, evicted = (counters["last_pos"], counters["evicted"]) if counters else (0, 0)
@@ -101,13 +112,13 @@ class StreamSession:
         touched = fresh.where("class = 'exec'").select("audit_id").distinct()
         closed = exec_records if flush else exec_records.join(touched, "audit_id", "left_anti")
         open_ = exec_records.join(touched, "audit_id", "left_semi") if not flush else exec_records.limit(0)
-        self._store(batch_id, "pending", open_)
+        self._store(version, "pending", open_)
 
         own = E.last_verdicts(fresh).withColumn("at", F.lit(None).cast("struct<file:string,line_no:bigint>"))
         newest = fresh.where("record_type = 'USER_AUTH'").groupBy().agg(F.max(F.struct("file", "line_no")).alias("at")).first()["at"]
         if newest is not None:
             own = own.withColumn("at", F.struct(F.lit(newest["file"]).alias("file"), F.lit(newest["line_no"]).cast("long").alias("line_no")))
-        verdicts = self._store(batch_id, "verdicts", own.unionByName(state["verdicts"].join(own.select("auth_pid"), "auth_pid", "left_anti").select(own.columns)))
+        verdicts = self._store(version, "verdicts", own.unionByName(state["verdicts"].join(own.select("auth_pid"), "auth_pid", "left_anti").select(own.columns)))
 
         both = E.syscall_events(E.staple(closed), self.dimension, verdicts.drop("at"), self.noise).unionByName(E.system_events(fresh))
         both = both.join(state["window"].select("audit_id").distinct(), "audit_id", "left_anti")
@@ -118,13 +129,13 @@ class StreamSession:
         total = state["window"].count() + count
         excess = max(0, total - self.window)
         # positions are dense but for what was dropped as known, so the newest N are above a bound
-        window = self._store(batch_id, "window", state["window"].unionByName(events).orderBy(F.desc("pos")).limit(self.window))
+        window = self._store(version, "window", state["window"].unionByName(events).orderBy(F.desc("pos")).limit(self.window))
         used = window.select("pos", "seq", "pid", "ppid", "kind", "target", "cmdline", "success").withColumn("fresh", F.col("pos") > last_pos).withColumn("evicting", F.lit(excess > 0)).withColumn("host", F.lit("-"))
         folded = save(used.groupBy("host").cogroup(state["taint"].groupBy("host")).applyInPandas(_step(self.cap), _FOLDED))
-        self._store(batch_id, "taint", folded.where("state is not null").select(F.lit("-").alias("host"), "state"))
-        flows = self._store(batch_id, "flows", state["flows"].unionByName(folded.where("state is null").drop("state", "carriers")))
+        self._store(version, "taint", folded.where("state is not null").select(F.lit("-").alias("host"), "state"))
+        flows = self._store(version, "flows", state["flows"].unionByName(folded.where("state is null").drop("state", "carriers")))
         carriers = folded.agg(F.max("carriers")).first()[0] or 0
-        self._store(batch_id, "counters", self.spark.createDataFrame([(last_pos + count, evicted + excess, carriers)], _TABLES["counters"]))
+        self._store(version, "counters", self.spark.createDataFrame([(last_pos + count, evicted + excess, carriers)], _TABLES["counters"]))
 
         tree = save(build_tree(window))
         lines_of = save(chains(tree, ancestor_paths(tree, save)))
@@ -135,9 +146,9 @@ class StreamSession:
         key = F.concat_ws("|", "title", F.col("seq_to").cast("string"), F.size("actors").cast("string")).alias("key")
         current = save(correlate(found, shown, lines_of).select("*", key))
         news = current.join(state["reported"], "key", "left_anti")
-        self._store(batch_id, "reported", state["reported"].unionByName(news.select("key")).distinct())
+        self._store(version, "reported", state["reported"].unionByName(news.select("key")).distinct())
         news = save(news.drop("key"))
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.folder}/{batch_id}/done")
+        self.spark.range(1).write.mode("overwrite").parquet(self._place(version, "done"))
         if self.emit_events is not None:
             self.emit_events(events, batch_id)
         if self.emit is not None:
@@ -146,7 +157,8 @@ class StreamSession:
 
     def flush(self) -> DataFrame:
         """Close what is pending, at the end of a stream."""
-        return self.process(self.spark.createDataFrame([], "file string, line_no long, value string"), (self._versions() or [-1])[-1] + 1, flush=True)
+        batch_id, flushes = (self._versions() or [(-1, 0)])[-1]
+        return self.process(self.spark.createDataFrame([], "file string, line_no long, value string"), batch_id, flushes + 1)
 
     def table(self, name: str) -> DataFrame:
         """A state table after the last batch."""
