@@ -19,7 +19,7 @@ from tidemark.operators.storage import save
 from tidemark.operators.taint import taint_flows
 from tidemark.plans.analysis import analyze, analyze_lines
 from tidemark.plans.bindings import audit_events, audit_lines, auth_lines, duckdb
-from tidemark.schemas import SEVERITIES, severity_label
+from tidemark.schemas import SEVERITIES, severity_label, taint_label, taint_rank
 from tidemark.sources.logs import parse_jsonl, split_lines
 
 QUERIES: dict = {}
@@ -79,6 +79,12 @@ def fn_decode_sockaddr(spark, sf_dir):
     return audit_events(spark, sf_dir).select("event_id", T.socket_address(blob).alias("address"))
 
 
+@query("select event_id, '[2001:db8:0:0:0:0:' || printf('%x', event_id % 65536) || ':' || printf('%x', pid % 65536) || ']:' || cast(event_id % 60000 as varchar) as address from audit")
+def fn_decode_sockaddr6(spark, sf_dir):
+    blob = F.format_string("0A00%04X0000000020010DB80000000000000000%04X%04X", F.col("event_id") % 60000, F.col("event_id") % 65536, F.col("pid") % 65536)
+    return audit_events(spark, sf_dir).select("event_id", T.socket_address(blob).alias("address"))
+
+
 @query("select event_id, strftime(make_timestamp(cast(epoch as bigint) * 1000000), '%Y-%m-%d %H:%M:%S') as shown from audit")
 def fn_fmt_epoch(spark, sf_dir):
     return audit_events(spark, sf_dir).select("event_id", T.show_epoch(F.col("epoch") + 0.75).alias("shown"))
@@ -141,6 +147,12 @@ def dng_classify(spark, sf_dir):
     return audit_events(spark, sf_dir).select("event_id", F.array_join(P.danger_labels(F.col("exe"), F.col("cmdline")), ",").alias("danger"))
 
 
+@query(f"select d.event_id, danger from ({_DANGER}) d join audit a on d.event_id = a.event_id where danger <> '' or auth = 'failed'")
+def flt_flagged(spark, sf_dir):
+    events = audit_events(spark, sf_dir).withColumn("danger", P.danger_labels(F.col("exe"), F.col("cmdline")))
+    return R.flagged(events).select("event_id", F.array_join("danger", ",").alias("danger"))
+
+
 # --- events ---------------------------------------------------------------------------------
 
 _EVENTS = """
@@ -201,16 +213,44 @@ select event_id, case event_id % 4 when 0 then 'user-add' when 1 then 'service'
 from audit"""
 
 
-@query(_SYSTEM)
-def evt_system(spark, sf_dir):
-    """evt_account, evt_service, evt_config and evt_system_common."""
+def _system_events(spark, sf_dir):
     who = "cast(uid as string)"
     value = F.expr(f"""concat('type=', case event_id % 4 when 0 then 'ADD_USER' when 1 then 'SERVICE_STOP' when 2 then 'CONFIG_CHANGE' else 'ACCT_LOCK' end, ' msg=audit(', cast(cast(epoch as bigint) as string), '.0:', cast(event_id as string), '): pid=1 auid=7 ',
       case event_id % 4 when 0 then concat('msg=\\'op=adding-user acct="e', {who}, '" exe="/usr/sbin/useradd"') when 1 then 'msg=\\'unit=auditd' when 2 then concat('op=add_rule key="k', {who}, '"') else concat('msg=\\'op=? id=e', {who}) end,
       ' res=', if(event_id % 5 = 0, 'failed', 'success'), if(event_id % 4 = 2, '', '\\''))""")
-    lines = audit_events(spark, sf_dir).select(F.lit("system").alias("file"), F.col("pos").alias("line_no"), value.alias("value"))
+    return _events_of(spark, audit_events(spark, sf_dir).select(F.lit("system").alias("file"), F.col("pos").alias("line_no"), value.alias("value")))
+
+
+def _events_of(spark, lines):
+    """Events of bound lines, with the number that their audit id ends in."""
     events = E.build_events(E.parse_records(lines), S.syscall_dimension(spark))
-    return events.select(F.substring_index("audit_id", ":", -1).cast("bigint").alias("event_id"), "kind", "cmdline", "target", "success", F.array_join("danger", ",").alias("danger"))
+    return events.withColumn("event_id", F.substring_index("audit_id", ":", -1).cast("bigint"))
+
+
+@query(_SYSTEM)
+def evt_system(spark, sf_dir):
+    """evt_account, evt_service, evt_config and evt_system_common."""
+    return _system_events(spark, sf_dir).select("event_id", "kind", "cmdline", "target", "success", F.array_join("danger", ",").alias("danger"))
+
+
+@query("select event_id, 'anomaly' as kind, case event_id % 3 when 0 then 'anom_promiscuous' when 1 then 'anom_login_failures' else 'anom_abend' end as cmdline, pid, '' as target, event_id % 5 <> 0 as success from audit")
+def evt_anomaly(spark, sf_dir):
+    value = F.expr("""concat('type=', case event_id % 3 when 0 then 'ANOM_PROMISCUOUS' when 1 then 'ANOM_LOGIN_FAILURES' else 'ANOM_ABEND' end, ' msg=audit(', cast(cast(epoch as bigint) as string), '.0:', cast(event_id as string), '): auid=7 pid=',
+      cast(pid as string), ' dev=eth0', case when event_id % 5 = 0 then ' res=0' when event_id % 2 = 0 then ' res=1' else '' end)""")
+    lines = audit_events(spark, sf_dir).select(F.lit("anomaly").alias("file"), F.col("pos").alias("line_no"), value.alias("value"))
+    return _events_of(spark, lines).select("event_id", "kind", "cmdline", "pid", "target", "success")
+
+
+@query("select event_id, 'exec' as kind, case when event_id % 3 = 0 then 'run -p ' || cast(event_id as varchar) else 'run --id=' || cast(event_id as varchar) || ' end' end as cmdline from audit")
+def evt_argv(spark, sf_dir):
+    """Arguments in chunks, of which each is decoded by itself, and the title of a process without arguments (fn_proctitle)."""
+    head = "concat('msg=audit(', cast(cast(epoch as bigint) as string), '.5:', cast(event_id as string), '): ')"
+    call = F.expr(f"concat('type=SYSCALL ', {head}, 'arch=c000003e syscall=59 success=yes exit=0 ppid=1 pid=', cast(pid as string), ' uid=0 comm=\"x\" exe=\"/bin/run\" key=(null)')")
+    argv = F.expr(f"""case when event_id % 3 = 0 then concat('type=PROCTITLE ', {head}, 'proctitle=72756E002D7000', hex(cast(event_id as string)))
+      else concat('type=EXECVE ', {head}, 'argc=3 a0="run" a2="end" a1_len=9 a1[1]="', cast(event_id as string), '" a1[0]=2D2D69643D') end""")
+    line = F.explode(F.array(F.struct((2 * F.col("pos") - 1).alias("line_no"), call.alias("value")), F.struct((2 * F.col("pos")).alias("line_no"), argv.alias("value")))).alias("l")
+    lines = audit_events(spark, sf_dir).select(F.lit("argv").alias("file"), line).select("file", "l.*")
+    return _events_of(spark, lines).select("event_id", "kind", "cmdline")
 
 
 @query("select seq, pid, kind, exe, target, success, cast(event_id as varchar) as host from audit")
@@ -283,6 +323,12 @@ def rule_findings(spark, sf_dir):
     return rule_ops.findings(audit_events(spark, sf_dir)).select("rule_id", "title", "severity", "seq", "pid")
 
 
+@query("select 'LT003' as rule_id, 'User account created' as title, 3 as severity, seq, cast(1 as bigint) as pid from (select event_id, row_number() over (order by cast(epoch as bigint), pos) as seq from audit) a where event_id % 4 = 0")
+def rule_user_add(spark, sf_dir):
+    """rule_LT003, on records of new accounts among others."""
+    return rule_ops.findings(_system_events(spark, sf_dir)).select("rule_id", "title", "severity", "seq", "pid")
+
+
 # --- taint ----------------------------------------------------------------------------------
 
 _KINDS_SQL = """
@@ -304,6 +350,21 @@ def tnt_source_kinds(spark, sf_dir):
     return docs.select("doc_id", F.array_join(P.source_kinds(path).cast("array<string>"), ",").alias("kinds"))
 
 
+@query("""select event_id, array_to_string(list_filter(string_split(cmdline || ' /k/id_rsa.' || cast(event_id as varchar) || ' id_rsa /k/a.PEM /k/plain', ' '), lambda x: contains(x, '/')
+  and regexp_matches(lower(x), '/id_rsa|/id_ed25519|\\.pem$|\\.aws/credentials|\\.kube/config|\\.sql$|\\.p12$')), ' ') as tokens from audit""")
+def fn_carrier_tokens(spark, sf_dir):
+    cmdline = F.concat("cmdline", F.lit(" /k/id_rsa."), F.col("event_id").cast("string"), F.lit(" id_rsa /k/a.PEM /k/plain"))
+    return audit_events(spark, sf_dir).select("event_id", F.array_join(P.carrier_tokens(cmdline), " ").alias("tokens"))
+
+
+@query("""select event_id, case event_id % 6 when 0 then 'credentials' when 1 then 'crypto-key' when 2 then 'session-token' when 3 then 'cloud-credentials' when 4 then 'database-dump' else 'personal-data' end as label,
+  case when event_id % 7 <> 0 then cast(event_id % 6 as integer) end as rank from audit""")
+def fn_taint_label(spark, sf_dir):
+    """Labels of kinds, and the kinds of labels; another word has none."""
+    labelled = audit_events(spark, sf_dir).select("event_id", taint_label((F.col("event_id") % 6).cast("int")).alias("label"))
+    return labelled.withColumn("rank", taint_rank(F.when(F.col("event_id") % 7 == 0, "other").otherwise(F.col("label"))))
+
+
 _FLOWS = (
     _CHAIN.rstrip()
     + """, used as (select * from audit where success and kind in ('exec', 'file', 'net-connect', 'net-send', 'net-accept')),
