@@ -49,6 +49,7 @@ DANGER_PATTERNS = [
     (r"\bsudo\s+(?:-i|-s|su|bash|sh)(?:\s|$)|\bsudo\s+-u\s+root\s+(?:sh|bash)\b", "root shell via sudo"),
     (r"\b(?:tar|zip|7z)\b[^|;]*\s(?:.*)(?:\.aws|\.ssh|/etc/|\.kube|\.gnupg)", "archive of sensitive scope"),
 ]
+# Folders that everybody can write to, tools that change the user, and endings of archives.
 WORLD_WRITABLE = ["/tmp/", "/dev/shm/", "/var/tmp/"]
 ESCALATION_TOOLS = ["sudo", "su", "sudo-rs", "doas"]
 ARCHIVES = [".tar", ".tar.gz", ".tgz", ".zip", ".7z"]
@@ -111,6 +112,7 @@ def source_kinds(path: Column) -> Column:
 
 
 def _source_kinds(p: Column) -> Column:
+    # Parts and endings of paths by kind.
     kinds = {
         "credentials": holds(p, ["/id_rsa", "/id_ed25519", ".ssh/authorized_keys", "/.ssh/control", "/ssh-agent"]) | ends(p, [".pem", ".gnupg"]) | (p.contains(".env") & ~p.contains("/proc/")),
         "crypto-key": ends(p, [".kdbx", ".p12", ".pfx"]) | holds(p, [".gnupg/", "/keystore"]),

@@ -83,7 +83,7 @@ def _archive() -> list[tuple[Column, str]]:
     return [(_is("exec") & holds(c, ["tar ", "zip ", "7z "]) & holds(c, [".aws", ".ssh", "/etc/", "home"]), "archive command covers sensitive paths")]
 
 
-# Ids, titles and severities.
+# Ids, titles and severities, and the detail texts above.
 RULES = [
     Rule("LT001", "Reverse shell pattern in command line", CRITICAL, _reverse_shell),
     Rule("LT002", "Privilege escalation attempt (sudo/su from non-root session)", HIGH, _escalation),
