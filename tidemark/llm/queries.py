@@ -12,6 +12,7 @@ from tidemark.llm.secret_scan import op6_secret_scan
 from tidemark.llm.source_mix import op7_source_mix
 from tidemark.llm.substring_dedup import op8_substring_dedup
 from tidemark.llm.syncmer_fingerprint import op2_syncmer_fingerprint
+from tidemark.llm.token_counts import op12_token_counts
 
 
 def pipeline(spark, sf_dir: str):
@@ -34,6 +35,7 @@ QUERIES = {
         op8_substring_dedup,
         op9_license_scan,
         op10_line_dedup,
+        op12_token_counts,
         pipeline,
     )
 }
