@@ -97,13 +97,14 @@ class PreTokens:
     def cut(self, text: str) -> list[str]:
         return _library_cut(text) if not text.isascii() and self.odd(text) else self.find(text)
 
-    def __call__(self, text: str) -> Counter:
+    def all(self, text: str) -> list[str]:
+        """The text's pre-tokens in order."""
         if not any(s in text for s in self.specials):
-            return Counter(self.cut(text))
-        found: Counter = Counter()
-        for part in self.parts(text):
-            found.update([part] if part in self.specials else self.cut(part))
-        return found
+            return self.cut(text)
+        return [t for part in self.parts(text) for t in ([part] if part in self.specials else self.cut(part))]
+
+    def __call__(self, text: str) -> Counter:
+        return Counter(self.all(text))
 
 
 def _texts(batches) -> Iterator[tuple[list, list[str]]]:
@@ -116,17 +117,22 @@ def _texts(batches) -> Iterator[tuple[list, list[str]]]:
 
 def _distinct(*pre: object):
     def run(batches):
-        pre_tokens, held = PreTokens(*pre), Counter()
+        pre_tokens, held, read = PreTokens(*pre), Counter(), 0
 
         def handed():
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["pre_token", "n"])
 
         for _, texts in _texts(batches):
             for text in texts:
-                held.update(pre_tokens(text))
-            if len(held) > HELD or sum(map(len, held)) > HELD_CHARS:
+                held.update(pre_tokens.all(text))
+                read += len(text)
+            full = len(held) > HELD
+            if read > HELD_CHARS:  # the table can't hold more characters than were read
+                read, full = 0, full or sum(map(len, held)) > HELD_CHARS // 2
+            if full:
                 yield handed()
                 held.clear()
+                read = 0
         yield handed()
 
     return run
@@ -149,18 +155,25 @@ def _pieces(path: str):
 
 
 def _documents(head, *pre: object):
-    schema = pa.list_(pa.struct([("pre_token", pa.string()), ("n", pa.int64())]))
-
     def run(batches):
-        pre_tokens, known = PreTokens(*pre), head.value
+        pre_tokens, pieces_of = PreTokens(*pre), head.value.get
         for doc_ids, texts in _texts(batches):
-            n_bytes, in_head, rest = [], [], []
+            n_bytes, in_head, rest, frequencies, ends = [], [], [], [], [0]
             for text in texts:
-                found = pre_tokens(text)
+                tokens = 0
+                for t, n in pre_tokens(text).items():
+                    pieces = pieces_of(t)
+                    if pieces is None:
+                        rest.append(t)
+                        frequencies.append(n)
+                    else:
+                        tokens += n * pieces
                 n_bytes.append(len(text.encode()))
-                in_head.append(sum(n * known[t] for t, n in found.items() if t in known))
-                rest.append([{"pre_token": t, "n": n} for t, n in found.items() if t not in known])
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(in_head, pa.int64()), pa.array(rest, schema)], names=["doc_id", "n_bytes", "in_head", "rest"])
+                in_head.append(tokens)
+                ends.append(len(rest))
+            beyond = pa.StructArray.from_arrays([pa.array(rest, pa.string()), pa.array(frequencies, pa.int64())], names=["pre_token", "n"])
+            columns = [pa.array(doc_ids, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(in_head, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), beyond)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "in_head", "rest"])
 
     return run
 
