@@ -60,6 +60,9 @@ def test_each_distinct_pre_token_is_counted_once(spark):
 def test_characters_of_all_kinds(library):
     """Every code point next to a letter, a digit and a sign, as the library counts it."""
     pre = C.PreTokens(C.special_strings(PATH), C.disputed())
+    latin = [chr(c) for c in range(256)]
+    for text in ["".join(f"a{c}1{c}!{c}{d} '{c}" for c in latin) for d in latin]:
+        assert pre.all(text) == C._library_cut(text)
     for low in range(0, 0x40000, 2048):
         text = "".join(f"a{c}1{c}!{c} " for c in map(chr, range(low, low + 2048)) if not "\ud800" <= c <= "\udfff")
         assert sum(pre(text).values()) == len(C._library_cut(text))
