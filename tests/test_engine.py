@@ -47,7 +47,7 @@ def test_fields(spark):
     line = 'type=SYSCALL msg=audit(1.5:9): a=1 b="two words" c=(x y) a=2 d="q\\"q"\x1dUID="al ice" msg=\'op=x res=failed\''
     got = one(spark, T.record_fields, line)
     assert got["a"] == "2" and got["b"] == '"two words"' and got["c"] == "(x y)" and got["d"] == '"q\\"q"' and got["UID"] == '"al ice"' and got["op"] == "x" and got["res"] == "failed"
-    assert one(spark, T.audit_id, line) == "1.5:9" and one(spark, T.audit_epoch, line) == 1.5 and one(spark, T.record_type, line) == "SYSCALL"
+    assert tuple(one(spark, T.audit_header, line)) == ("1.5:9", 1.5) and one(spark, T.audit_header, "type=SYSCALL a=1") is None and one(spark, T.record_type, line) == "SYSCALL"
     assert len(one(spark, T.parse_fields, 'k="' + "a\\b" * 60_000 + '"')["k"]) == 180_002
 
 
@@ -325,32 +325,40 @@ def test_command(spark, tmp_path, capsys):
     assert main([str(tmp_path / "a.log"), "-m", "high"], spark) == 0 and main([str(tmp_path / "a.log"), "--plain"], spark) == 0 and main([str(tmp_path / "empty.log")], spark) == 1
 
 
-def test_call_names_of_installed_headers(spark):
-    """Every call that the installed kernel headers name has its name; those of no interest are of kind other."""
-    from tidemark.operators import syscalls as S
-
-    known = {(r["arch_table"], int(r["nr"])): (r["name"], r["syscall_kind"]) for r in S.syscall_dimension(spark).collect()}
-    assert known["x86_64", 59] == ("execve", "exec")
-    expected = {("x86_64", 101): "ptrace", ("x86_64", 62): "kill", ("x86_64", 165): "mount", ("x86_64", 175): "init_module", ("i386", 26): "ptrace", ("aarch64", 117): "ptrace"}
-    for (table, number), name in expected.items():
-        if S.header_calls(S.KERNEL_HEADERS[table]):
-            assert known[table, number] == (name, "other")
-    assert S.header_calls("/nowhere") == {} and len(known) == S.syscall_dimension(spark).count()
-
-
-def test_numbering_of_rows_without_time(spark):
-    """Rows at time 0 are numbered by chunks, in the same order as all at once."""
+def test_call_names_do_not_depend_on_the_machine(spark, tmp_path):
+    """Built in are the calls whose kind matters. Others get their names from a kernel's file of calls, or from enriched records."""
+    known = {(r["arch_table"], r["nr"]): (r["name"], r["syscall_kind"]) for r in S.syscall_dimension(spark).collect()}
+    assert known["x86_64", "59"] == ("execve", "exec") and ("x86_64", "101") not in known and "other" not in {k for _, k in known.values()}
+    for (table, nr), name in {("x86_64", 20): "writev", ("x86_64", 44): "sendto", ("x86_64", 46): "sendmsg", ("x86_64", 90): "chmod", ("x86_64", 188): "setxattr", ("x86_64", 9): "mmap", ("i386", 11): "execve", ("aarch64", 221): "execve"}.items():
+        assert known[table, str(nr)][0] == name
+    (tmp_path / "syscall_64.tbl").write_text("# numbers\n59\tcommon\texecve\tsys_execve\n101\tcommon\tptrace\t\tsys_ptrace\n")
+    more = {(r["arch_table"], r["nr"]): (r["name"], r["syscall_kind"]) for r in S.syscall_dimension(spark, {"x86_64": str(tmp_path / "syscall_64.tbl")}).collect()}
+    assert more == known | {("x86_64", "101"): ("ptrace", "other")}
+    (tmp_path / "empty").write_text("nothing")
+    with pytest.raises(ValueError):
+        S.kernel_calls(str(tmp_path / "empty"))
+    call = 'type=SYSCALL msg=audit(1.0:{0}): arch=c000003e syscall={0} success=yes exit=0 ppid=1 pid=2 uid=0 comm="c" exe="/bin/c" key="k"'
+    rows = events_of(spark, call.format(101) + "\x1dARCH=x86_64 SYSCALL=ptrace UID=\"root\"\n" + call.format(102) + "\n" + call.format(59) + "\x1dSYSCALL=execve")
+    assert sorted((r["syscall_nr"], r["syscall_name"]) for r in rows) == [("101", "ptrace"), ("102", ""), ("59", "execve")]
+
+
+def test_numbers_spread_over_partitions(spark):
+    """Rows of one second, of no time and of many, in one order, each task with a share of them."""
     from tidemark.operators import ordering
+    from tidemark.operators.storage import save
 
     rows = [(None if i % 3 else float(i % 5) / 4, (i * 7919) % 500) for i in range(500)]
-    df = spark.createDataFrame(rows, "epoch double, seq long")
-    want = sorted(((e or 0.0), s) for e, s in rows)
-    old, ordering._CHUNK = ordering._CHUNK, 64
-    try:
-        got = [((r["epoch"] or 0.0), r["seq"]) for r in ordering.number_by_time(df, "epoch", ["seq"], "n", dealt_by="seq").orderBy("n").collect()]
-    finally:
-        ordering._CHUNK = old
-    assert got == want
+    df = save(spark.createDataFrame(rows, "epoch double, seq long"))
+    numbered = ordering.number_by_time(df, "epoch", ["seq"], "n", rows_each=32)
+    got = [((r["epoch"] or 0.0), r["seq"]) for r in numbered.orderBy("n").collect()]
+    assert got == sorted(((e or 0.0), s) for e, s in rows) and sorted(r["n"] for r in numbered.collect()) == list(range(1, 501))
+    second = save(spark.range(200_000).selectExpr("7.5D as epoch", "id % 1000 as pid", "id"))
+    numbered = ordering.number_by_time(second, "epoch", ["pid", "id"], "n", rows_each=10_000)
+    sizes = [r["count"] for r in numbered.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    assert sum(sizes) == 200_000
+    assert ordering.placed_rows(second, ["epoch", "pid", "id"], 10_000).groupBy("at_part").count().agg(F.count("*"), F.max("count")).where("`count(1)` < 15 or `max(count)` > 20000").isEmpty()
+    assert numbered.where("n <> 1 + pid * 200 + (id - pid) / 1000").isEmpty()
+    assert ordering.number_by_time(df.where("seq < 0"), "epoch", ["seq"], "n").collect() == []
 
 
 def test_follow_plain_and_kept_state(spark, tmp_path, capsys):

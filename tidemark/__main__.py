@@ -30,6 +30,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--include-noise", action="store_true")
     p.add_argument("--exclude", action="append", default=[], metavar="PREFIX")
     p.add_argument("--replace-noise", action="store_true")
+    p.add_argument("--calls", action="append", default=[], metavar="TABLE=FILE", help="names of further system calls: a kernel's header or table of calls, for x86_64, i386 or aarch64")
     p.add_argument("--window", type=int, default=200_000, help="events that --follow retains")
     p.add_argument("-m", "--min-severity", choices=SEVERITIES, default="low")
     return p.parse_args(argv)
@@ -40,6 +41,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("tidemark").getOrCreate()
     noise = NoiseConfig(a.include_noise, tuple(a.exclude), a.replace_noise)
     least = SEVERITIES.index(a.min_severity)
+    calls = dict(x.split("=", 1) for x in a.calls)
     if a.follow:
         from tidemark.streaming.session import StreamSession, follow
 
@@ -49,7 +51,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         table = lambda df, _: lines(R.event_lines(df, a.flagged).orderBy("pos").select("line"))
         if a.plain:
             print("\n".join(R.event_header()), flush=True)
-        session = StreamSession(spark, f"{folder}/state", emit=None if a.plain else incidents, emit_events=table if a.plain else None, window=a.window, noise=noise)
+        session = StreamSession(spark, f"{folder}/state", emit=None if a.plain else incidents, emit_events=table if a.plain else None, window=a.window, noise=noise, calls=calls)
         query = follow(spark, a.input, session, f"{folder}/checkpoint", start="begin")
         try:
             if not query.awaitTermination(a.seconds) and a.seconds is not None:
@@ -59,7 +61,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         query.stop()
         session.flush()
         return 0
-    found = analyze_jsonl(spark, a.input) if a.jsonl else analyze_log(spark, a.input, noise=noise)
+    found = analyze_jsonl(spark, a.input) if a.jsonl else analyze_log(spark, a.input, noise=noise, calls=calls)
     if found.events.isEmpty():
         print("no events", file=sys.stderr)
         return 1

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.paths import ESCALATION_TOOLS, NoiseConfig, danger_labels, is_sensitive
+from tidemark.functions.tokens import with_fields
+from tidemark.operators.hosts import host_of
 from tidemark.operators.ordering import number_by_time
 from tidemark.operators.storage import save
 from tidemark.operators.syscalls import with_syscall
@@ -22,6 +24,9 @@ USER_ADD_TYPES = ["ADD_USER", "USER_ADD", "USER_MGMT"]
 #: Seconds from an escalation's exec within which a verdict is about it.
 AUTH_WINDOW = 30.0
 
+#: Fields of SYSCALL records that events are made of, by name.
+PICKED = {"arch": "arch", "nr": "syscall", "success": "success", "exit": "exit", "pid": "pid", "ppid": "ppid", "uid": "uid", "ses": "ses", "comm": "comm", "exe": "exe", "key": "key", "uid_name": "UID", "call_name": "SYSCALL"}
+
 EVENT_COLUMNS = [f.strip().split(" ", 1)[0] for f in EVENT.split(", ")]
 
 
@@ -32,13 +37,17 @@ def record_class(record_type: Column) -> Column:
     )
 
 
-def parse_records(lines: DataFrame) -> DataFrame:
-    """(file, line_no, value) -> one row per record of a class that is read: adds record_type, class,
-    audit_id, epoch and pairs. The class filter stands before the field parser."""
+def headed_records(lines: DataFrame) -> DataFrame:
+    """(file, line_no, value) -> the records of a class that is read, with a header: adds record_type, class, audit_id, epoch and host."""
     typed = lines.withColumn("record_type", T.record_type(F.col("value"))).withColumn("class", record_class(F.col("record_type"))).where("class is not null")
     headed = typed.withColumn("header", T.audit_header(F.col("value"))).where("header is not null")
     headed = headed.withColumn("audit_id", F.col("header.id")).withColumn("epoch", F.coalesce("header.epoch", F.lit(0.0))).drop("header")
-    return headed.withColumn("pairs", T.record_entries(F.col("value"))).withColumn("fields", T.last_wins(F.col("pairs")))
+    return headed.withColumn("host", host_of(F.col("value")))
+
+
+def parse_records(lines: DataFrame) -> DataFrame:
+    """headed_records with pairs and fields. The class filter stands before the field tokenizer."""
+    return with_fields(headed_records(lines))
 
 
 def staple(records: DataFrame) -> DataFrame:
@@ -51,14 +60,13 @@ def staple(records: DataFrame) -> DataFrame:
         has = (kind == record_type) & F.map_contains_key(fields, key)
         return F.max_by(F.when(has, fields[key]), F.when(has, at))
 
-    wanted = {"arch": "arch", "nr": "syscall", "success": "success", "exit": "exit", "pid": "pid", "ppid": "ppid", "uid": "uid", "ses": "ses", "comm": "comm", "exe": "exe", "key": "key", "uid_name": "UID"}
     listed = lambda what, when: F.array_sort(F.collect_list(F.when(when, F.struct(at.alias("at"), what.alias("x")))))
-    grouped = records.where("class = 'exec'").groupBy("audit_id").agg(
+    grouped = records.where("class = 'exec'").groupBy("host", "audit_id").agg(
         F.min("epoch").alias("epoch"),
         F.min(at).alias("first_at"),
         F.bool_or(kind == "SYSCALL").alias("has_syscall"),
         F.bool_or(kind == "EXECVE").alias("has_execve"),
-        *[last("SYSCALL", key).alias(f"s_{name}") for name, key in wanted.items()],
+        *[last("SYSCALL", key).alias(f"s_{name}") for name, key in PICKED.items()],
         last("PATH", "name").alias("path_name"),
         last("PROCTITLE", "proctitle").alias("proctitle"),
         last("SOCKADDR", "saddr").alias("saddr"),
@@ -69,11 +77,11 @@ def staple(records: DataFrame) -> DataFrame:
 
 
 def last_verdicts(records: DataFrame) -> DataFrame:
-    """(auth_pid, auth_epoch, auth_ok): each pid's last USER_AUTH outcome, in file order."""
+    """(auth_host, auth_pid, auth_epoch, auth_ok): each process's last USER_AUTH outcome, in file order."""
     own = records.where("record_type = 'USER_AUTH'").withColumn("auth_pid", T.integer(F.col("fields")["pid"], -1)).where("auth_pid >= 0")
     ok = T.unquote(F.col("fields")["res"]) != "failed"
-    picked = own.groupBy(T.unsigned(F.col("auth_pid")).alias("auth_pid")).agg(F.max_by(F.struct(F.col("epoch").alias("e"), ok.alias("ok")), F.struct("file", "line_no")).alias("v"))
-    return picked.select("auth_pid", F.col("v.e").alias("auth_epoch"), F.col("v.ok").alias("auth_ok"))
+    picked = own.groupBy(F.col("host").alias("auth_host"), T.unsigned(F.col("auth_pid")).alias("auth_pid")).agg(F.max_by(F.struct(F.col("epoch").alias("e"), ok.alias("ok")), F.struct("file", "line_no")).alias("v"))
+    return picked.select("auth_host", "auth_pid", F.col("v.e").alias("auth_epoch"), F.col("v.ok").alias("auth_ok"))
 
 
 def auth_failures(records: DataFrame) -> DataFrame:
@@ -105,7 +113,7 @@ def syscall_events(stapled: DataFrame, dimension: DataFrame, verdicts: DataFrame
     address = F.when(F.col("kind").startswith("net-") | (F.col("kind") == "socket"), T.socket_address(F.col("saddr")))
     success = T.unquote(F.col("s_success"))
 
-    df = df.join(verdicts, F.col("pid") == F.col("auth_pid"), "left")
+    df = df.join(verdicts, (F.col("host") == F.col("auth_host")) & (F.col("pid") == F.col("auth_pid")), "left")
     within = F.col("auth_epoch") - F.col("epoch")
     denied = F.col("is_exec") & T.basename(F.col("exe")).isin(*ESCALATION_TOOLS) & ~F.col("auth_ok") & (within >= 0) & (within < AUTH_WINDOW)
     denied = F.coalesce(denied, F.lit(False))
@@ -115,9 +123,9 @@ def syscall_events(stapled: DataFrame, dimension: DataFrame, verdicts: DataFrame
     return df.select(
         T.show_epoch(F.col("epoch")).alias("ts"), "epoch", "pid", T.unsigned(T.integer(F.col("s_ppid"), 0)).alias("ppid"), T.integer(T.unquote(F.col("s_uid")), -1).alias("uid"), "kind",
         F.when(F.col("is_exec"), "exec").otherwise("watch").alias("row_kind"), "exe", "cmdline", F.coalesce(F.nullif(path, F.lit("")), address, F.lit("")).alias("target"),
-        F.when(success == "no", False).when(success == "yes", True).otherwise(T.integer(F.col("s_exit"), 0) >= 0).alias("success"), "arch", "syscall_nr", F.coalesce("syscall_name", F.lit("")).alias("syscall_name"),
+        F.when(success == "no", False).when(success == "yes", True).otherwise(T.integer(F.col("s_exit"), 0) >= 0).alias("success"), "arch", "syscall_nr", F.coalesce("syscall_name", T.unquote(F.col("s_call_name"))).alias("syscall_name"),
         F.replace(T.unquote(F.col("s_key")), F.lit("\x01"), F.lit(", ")).alias("audit_key"), "audit_id", signed(T.integer(F.col("s_ses"), -1)).cast("int").alias("ses"), T.unquote(F.col("s_uid_name")).alias("uid_name"),
-        F.when(denied, "failed").alias("auth"), danger.alias("danger"), "raw", F.lit(1).alias("is_syscall"), "first_at",
+        F.when(denied, "failed").alias("auth"), danger.alias("danger"), "raw", F.lit(1).alias("is_syscall"), "first_at", "host",
     )
 
 
@@ -142,16 +150,29 @@ def system_events(records: DataFrame) -> DataFrame:
         F.when(kind.isin(*USER_ADD_TYPES), "user-add").otherwise(cls).alias("kind"), cls.alias("row_kind"), F.when(cls == "account", T.basename(T.field(f["exe"]))).otherwise("-").alias("exe"), "cmdline",
         F.when(cls == "account", account_target).when(cls == "service", unit).when(cls == "config", detail).otherwise("").alias("target"), F.col("res").isin("success", "1", "-").alias("success"),
         F.lit("").alias("arch"), F.lit("").alias("syscall_nr"), F.lit("").alias("syscall_name"), F.lit("").alias("audit_key"), "audit_id", F.lit(0).alias("ses"), T.unquote(f["UID"]).alias("uid_name"),
-        F.lit(None).cast("string").alias("auth"), F.array_compact(danger).alias("danger"), F.array("value").alias("raw"), F.lit(0).alias("is_syscall"), F.struct("file", "line_no").alias("first_at"),
+        F.lit(None).cast("string").alias("auth"), F.array_compact(danger).alias("danger"), F.array("value").alias("raw"), F.lit(0).alias("is_syscall"), F.struct("file", "line_no").alias("first_at"), "host",
     )
 
 
 def build_events(records: DataFrame, dimension: DataFrame, noise: NoiseConfig | None = None) -> DataFrame:
-    """All events of parsed records in order, seq and pos from 1."""
-    every = syscall_events(staple(records), dimension, last_verdicts(records), noise or NoiseConfig()).unionByName(system_events(records))
-    every = save(every)  # numbering reads it twice
-    ordered = number_by_time(every, "epoch", ["pid", "is_syscall", "first_at"], "pos")
-    return ordered.withColumn("seq", F.col("pos")).select("pos", *EVENT_COLUMNS)
+    """All events of parsed records in order, seq and pos from 1, with their host."""
+    return _numbered(staple(records), records, dimension, noise)
+
+
+def events_of_lines(lines: DataFrame, dimension: DataFrame, noise: NoiseConfig | None = None) -> tuple[DataFrame, DataFrame]:
+    """lines (file, line_no, value) -> (build_events of their records, the parsed records that are no part of a system call).
+    Records of system calls are joined in the blocks where they stand (operators/staple.py)."""
+    from tidemark.operators.staple import staple_lines
+
+    headed = headed_records(lines)
+    others = save(with_fields(headed.where("class <> 'exec'")))
+    return _numbered(staple_lines(headed.where("class = 'exec'")), others, dimension, noise), others
+
+
+def _numbered(stapled: DataFrame, others: DataFrame, dimension: DataFrame, noise: NoiseConfig | None) -> DataFrame:
+    every = syscall_events(stapled, dimension, last_verdicts(others), noise or NoiseConfig()).unionByName(system_events(others))
+    ordered = number_by_time(save(every), "epoch", ["pid", "is_syscall", "first_at"], "pos")
+    return ordered.withColumn("seq", F.col("pos")).select("pos", *EVENT_COLUMNS, "host")
 
 
 def auth_source(last_resort: str = "-") -> Column:

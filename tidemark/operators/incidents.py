@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.process_tree import ancestry, with_root
+from tidemark.operators.hosts import own_pid, own_pids
+from tidemark.operators.process_tree import with_root
 from tidemark.schemas import CRITICAL, HIGH, INFO, LOW
 
 _EDGE = "array<struct<from_pid:bigint,to_pid:bigint,label:string,rank:int>>"
@@ -27,7 +28,7 @@ def finding_buckets(found: DataFrame, chains: DataFrame) -> DataFrame:
 
 def flow_buckets(flows: DataFrame, chains: DataFrame) -> DataFrame:
     """Flows by the root of their sink."""
-    edge = F.struct(F.when(F.col("origin_pid") == 0, F.col("sink_pid")).otherwise(F.col("origin_pid")).alias("from_pid"), F.col("sink_pid").alias("to_pid"), F.col("sink_target").alias("label"), F.lit(1).alias("rank"))
+    edge = F.struct(F.when(own_pid(F.col("origin_pid")) == 0, F.col("sink_pid")).otherwise(F.col("origin_pid")).alias("from_pid"), F.col("sink_pid").alias("to_pid"), F.col("sink_target").alias("label"), F.lit(1).alias("rank"))
     return with_root(flows, chains, "sink_pid").groupBy("root").agg(
         F.min_by("sink_pid", "ord").alias("primary_sink"),
         F.min("sink_seq").alias("t_from"),
@@ -49,7 +50,7 @@ def fork_edges(actors: DataFrame, chains: DataFrame) -> DataFrame:
 
 
 def correlate(found: DataFrame, flows: DataFrame, chains: DataFrame) -> DataFrame:
-    """Incidents with their root, most severe first: severity is a rank, edges are sorted and distinct."""
+    """Incidents with their root (a number over all hosts; other pids are a host's own), most severe first: severity is a rank, edges are sorted and distinct."""
     both = finding_buckets(found, chains).join(flow_buckets(flows, chains), "root", "full")
     n, top, tainted = F.coalesce("n_findings", F.lit(0)), F.coalesce("top", F.lit(INFO)), F.col("primary_sink").isNotNull()
     both = both.where(~((n == 1) & ~tainted & (top <= LOW)))
@@ -66,16 +67,16 @@ def correlate(found: DataFrame, flows: DataFrame, chains: DataFrame) -> DataFram
     confirmed = F.when(tainted, F.concat(F.lit("taint flows confirmed: "), F.array_join("taints", ", "), via)).otherwise("no taint confirmation")
     signals = F.when(n == 0, "none (taint-only)").otherwise(F.array_join("findings", ", "))
     summary = F.concat(
-        F.lit("actor(s) ["), F.array_join(F.col("actors").cast("array<string>"), ", "), F.lit("]; evidence seq "), F.col("seq_from").cast("string"), F.lit("–"), F.col("seq_to").cast("string"),
+        F.lit("actor(s) ["), F.array_join(own_pids(F.col("actors")).cast("array<string>"), ", "), F.lit("]; evidence seq "), F.col("seq_from").cast("string"), F.lit("–"), F.col("seq_to").cast("string"),
         F.lit("; signals: "), signals, F.lit("; "), confirmed,
     )
     both = both.withColumn("title", title).withColumn("summary", summary)
     forks = fork_edges(both.select("root", F.explode("actors").alias("actor")), chains)
     both = both.join(forks, "root", "left").join(chains.select(F.col("pid").alias("primary"), "chain"), "primary", "left")
     edges = F.array_sort(F.array_union(empty("fork_edges", _EDGE), empty("flow_edges", _EDGE)))
-    named = F.transform(edges, lambda e: F.struct(e["from_pid"].alias("from_pid"), e["to_pid"].alias("to_pid"), e["label"].alias("label"), F.when(e["rank"] == 0, "fork").otherwise("flow").alias("edge_kind")))
-    unknown = F.concat(F.lit("?("), F.col("primary").cast("string"), F.lit(")"))
-    return both.select("root", "title", "severity", "actors", F.coalesce("chain", unknown).alias("chain"), "findings", "taints", "carriers", "seq_from", "seq_to", "summary", named.alias("edges")).orderBy(F.desc("severity"), "root")
+    named = F.transform(edges, lambda e: F.struct(own_pid(e["from_pid"]).alias("from_pid"), own_pid(e["to_pid"]).alias("to_pid"), e["label"].alias("label"), F.when(e["rank"] == 0, "fork").otherwise("flow").alias("edge_kind")))
+    unknown = F.concat(F.lit("?("), own_pid(F.col("primary")).cast("string"), F.lit(")"))
+    return both.select("root", "title", "severity", own_pids(F.col("actors")).alias("actors"), F.coalesce("chain", unknown).alias("chain"), "findings", "taints", "carriers", "seq_from", "seq_to", "summary", named.alias("edges")).orderBy(F.desc("severity"), "root")
 
 
 def at_least(incidents: DataFrame, severity: int) -> DataFrame:
@@ -97,11 +98,17 @@ def graph_layers(incidents: DataFrame) -> DataFrame:
 def cross_hops(incidents: DataFrame, tree: DataFrame, paths: DataFrame, strict: bool = False, chains: DataFrame | None = None) -> DataFrame:
     """Flow edges whose source is no ancestor of the sink; with strict, only those between different roots."""
     flows = incidents.select("root", F.explode("edges").alias("e")).where("e.edge_kind = 'flow'").select("root", "e.from_pid", "e.to_pid", "e.label")
+    on_host = lambda pid: F.col("root") - own_pid(F.col("root")) + pid
     if strict:
-        far = with_root(with_root(flows, chains, "from_pid", "from_root"), chains, "to_pid", "to_root")
-        return far.where("from_root <> to_root").drop("from_root", "to_root")
-    above = ancestry(tree, paths)
-    return flows.join(above, (F.col("from_pid") == F.col("ancestor")) & (F.col("to_pid") == F.col("pid")), "left_anti")
+        both = flows.withColumns({"source": on_host(F.col("from_pid")), "sink": on_host(F.col("to_pid"))})
+        far = with_root(with_root(both, chains, "source", "from_root"), chains, "sink", "to_root")
+        return far.where("from_root <> to_root").select("root", "from_pid", "to_pid", "label")
+    # the ancestors of a sink are a list of bounded length beside it: no pair of processes is written anywhere
+    above = paths.join(tree.select("pid", "ppid"), "pid").select(F.col("pid").alias("of_pid"), "ancestors", (F.col("pid") == F.col("ppid")).alias("own_parent"))
+    asked = flows.withColumn("sink", on_host(F.col("to_pid"))).join(above, F.col("sink") == F.col("of_pid"), "left")
+    source = on_host(F.col("from_pid"))
+    related = F.array_contains("ancestors", source) | (F.col("own_parent") & (source == F.col("sink")))
+    return asked.where(~F.coalesce(related, F.lit(False))).select("root", "from_pid", "to_pid", "label")
 
 
 def numbered(incidents: DataFrame) -> DataFrame:

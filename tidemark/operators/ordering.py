@@ -1,35 +1,41 @@
-"""Explicit order: dense numbers without a global sort in one task."""
+"""Explicit order: dense numbers without a sort in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.storage import save
 
-#: Numbers of the first order column that rows without a time are dealt by.
-_CHUNK = 1 << 16
-
-
-def number_by_time(df: DataFrame, epoch: str, order: list, name: str, dealt_by: str | None = None) -> DataFrame:
-    """Adds `name`, 1, 2, 3 and so on in the order of epoch (null as 0) and then `order`.
-
-    Rows are ordered within one second; the rows of the seconds before are counted by second, added
-    up within each day, and the days' totals on top. Only the days meet in one window. Where times may be
-    missing, dealt_by names the first of order if it is a number: rows at 0 are ordered within chunks of it."""
-    time = F.coalesce(F.col(epoch), F.lit(0.0))
-    second = F.floor(time)
-    chunk = F.when(time == 0, F.floor(F.col(dealt_by) / _CHUNK)).otherwise(1 << 62) if dealt_by else F.lit(0)
-    df = df.withColumn("at_second", second).withColumn("at_day", F.floor(second / 86400)).withColumn("at_chunk", chunk.cast("long"))
-    per_second = df.groupBy("at_day", "at_second", "at_chunk").agg(F.count(F.lit(1)).alias("rows"))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    per_second = per_second.withColumn("in_day", F.coalesce(F.sum("rows").over(before(Window.partitionBy("at_day").orderBy("at_second", "at_chunk"))), F.lit(0)))
-    days = per_second.groupBy("at_day").agg(F.sum("rows").alias("rows"))
-    days = days.select(F.col("at_day").alias("day"), F.coalesce(F.sum("rows").over(before(Window.orderBy("at_day"))), F.lit(0)).alias("days_before"))
-    offsets = per_second.join(days, F.col("at_day") == F.col("day")).select(F.col("at_second").alias("second"), F.col("at_chunk").alias("chunk"), (F.col("in_day") + F.col("days_before")).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("at_second", "at_chunk").orderBy(time, *order))
-    ranked = df.withColumn("rank_in_second", rank)
-    placed = ranked.join(offsets, (F.col("at_second") == F.col("second")) & (F.col("at_chunk") == F.col("chunk")))
-    return placed.withColumn(name, (F.col("offset") + F.col("rank_in_second")).cast("long")).drop("at_second", "at_day", "at_chunk", "second", "chunk", "offset", "rank_in_second")
+#: Rows of a range partition, about.
+RANGE_ROWS = 1 << 17
+
+
+def placed_rows(df: DataFrame, order: list[str | Column], rows_each: int) -> DataFrame:
+    """df in range partitions of about rows_each rows, sorted and written, with at_part and at_row, a row's place in its partition."""
+    parts = max(1, -(-df.count() // rows_each))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return save(dealt.select("*", F.spark_partition_id().alias("at_part"), F.monotonically_increasing_id().alias("at_row")))
+
+
+def number_in_order(df: DataFrame, order: list[str | Column], name: str, rows_each: int = RANGE_ROWS) -> DataFrame:
+    """df, best a written table as it is read more than once, with `name`: 1, 2, 3 and so on in the given order.
+
+    Spark samples splitters over all of the order, so that rows of one second, or of one host, spread over as many partitions
+    as they need. Each partition is sorted and written; a row's number is its place there, and the number of rows in the
+    partitions before, which are counted. Only these counts, a row per partition, meet in one window. Rows that are
+    equal in all of the order keep the numbers that they got when the table was written."""
+    placed = placed_rows(df, order, rows_each)
+    counts = placed.groupBy("at_part").agg(F.count(F.lit(1)).alias("rows"), F.min("at_row").alias("first"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("at_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select(F.col("at_part").alias("of_part"), (before - F.col("first") + 1).alias("shift"))
+    joined = placed.join(shifts, F.col("at_part") == F.col("of_part"))
+    return joined.withColumn(name, (F.col("at_row") + F.col("shift")).cast("long")).drop("at_part", "at_row", "of_part", "shift")
+
+
+def number_by_time(df: DataFrame, epoch: str, order: list[str | Column], name: str, rows_each: int = RANGE_ROWS) -> DataFrame:
+    """number_in_order by epoch (null as 0) and then `order`."""
+    return number_in_order(df, [F.coalesce(F.col(epoch), F.lit(0.0)), *order], name, rows_each)
 
 
 def number_lines(lines: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import basename
+from tidemark.operators.hosts import own_pid
 
 MOST_PARENTS = 65
 _DOUBLINGS = 7
@@ -18,7 +19,7 @@ _DOUBLINGS = 7
 def build_tree(events: DataFrame) -> DataFrame:
     """(pid, ppid, exe, cmdline): the last parent, and the last program and command line that aren't empty."""
     last = lambda c: F.max_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col("pos"))).alias(c)
-    return events.where("pid <> 0").groupBy("pid").agg(F.max_by("ppid", "pos").alias("ppid"), last("exe"), last("cmdline"))
+    return events.where(own_pid(F.col("pid")) != 0).groupBy("pid").agg(F.max_by("ppid", "pos").alias("ppid"), last("exe"), last("cmdline"))
 
 
 def ancestor_paths(tree: DataFrame, save=None) -> DataFrame:
@@ -38,7 +39,7 @@ def ancestor_paths(tree: DataFrame, save=None) -> DataFrame:
 
 
 def label(pid: Column, exe: Column) -> Column:
-    return F.concat(F.coalesce(basename(exe), F.lit("?")), F.lit("("), pid.cast("string"), F.lit(")"))
+    return F.concat(F.coalesce(basename(exe), F.lit("?")), F.lit("("), own_pid(pid).cast("string"), F.lit(")"))
 
 
 def chains(tree: DataFrame, paths: DataFrame) -> DataFrame:

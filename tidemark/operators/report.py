@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.events import auth_failure_groups
+from tidemark.operators.hosts import PIDS
 from tidemark.operators.incidents import graph_layers, numbered
 from tidemark.schemas import SEVERITIES, severity_label
 
@@ -95,6 +96,8 @@ def incident_rows(incidents: DataFrame) -> list[dict]:
     for r in incidents.orderBy(F.desc("severity"), "root").collect():
         row = r.asDict(recursive=True)
         row.pop("root")
+        if not row.get("host"):
+            row.pop("host", None)
         row["severity"] = SEVERITIES[row["severity"]]
         if not row["edges"]:
             row.pop("edges")
@@ -150,7 +153,8 @@ def graph_text(incidents: DataFrame, tree: DataFrame, hops: DataFrame, root: int
     row = own.first()
     if row is None:
         return ""
-    names = {r["pid"]: r["exe"] for r in tree.where(F.col("pid").isin(row["actors"])).select("pid", "exe").collect()}
+    host = root - root % PIDS
+    names = {r["pid"] - host: r["exe"] for r in tree.where(F.col("pid").isin([host + p for p in row["actors"]])).select("pid", "exe").collect()}
     node = lambda p: f"{names[p].rsplit('/', 1)[-1]}({p})" if names.get(p) else f"pid {p}"
     out = [f"{row['title']} [{SEVERITIES[row['severity']].upper()}]", ""]
     for layer in graph_layers(own).orderBy("depth").collect():

@@ -9,21 +9,36 @@ position; the number of rounds is the number of hops, not of events. Flows follo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import carrier_tokens, is_archive, is_network_sink, source_kinds
+from tidemark.operators.hosts import own_pid
 from tidemark.operators.storage import save
 from tidemark.schemas import taint_label
 
+_NUMBER = "host_no"
 KINDS_USED = ["exec", "file", "net-connect", "net-send", "net-accept"]
 
 
 def _relevant(events: DataFrame) -> DataFrame:
-    used = events.where(F.col("success") & F.col("kind").isin(*KINDS_USED)).select("pos", "seq", "pid", "ppid", "kind", "target", "cmdline")
+    used = events.where(F.col("success") & F.col("kind").isin(*KINDS_USED)).select("pos", "seq", "pid", "ppid", "kind", "target", "cmdline", *([_NUMBER] if _NUMBER in events.columns else []))
+    if _NUMBER in events.columns:
+        used = used.withColumn("target", F.when(F.col("kind") == "file", _of_host(F.col("target"))).otherwise(F.col("target")))
     return used.withColumn("own_kinds", F.when(F.col("kind") == "file", source_kinds(F.col("target"))))
 
 
+def _of_host(path: Column) -> Column:
+    """A path with its host's number in front."""
+    return F.concat(F.col(_NUMBER).cast("string"), F.lit("\0"), path)
+
+
+def _tokens(events: DataFrame) -> Column:
+    """Words of a command line that are paths of sources, as paths of the host."""
+    words = carrier_tokens(F.col("cmdline"))
+    return F.transform(words, _of_host) if _NUMBER in events.columns else words
+
+
 def _fixpoint(start: DataFrame, grow, keys: list[str]) -> DataFrame:
     """The smallest fixpoint over rows (keys, pos, and what else is in start): the earliest row of each key that
     start or grow gives. grow(fresh) derives rows from those that were new in the last round; a round
@@ -68,7 +83,7 @@ def taint_by_kind(events: DataFrame, paths: DataFrame) -> DataFrame:
     sources = files.where("size(own_kinds) > 0").select("pid", F.col("target").alias("path"), F.col("pos").alias("at"))
     staged = files.where("size(own_kinds) = 0").select(F.col("pid").alias("toucher"), F.col("target").alias("path"), F.col("pos").alias("at"))
     execs = events.where("kind = 'exec'").select(F.col("pid").alias("child"), "ppid", F.col("pos").alias("at"))
-    tokens = events.where("kind = 'exec'").select(F.col("pid").alias("namer"), F.explode(carrier_tokens(F.col("cmdline"))).alias("path"), F.col("pos").alias("at"))
+    tokens = events.where("kind = 'exec'").select(F.col("pid").alias("namer"), F.explode(_tokens(events)).alias("path"), F.col("pos").alias("at"))
     read = files.select("pid", F.explode("own_kinds").alias("kind_rank"), "pos")
     named = tokens.select(F.col("namer").alias("pid"), F.explode(source_kinds(F.col("path"))).alias("kind_rank"), F.col("at").alias("pos"))
     stainers = paths.select(F.col("stainer").alias("pid"), "path", F.col("pos").alias("stained"))
@@ -112,7 +127,7 @@ def taint_flows(events: DataFrame, chains: DataFrame, exec_clears_taint: bool =
     sent = sent.withColumn("sink_kind", F.when(F.col("kind") == "net-accept", "net-accept").otherwise("net-exfil"))
 
     # who first tainted a path: the first to touch or name a source, or who staged it
-    tokens = used.where("kind = 'exec'").select("pid", "pos", F.explode(carrier_tokens(F.col("cmdline"))).alias("path"))
+    tokens = used.where("kind = 'exec'").select("pid", "pos", F.explode(_tokens(used)).alias("path"))
     first = used.where("kind = 'file' and size(own_kinds) > 0").select("pid", "pos", F.col("target").alias("path")).unionByName(tokens.select("pid", "pos", "path"))
     origins = first.groupBy("path").agg(F.min_by("pid", "pos").alias("origin")).unionByName(paths.select("path", F.col("stainer").alias("origin")))
     both = wrote.select("pos", "seq", "pid", "target", "carrier", "kind_rank", "sink_kind").unionByName(sent.select("pos", "seq", "pid", "target", "carrier", "kind_rank", "sink_kind"))
@@ -122,16 +137,17 @@ def taint_flows(events: DataFrame, chains: DataFrame, exec_clears_taint: bool =
             both = both.join(real.select(F.col("node").alias(c), F.col("real_pid").alias(f"real_{c}")), c, "left").withColumn(c, F.col(f"real_{c}")).drop(f"real_{c}")
     shown = chains.select(F.col("pid").alias("chain_pid"), "chain")
     both = both.join(shown, F.col("pid") == F.col("chain_pid"), "left")
+    bare = lambda path: F.substring_index(path, "\0", -1) if _NUMBER in events.columns else path
     return both.select(
         F.struct("pos", "kind_rank").alias("ord"),
-        F.struct(taint_label(F.col("kind_rank")).alias("kind"), F.col("origin").alias("origin_pid"), "carrier").alias("taint"),
+        F.struct(taint_label(F.col("kind_rank")).alias("kind"), F.col("origin").alias("origin_pid"), bare(F.col("carrier")).alias("carrier")).alias("taint"),
         F.col("pid").alias("sink_pid"),
         F.col("origin").alias("origin_pid"),
         F.col("seq").alias("sink_seq"),
         "sink_kind",
-        F.col("target").alias("sink_target"),
-        F.coalesce("chain", F.concat(F.lit("?("), F.col("pid").cast("string"), F.lit(")"))).alias("chain"),
-        "carrier",
+        bare(F.col("target")).alias("sink_target"),
+        F.coalesce("chain", F.concat(F.lit("?("), own_pid(F.col("pid")).cast("string"), F.lit(")"))).alias("chain"),
+        bare(F.col("carrier")).alias("carrier"),
     )
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions.paths import NoiseConfig
 from tidemark.operators import events as E
+from tidemark.operators.hosts import keyed, number_hosts, with_host
 from tidemark.operators.incidents import correlate
 from tidemark.operators.process_tree import ancestor_paths, build_tree, chains
 from tidemark.operators.rules import Rule, confirm_taints, findings
@@ -31,21 +33,26 @@ class Analysis:
 
 
 def analyze(events: DataFrame, rules: list[Rule] | None = None, exec_clears_taint: bool = False, confirm: bool = False, errors: DataFrame | None = None, auth_failures: DataFrame | None = None) -> Analysis:
-    """events with pos, their order. confirm: findings also list the kinds that their process leaked."""
+    """events with pos, their order, and maybe host: pids in tree, paths, chains, findings and flows are then numbers over
+    all hosts (operators/hosts.py), incidents name theirs. confirm: findings also list the kinds that their process leaked."""
+    hosts = save(number_hosts(events)) if "host" in events.columns else None
+    given, events = events, events if hosts is None else keyed(events, hosts)
     tree = save(build_tree(events))
     paths = save(ancestor_paths(tree, save))
     lines = save(chains(tree, paths))
     found = findings(events, rules)
     flows = save(taint_flows(events, lines, exec_clears_taint))
     found = confirm_taints(found, flows) if confirm else found
-    return Analysis(events, tree, paths, lines, found, flows, correlate(found, flows, lines), errors, auth_failures)
+    incidents = correlate(found, flows, lines)
+    if hosts is not None:
+        incidents = with_host(incidents, "root", hosts).orderBy(F.desc("severity"), "root")
+    return Analysis(given, tree, paths, lines, found, flows, incidents, errors, auth_failures)
 
 
-def analyze_lines(lines: DataFrame, noise: NoiseConfig | None = None, headers: dict[str, str] | None = None, **options) -> Analysis:
+def analyze_lines(lines: DataFrame, noise: NoiseConfig | None = None, calls: dict[str, str] | None = None, **options) -> Analysis:
     """lines (file, line_no, value) of raw audit logs."""
     good, errors = split_lines(lines)
-    records = save(E.parse_records(good).select("file", "line_no", "value", "record_type", "class", "audit_id", "epoch", "pairs", "fields"))
-    events = save(E.build_events(records, syscall_dimension(lines.sparkSession, headers), noise))
+    events, records = E.events_of_lines(good, syscall_dimension(lines.sparkSession, calls), noise)
     return analyze(events, errors=errors, auth_failures=E.auth_failures(records), **options)
 
 

@@ -70,7 +70,7 @@ from audit"""
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     rows = spark.sql(audit_sql("spark").replace("from events", "from {events}"), events=events)
-    return save(number_by_time(rows, "epoch", ["pid", "event_id"], "pos").withColumn("seq", F.col("pos")))
+    return number_by_time(save(rows), "epoch", ["pid", "event_id"], "pos").withColumn("seq", F.col("pos"))
 
 
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

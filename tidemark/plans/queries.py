@@ -17,6 +17,7 @@ from tidemark.operators import rules as rule_ops
 from tidemark.operators import syscalls as S
 from tidemark.operators.storage import save
 from tidemark.operators.taint import taint_flows
+from tidemark.plans import oracle_values as V
 from tidemark.plans.analysis import analyze, analyze_lines
 from tidemark.plans.bindings import audit_events, audit_lines, auth_lines, duckdb
 from tidemark.schemas import SEVERITIES, severity_label, taint_label, taint_rank
@@ -98,14 +99,10 @@ def fn_event_label(spark, sf_dir):
 
 # --- system calls and predicates ------------------------------------------------------------
 
-_NAMED = {(t, n): name for t, path in S.KERNEL_HEADERS.items() for n, name in S.header_calls(path).items()} | {(t, int(x.split(":")[0])): x.split(":")[1] for t, text in S.NUMBERS.items() for x in text.split()}
-_DIM = "values " + ", ".join(f"('{t}', {n}, '{name}', '{S.KIND_OF.get(name, 'other')}')" for (t, n), name in _NAMED.items())
-
-
 @query(f"""
 select event_id, d.name as syscall_name, d.kind as syscall_kind from (
   select event_id, case event_id % 4 when 0 then 'x86_64' when 1 then 'i386' when 2 then 'aarch64' end as t, event_id % 440 as nr from audit) a
-left join ({_DIM}) d(t, nr, name, kind) on a.t = d.t and a.nr = d.nr""")
+left join (values {V.CALLS}) d(t, nr, name, kind) on a.t = d.t and a.nr = d.nr""")
 def sys_classify(spark, sf_dir):
     """sys_name, sys_classify_name, sys_classify and sys_is_execve, on a broadcast dimension."""
     arch = F.element_at(F.array(*[F.lit(a) for a in ("c000003e", "40000003", "40000028", "deadbeef")]), (F.col("event_id") % 4 + 1).cast("int"))
@@ -118,7 +115,7 @@ def _like(c: str, parts: list[str], form: str = "contains({c}, '{p}')") -> str:
 
 
 @query(f"""
-select event_id, {_like('lower(path)', P.SENSITIVE)} as sensitive, ({_like('path', P.NOISE, "starts_with({c}, '{p}')")} or ends_with(path, '.so') or contains(path, '.so.') or ends_with(path, 'ld.so.cache')) as noisy,
+select event_id, {_like('lower(path)', V.SENSITIVE)} as sensitive, ({_like('path', V.NOISE, "starts_with({c}, '{p}')")} or ends_with(path, '.so') or contains(path, '.so.') or ends_with(path, 'ld.so.cache')) as noisy,
   starts_with(path, '/srv/u1') as excluded, contains(path, ':') as network, regexp_matches(lower(path), '(\\.tar|\\.tar\\.gz|\\.tgz|\\.zip|\\.7z)$') as archive
 from (select event_id, case event_id % 10 when 0 then '/usr/lib/x' || target when 1 then '/proc/' || cast(pid as varchar) when 2 then target || '.so.1' when 3 then '/home/u/.ENV' else target end as path from audit) a""")
 def flt_paths(spark, sf_dir):
@@ -135,8 +132,8 @@ def _sql_text(s: str) -> str:
 
 
 _DANGER = (
-    "select event_id, array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"case when regexp_matches(both_, {_sql_text(p)}) then {_sql_text(label)} end" for p, label in P.DANGER_PATTERNS)
-    + ", case base " + " ".join(f"when '{k}' then {_sql_text(v)}" for k, v in P.DANGER_PROGRAMS.items()) + " end, case when starts_with(exe, '/tmp/') then 'binary in world-writable dir' end], lambda x: x is not null))), ',') as danger "
+    "select event_id, array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"case when regexp_matches(both_, {_sql_text(p)}) then {_sql_text(label)} end" for p, label in V.DANGER_PATTERNS)
+    + ", case base " + " ".join(f"when '{k}' then {_sql_text(v)}" for k, v in V.DANGER_PROGRAMS.items()) + " end, case when starts_with(exe, '/tmp/') then 'binary in world-writable dir' end], lambda x: x is not null))), ',') as danger "
     "from (select event_id, exe, cmdline || ' ' || exe as both_, string_split(exe, '/')[-1] as base from audit) a"
 )
 
@@ -166,7 +163,7 @@ from audit where kind = 'exec' or event_id % 7 = 0 or not (kind = 'file' and eve
 @query(_EVENTS)
 def evt_syscall(spark, sf_dir):
     """agg_staple, evt_syscall, evt_target, flt_event_admission, fn_build_cmdline, fn_success and sort_events, from raw lines."""
-    events = E.build_events(_records(spark, sf_dir), S.syscall_dimension(spark))
+    events, _ = E.events_of_lines(split_lines(audit_lines(spark, sf_dir))[0], S.syscall_dimension(spark))
     return events.select("seq", "audit_id", "pid", "ppid", "uid", "kind", "exe", "cmdline", "target", "success", "audit_key", "ses")
 
 
@@ -201,7 +198,7 @@ from audit a left join last l on a.pid = l.pid where a.kind = 'exec'""")
 def join_auth_verdict(spark, sf_dir):
     """The verdict of the same process within the half-open window after its exec."""
     both = audit_lines(spark, sf_dir).unionByName(auth_lines(spark, sf_dir))
-    events = E.build_events(E.parse_records(split_lines(both)[0]), S.syscall_dimension(spark)).where("kind = 'exec'")
+    events = E.events_of_lines(split_lines(both)[0], S.syscall_dimension(spark))[0].where("kind = 'exec'")
     return events.select(F.substring_index("audit_id", ":", -1).cast("bigint").alias("event_id"), F.coalesce(F.col("auth") == "failed", F.lit(False)).alias("denied"))
 
 
@@ -223,7 +220,7 @@ def _system_events(spark, sf_dir):
 
 def _events_of(spark, lines):
     """Events of bound lines, with the number that their audit id ends in."""
-    events = E.build_events(E.parse_records(lines), S.syscall_dimension(spark))
+    events, _ = E.events_of_lines(lines, S.syscall_dimension(spark))
     return events.withColumn("event_id", F.substring_index("audit_id", ":", -1).cast("bigint"))
 
 
@@ -298,7 +295,6 @@ def tree_is_ancestor(spark, sf_dir):
 
 # --- rules ----------------------------------------------------------------------------------
 
-_TITLES = {r.id: (r.title, r.severity) for r in rule_ops.RULES} | {"ESC-001": rule_ops.DENIED[1:]}
 _RULE_SQL = {
     "LT001": "contains(cmdline, 'sh') and ((regexp_matches(cmdline, '/dev/tcp/|mkfifo|nc -e|ncat -e|socat EXEC') and contains(cmdline, '&')) or (contains(cmdline, '/dev/tcp/') and contains(cmdline, 'bash')))",
     "LT002": "kind = 'exec' and (ends_with(exe, '/sudo') or ends_with(exe, '/su') or starts_with(cmdline, 'sudo ')) and uid <> 0",
@@ -313,7 +309,7 @@ _RULE_SQL = {
     "ESC-001": "auth = 'failed'",
 }
 _FOUND = "found as (" + " union all ".join(
-    f"select {_sql_text(i)} as rule_id, {_sql_text(_TITLES[i][0])} as title, {_TITLES[i][1]} as severity, seq, pid, pos, {int(i == 'ESC-001')} as phase, {n} as place from audit where {test}" for n, (i, test) in enumerate(_RULE_SQL.items())
+    f"select {_sql_text(i)} as rule_id, {_sql_text(V.TITLES[i][0])} as title, {V.TITLES[i][1]} as severity, seq, pid, pos, {int(i == 'ESC-001')} as phase, {n} as place from audit where {test}" for n, (i, test) in enumerate(_RULE_SQL.items())
 ) + ")"
 
 

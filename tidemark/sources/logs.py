@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import strip, strip_end
 from tidemark.operators.ordering import number_by_time, number_lines
+from tidemark.operators.storage import save
 from tidemark.schemas import EVENT
 
 
@@ -71,4 +72,4 @@ def parse_jsonl(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     extra = F.map_filter(F.from_json("value", "map<string,variant>"), lambda k, v: ~k.isin(*known)).alias("extra")
     events = parsed.where("not bad").select("line_no", *columns, extra)
     events = events.withColumn("seq", F.when(F.col("seq") == 0, F.col("line_no")).otherwise(F.col("seq"))).withColumn("row_kind", F.when(F.col("row_kind") == "", F.col("kind")).otherwise(F.col("row_kind")))
-    return number_by_time(events, "epoch", ["seq", "line_no"], "pos", dealt_by="seq").drop("line_no"), errors
+    return number_by_time(save(events), "epoch", ["seq", "line_no"], "pos").drop("line_no"), errors
