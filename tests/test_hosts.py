@@ -136,7 +136,7 @@ def test_hosts_in_one_query_over_restarts(spark, tmp_path):
     a, b = on("a", A), on("b", B_LINES)
     later = on("a", reader(60, 9, 300, "/srv/later")) + on("b", reader(61, 9, 301, "/srv/later"))
     found = []
-    make = lambda: StreamSession(spark, f"file://{tmp_path}/state", emit=lambda df, n: found.extend(df.collect()), idle=2, lateness=1)
+    make = lambda: StreamSession(spark, f"file://{tmp_path}/state", emit=lambda df, n: found.extend(df.collect()), idle=2, lateness=5)
     folder = tmp_path / "in"
     run(spark, make(), folder, tmp_path, [[a[0], b[0]], ["", "noise"], [a[1], b[1], *a[2:4]]])
     session = make()  # another run

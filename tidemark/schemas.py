@@ -12,6 +12,10 @@ EVENT = (
 AUTH_FAILURE = "ts string, epoch double, acct string, addr string, host string, terminal string, exe string, reason string"
 FINDING = "rule_id string, title string, severity int, seq long, pid long, exe string, detail string, taints array<string>"
 FLOW = "taint struct<kind:string,origin_pid:bigint,carrier:string>, sink_pid long, origin_pid long, sink_seq long, sink_kind string, sink_target string, chain string, carrier string"
+INCIDENT = (
+    "root long, title string, severity int, actors array<bigint>, chain string, findings array<string>, taints array<string>, carriers array<string>, seq_from long, seq_to long, summary string, "
+    "edges array<struct<from_pid: bigint, to_pid: bigint, label: string, edge_kind: string>>, host string"
+)
 
 #: Severities in ascending order; rows carry the place, output the label.
 SEVERITIES = ("info", "low", "medium", "high", "critical")

@@ -36,7 +36,7 @@ from tidemark.operators.rules import confirm_taints, findings
 from tidemark.operators.storage import save
 from tidemark.operators.syscalls import syscall_dimension
 from tidemark.operators.taint_fold import CARRIER_CAP, TaintState, fold
-from tidemark.schemas import EVENT
+from tidemark.schemas import EVENT, INCIDENT
 from tidemark.sources.logs import split_lines
 from tidemark.streaming.holding import IDLE, LATENESS, LINE, held, hold, use_state_store
 
@@ -122,10 +122,12 @@ class StreamSession:
         return self._advance(version, state, closed, fresh.where("class <> 'exec'"))
 
     def process_closed(self, lines: DataFrame, batch_id: int, flushes: int = 0) -> DataFrame:
-        """As process, for lines whose ids are complete."""
+        """As process, for lines whose ids are complete. Without any, nothing changes and no version is written."""
         version = (batch_id, flushes)
-        _, state = self._before(version)
         fresh = save(E.parse_records(lines).select(_HEAD))
+        if fresh.isEmpty():
+            return self.spark.createDataFrame([], INCIDENT)
+        _, state = self._before(version)
         self._store(version, "pending", state["pending"])
         return self._advance(version, state, fresh.where("class = 'exec'"), fresh.where("class <> 'exec'"))
 
