@@ -92,3 +92,19 @@ def test_stages_keep_clashing_columns(spark, sf_dir, stages):
             assert name == "line dedup" or all(r[x] == r["n_chars"] + i for i, x in enumerate(names))
     kept = {r["text"] for r in stages["n-gram Jaccard join"](spark, docs, sf_dir).collect()}
     assert kept == {r[1] for r in rows}
+
+
+def test_mix_of_equal_rows(spark):
+    """Of equal rows as many get another copy as the target asks for, not all or none; the stage takes what the operator says."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.source_mix import mix_sources, mixing_stage
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, given long"
+    for sources, copies in ((("a", "b"), 1000), ((None, "x"), 300)):
+        rows = [(7, "one two three", "en", sources[0], 13, 5)] * copies + [(8, "four five six", "en", sources[0], 13, 5)] * 40 + [(100 + i, "a b c", "en", sources[1], 5, 5) for i in range(copies)]
+        docs = spark.createDataFrame(rows, schema).repartition(5)
+        said = {r["source"]: (r["t"], r["n"]) for r in mix_sources(docs).groupBy("source").agg(F.max("target").alias("t"), F.sum("copies").alias("n")).collect()}
+        took = {r["source"]: r["count"] for r in mixing_stage(spark, docs, "").groupBy("source").count().collect()}
+        for source, (target, n) in said.items():
+            assert took[source] == n and abs(3 * n - target) <= 3

@@ -5,11 +5,12 @@ rolled hash is no larger than one of its two neighbours, so it depends on four l
 the content; of any three lines in a row, two at least stand at a boundary. The chunk of a boundary is its
 two lines. Where it occurs again, in another document or further down, it is compared with its first
 occurrence by (doc_id, line), and grows by the line before and the line behind if these are alike
-too: neighbouring chunks touch, so that every line of a repeated run of three or more is reached.
-Last, the bytes of each line found are compared with those of the line it repeats, and lines
+too: neighbouring chunks touch, so that every line of a repeated run of three or more is reached, unless part of the
+run stands in an earlier document in other surroundings: then its chunks are compared with that place, and a line at
+the run's end may stay. Last, the bytes of each line found are compared with those of the line it repeats, and lines
 that are equal go. The first occurrence stays.
 
-A run of two lines is found by chance only (2 times of 3), or where it begins or ends a text. A chunk that
+A run of two lines is found by chance only (a little over half of the time), or where it begins or ends a text. A chunk that
 overlaps its own first occurrence stays. A null text stays null and has no lines; a single repeated
 line stays. Documents without doc_id are left as they are. Rows of one doc_id are one document: they
 lose nothing to each other. Extra columns stay as they are in the stage and are ignored by the query.

@@ -130,9 +130,24 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int =
         return final(_ranked(sized, goal, few, seed).where(~inside).withColumn("extra", whole_bucket)).unionByName(final(part))
     # with whole rows, only those of the cut buckets meet their decision in a shuffle
     rows = _ranked(docs.select(*keys, F.struct("*").alias("mix_row")), goal, few, seed)
-    part = part.groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), F.col("source").alias("of_source")).agg(F.max("extra").alias("extra"))
+    part = part.groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), F.col("source").alias("of_source")).agg(F.sum("extra").alias("given"), F.count(F.lit(1)).alias("equal"))
     same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")) & F.col("source").eqNullSafe(F.col("of_source"))
-    return final(rows.where(~inside).withColumn("extra", whole_bucket), "mix_row").unionByName(final(rows.where(inside).join(part, same), "mix_row"))
+    decided = rows.where(inside).join(part, same)
+    alike = decided.where("given = 0 or given = equal").withColumn("extra", F.least("given", F.lit(1)))
+    parted = _first_of_equal(decided.where("given > 0 and given < equal"))
+    return final(rows.where(~inside).withColumn("extra", whole_bucket), "mix_row").unionByName(final(alike, "mix_row")).unionByName(final(parted, "mix_row"))
+
+
+def _first_of_equal(rows: DataFrame) -> DataFrame:
+    """Rows of which `given` among `equal` ones get an extra copy: equal rows stand together in the order, so each source has one such
+    group at most, however large. Its rows are numbered by their place in a written table's parts, and those of the parts before."""
+    rows = materialize(rows.withColumn("row_at", F.monotonically_increasing_id()).withColumn("row_part", F.shiftright("row_at", 33)))
+    counts = rows.groupBy("source", "row_part").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("source").orderBy("row_part")) - F.col("rows")
+    counts = counts.select(F.col("source").alias("in_source"), F.col("row_part").alias("in_part"), before.alias("rows_before"))
+    nth = F.row_number().over(Window.partitionBy("source", "row_part").orderBy("row_at")) + F.col("rows_before")
+    joined = rows.join(counts, F.col("source").eqNullSafe(F.col("in_source")) & (F.col("row_part") == F.col("in_part")))
+    return joined.withColumn("extra", (nth <= F.col("given")).cast("long"))
 
 
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:
