@@ -1,9 +1,7 @@
-import os
 import random
 
 from tidemark.plans.analysis import analyze_lines
 from tidemark.sources.logs import as_lines
-from tidemark.sources.tail import TailReader
 from tidemark.streaming.session import StreamSession, follow
 
 LOG = [
@@ -34,28 +32,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert session.table("reported").where("key like 'Data theft%'").count() >= 1
 
 
-def test_tail(spark, tmp_path):
-    path = str(tmp_path / "a.log")
-    with open(path, "w") as f:
-        f.write("old\n")
-    reader = TailReader({"path": path})
-    offset = reader.initialOffset()
-    with open(path, "a") as f:
-        f.write("one\npart")
-    rows, offset = reader.read(offset)
-    assert [r[2] for r in rows] == ["one"]
-    with open(path, "a") as f:
-        f.write("ial\n")
-    before = offset
-    rows, offset = reader.read(offset)
-    assert [r[2] for r in rows] == ["partial"] == [r[2] for r in reader.readBetweenOffsets(before, offset)]
-    os.rename(path, path + ".1")
-    with open(path, "w") as f:
-        f.write("new\n")
-    rows, offset = reader.read(offset)
-    assert [r[2] for r in rows] == ["new"]
-
-
 def test_follow(spark, tmp_path):
     path = tmp_path / "b.log"
     path.write_text("\n".join(LOG) + "\n")
@@ -78,3 +54,69 @@ def test_state_survives_as_text():
         parted += fold([e], state)
         state = TaintState.from_json(state.to_json())
     assert parted == whole and whole
+
+
+def lines_of(reader, start, end):
+    return [x for p in reader.partitions(start, end) for x in reader.read(p)]
+
+
+def test_tails_of_many_files(tmp_path):
+    """A hundred growing files, long lines over many ranges, parts of lines, rotation, truncation, files that come and go."""
+    from tidemark.sources.tails import TailsReader
+
+    names = [tmp_path / f"{i:03}.log" for i in range(100)]
+    for n in names:
+        n.write_bytes(b"old\n")
+    reader = TailsReader({"path": f"{tmp_path}/*.log", "start": "end", "rangebytes": "64"})
+    start = reader.initialOffset()
+    wanted = []
+    for i, n in enumerate(names):
+        with n.open("ab") as f:
+            own = [b"x" * (i * 7 % 300) + b"\xff" * (i % 2), b"", b"line %d" % i]
+            f.write(b"\n".join(own) + b"\npart")
+        wanted += [(str(n), x.decode("utf-8", "replace")) for x in own]
+    end = reader.latestOffset()
+    got = lines_of(reader, start, end)
+    assert sorted((f, v) for f, _, v in got) == sorted(wanted) and len({(f, n) for f, n, _ in got}) == len(got)
+    assert lines_of(reader, end, reader.latestOffset()) == []
+    names[0].rename(str(names[0]) + ".1")  # renamed with a part of a line, which is ended there
+    with open(str(names[0]) + ".1", "ab") as f:
+        f.write(b"ial\n")
+    names[0].write_bytes(b"new\n")
+    names[1].write_bytes(b"cut\n")  # shrank
+    names[2].unlink()
+    (tmp_path / "later.log").write_bytes(b"first\n")
+    with names[3].open("ab") as f:
+        f.write(b"y" * 300_000 + b"\nz")
+    after = TailsReader({"path": f"{tmp_path}/*.log", "rangebytes": "1000"}).latestOffset()  # as after a restart
+    got = sorted((f, v) for f, _, v in lines_of(reader, end, after))
+    assert got == sorted([(str(names[0]), "partial"), (str(names[0]), "new"), (str(names[1]), "cut"), (str(tmp_path / "later.log"), "first"), (str(names[3]), "part" + "y" * 300_000)])
+    assert lines_of(reader, after, reader.latestOffset()) == []
+
+
+def test_follow_of_files_with_metrics_and_a_sink(spark, tmp_path):
+    """Two growing files in one session; the numbers that Spark tells; incidents in files, each batch once although it is run again or killed."""
+    from tidemark.streaming.sinks import IncidentFiles
+
+    for name, lines in (("a.log", [LOG[0], "what is this", LOG[1], "# comment", ""]), ("b.log", LOG[2:])):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    sink = IncidentFiles(f"file://{tmp_path}/out")
+    assert sink.read(spark).isEmpty()
+    session = StreamSession(spark, f"file://{tmp_path}/state", emit=sink)
+    query = follow(spark, f"{tmp_path}/?.log", session, f"file://{tmp_path}/checkpoint", start="begin", processingTime="0 seconds")
+    query.processAllAvailable()
+    last = query.lastProgress["batchId"]
+    query.stop()
+    m = session.metrics
+    assert m.wait_for(last)
+    assert (m.lines, m.records, m.errors, m.late, m.held) == (12, 9, 1, 0, 5) and "12 lines" in m.summary()
+    news = session.flush()
+    values = [r["value"] for r in sink.read(spark).collect()]
+    assert len(values) == news.count() > 0 and any("exfiltration" in v for v in values) and m.records == 9
+    assert session.evicted() == 0 and session.table("counters").first()["last_pos"] == 4
+    sink(news, "7")
+    (tmp_path / "out" / "batch=7" / "_SUCCESS").unlink()  # a batch that was killed
+    assert len(sink.batches(spark)) == 1 and sink.read(spark).count() == len(values)
+    sink(news, "7")
+    sink(news, "7")
+    assert sink.batches(spark)[-1] == "7" and sink.read(spark).count() == 2 * len(values)

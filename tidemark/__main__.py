@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
+import signal
 import sys
+import threading
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,6 +31,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("-F", "--follow", action="store_true", help="go on with lines that are appended; ends at an interrupt")
     p.add_argument("--state", metavar="FOLDER", help="with --follow: keep the state in this shared folder and go on from it; else it starts afresh")
     p.add_argument("--seconds", type=int, help="with --follow: end after so many seconds, behind the lines that are there by then")
+    p.add_argument("--out", metavar="FOLDER", help="with --follow: write incidents there as JSON lines, each batch once, and print none")
     p.add_argument("--include-noise", action="store_true")
     p.add_argument("--exclude", action="append", default=[], metavar="PREFIX")
     p.add_argument("--replace-noise", action="store_true")
@@ -36,6 +41,15 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     return p.parse_args(argv)
 
 
+def stop_signal() -> threading.Event:
+    """Set at an interrupt or a request to end, where signals can be caught."""
+    event = threading.Event()
+    for number in (signal.SIGINT, signal.SIGTERM):
+        with contextlib.suppress(ValueError):  # not the main thread
+            signal.signal(number, lambda *_: event.set())
+    return event
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = arguments(argv)
     spark = spark or SparkSession.builder.appName("tidemark").getOrCreate()
@@ -44,6 +58,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     calls = dict(x.split("=", 1) for x in a.calls)
     if a.follow:
         from tidemark.streaming.session import StreamSession, follow
+        from tidemark.streaming.sinks import IncidentFiles
 
         folder = a.state.rstrip("/") if a.state else f"{scratch(spark)}/follow-{uuid.uuid4().hex}"
         lines = lambda rows: [print(r[0], flush=True) for r in rows.toLocalIterator()]
@@ -51,15 +66,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         table = lambda df, _: lines(R.event_lines(df, a.flagged).orderBy("pos").select("line"))
         if a.plain:
             print("\n".join(R.event_header()), flush=True)
-        session = StreamSession(spark, f"{folder}/state", emit=None if a.plain else incidents, emit_events=table if a.plain else None, window=a.window, noise=noise, calls=calls)
+        emit = IncidentFiles(a.out, least) if a.out else None if a.plain else incidents
+        session = StreamSession(spark, f"{folder}/state", emit=emit, emit_events=table if a.plain else None, window=a.window, noise=noise, calls=calls)
         query = follow(spark, a.input, session, f"{folder}/checkpoint", start="begin")
-        try:
-            if not query.awaitTermination(a.seconds) and a.seconds is not None:
+        stopped = stop_signal()
+        until = None if a.seconds is None else time.monotonic() + a.seconds
+        while query.isActive and not stopped.wait(0.2):
+            if until is not None and time.monotonic() > until:
                 query.processAllAvailable()
-        except KeyboardInterrupt:
-            pass
+                break
+        failed = query.exception()
         query.stop()
+        if failed is not None:
+            raise failed
+        if query.lastProgress is not None:
+            session.metrics.wait_for(query.lastProgress["batchId"], 5)
         session.flush()
+        print(f"{session.metrics.summary()} · {session.evicted()} evicted", file=sys.stderr)
         return 0
     found = analyze_jsonl(spark, a.input) if a.jsonl else analyze_log(spark, a.input, noise=noise, calls=calls)
     if found.events.isEmpty():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import strip, strip_end
@@ -29,12 +29,17 @@ def as_lines(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([("text", i + 1, v) for i, v in enumerate(text.split("\n"))], "file string, line_no long, value string")
 
 
+def line_class(value: Column) -> Column:
+    """`blank` (or a comment), `record`, or `error`."""
+    empty = (strip(value) == "") | strip(value).startswith("#")
+    return F.when(value.isNull() | empty, "blank").when(value.contains("type=") | value.contains("msg=audit("), "record").otherwise("error")
+
+
 def split_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, errors): blank lines and comments go; what is no record becomes an error with the line's first 60 characters."""
-    own = lines.withColumn("value", strip_end(F.col("value"))).where((F.col("value") != "") & ~strip(F.col("value")).startswith("#"))
-    good = F.col("value").contains("type=") | F.col("value").contains("msg=audit(")
-    errors = own.where(~good).select("file", "line_no", F.concat(F.lit("unparseable line: "), F.substring("value", 1, 60)).alias("error"))
-    return own.where(good), errors
+    own = lines.withColumn("value", strip_end(F.col("value"))).withColumn("line_class", line_class(F.col("value")))
+    errors = own.where("line_class = 'error'").select("file", "line_no", F.concat(F.lit("unparseable line: "), F.substring("value", 1, 60)).alias("error"))
+    return own.where("line_class = 'record'").drop("line_class"), errors
 
 
 _DEFAULTS = {"long": 0, "int": 0, "string": "", "boolean": False}

@@ -38,6 +38,7 @@ from tidemark.operators.syscalls import syscall_dimension
 from tidemark.operators.taint_fold import CARRIER_CAP, TaintState, fold
 from tidemark.schemas import EVENT, INCIDENT
 from tidemark.sources.logs import split_lines
+from tidemark.streaming.metrics import SessionMetrics, observe_lines
 from tidemark.streaming.holding import IDLE, LATENESS, LINE, held, hold, use_state_store
 
 DEFAULT_WINDOW, LEAST_WINDOW = 200_000, 1_000
@@ -80,10 +81,11 @@ def _step(cap: int):
 
 class StreamSession:
     """A session of all hosts whose lines it gets. `folder` holds the state; `emit` gets a DataFrame of new incidents
-    per batch, `emit_events` one of new events. The window is that of each host. idle and lateness, in seconds, are those of `hold`."""
+    per batch, with its number (N-F for the Fth flush behind batch N), `emit_events` one of new events. The window is that of each host. idle and lateness, in seconds, are those of `hold`."""
 
-    def __init__(self, spark: SparkSession, folder: str, emit: Callable[[DataFrame, int], None] | None = None, window: int = DEFAULT_WINDOW, noise: NoiseConfig | None = None, carrier_cap: int = CARRIER_CAP, calls: dict[str, str] | None = None, emit_events: Callable[[DataFrame, int], None] | None = None, idle: float = IDLE, lateness: float = LATENESS):
+    def __init__(self, spark: SparkSession, folder: str, emit: Callable[[DataFrame, int | str], None] | None = None, window: int = DEFAULT_WINDOW, noise: NoiseConfig | None = None, carrier_cap: int = CARRIER_CAP, calls: dict[str, str] | None = None, emit_events: Callable[[DataFrame, int | str], None] | None = None, idle: float = IDLE, lateness: float = LATENESS):
         self.emit_events, self.idle, self.lateness, self.checkpoint = emit_events, idle, lateness, None
+        self.metrics = SessionMetrics()
         self.spark, self.folder, self.emit = spark, folder.rstrip("/"), emit
         self.window, self.noise, self.cap = max(window, LEAST_WINDOW), noise or NoiseConfig(), carrier_cap
         self.dimension = syscall_dimension(spark, calls)
@@ -177,10 +179,11 @@ class StreamSession:
         self._store(version, "reported", state["reported"].unionByName(news.select("key")).distinct())
         news = save(news.drop("key"))
         self.spark.range(1).write.mode("overwrite").parquet(self._place(version, "done"))
+        named = f"{version[0]}-{version[1]}" if version[1] else version[0]
         if self.emit_events is not None:
-            self.emit_events(events, version[0])
+            self.emit_events(events, named)
         if self.emit is not None:
-            self.emit(news, version[0])
+            self.emit(news, named)
         return news
 
     def flush(self) -> DataFrame:
@@ -196,17 +199,25 @@ class StreamSession:
         versions = self._versions()
         return self._load(versions[-1] if versions else None, name)
 
+    def evicted(self) -> int:
+        """Events that left the windows."""
+        return self.table("counters").agg(F.sum("evicted")).first()[0] or 0
+
     def run(self, lines: DataFrame, checkpoint: str, **trigger):
-        """Start a query over a stream of lines; trigger as in writeStream.trigger. stop() ends it, flush() then closes the rest."""
+        """Start a query over a stream of lines; trigger as in writeStream.trigger. stop() ends it, flush() then closes the rest;
+        `metrics` tells what passed."""
         use_state_store(self.spark)
-        self.checkpoint = checkpoint
-        closed = hold(lines, self.idle, self.lateness)
-        return closed.writeStream.foreachBatch(lambda df, batch_id: self.process_closed(df, batch_id)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+        self.checkpoint, self.metrics = checkpoint, SessionMetrics()
+        self.spark.streams.addListener(self.metrics)
+        closed = hold(observe_lines(lines), self.idle, self.lateness)
+        query = closed.writeStream.foreachBatch(lambda df, batch_id: self.process_closed(df, batch_id)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+        self.metrics.query_id = str(query.id)
+        return query
 
 
 def follow(spark: SparkSession, path: str, session: StreamSession, checkpoint: str, start: str = "end", **trigger):
-    """Tail a file into a session."""
-    from tidemark.sources.tail import TailSource
+    """Tail a file, or all files of a glob pattern, into a session."""
+    from tidemark.sources.tails import TailsSource
 
-    spark.dataSource.register(TailSource)
-    return session.run(spark.readStream.format("audit_tail").option("path", path).option("start", start).load(), checkpoint, **trigger)
+    spark.dataSource.register(TailsSource)
+    return session.run(spark.readStream.format("audit_tails").option("path", path).option("start", start).load(), checkpoint, **trigger)
