@@ -189,7 +189,7 @@ def agg_sessions(spark, sf_dir):
 
 @query(_AUTH + "select pid as auth_pid, arg_max(epoch, line_no) as auth_epoch, arg_max(res <> 'failed', line_no) as auth_ok from rec where t = 'USER_AUTH' group by 1")
 def agg_last_auth(spark, sf_dir):
-    return E.last_verdicts(_records(spark, sf_dir, auth_lines))
+    return E.last_verdicts(_records(spark, sf_dir, auth_lines)).drop("auth_host")
 
 
 @query(_AUTH + """, last as (select pid, arg_max(epoch, line_no) as e, arg_max(res <> 'failed', line_no) as ok from rec where t = 'USER_AUTH' group by 1)
