@@ -130,12 +130,14 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int =
         return final(_ranked(sized, goal, few, seed).where(~inside).withColumn("extra", whole_bucket)).unionByName(final(part))
     # with whole rows, only those of the cut buckets meet their decision in a shuffle
     rows = _ranked(docs.select(*keys, F.struct("*").alias("mix_row")), goal, few, seed)
-    part = part.groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), F.col("source").alias("of_source")).agg(F.sum("extra").alias("given"), F.count(F.lit(1)).alias("equal"))
+    part = materialize(part.groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), F.col("source").alias("of_source")).agg(F.sum("extra").alias("given"), F.count(F.lit(1)).alias("equal")))
     same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")) & F.col("source").eqNullSafe(F.col("of_source"))
-    decided = rows.where(inside).join(part, same)
-    alike = decided.where("given = 0 or given = equal").withColumn("extra", F.least("given", F.lit(1)))
-    parted = _first_of_equal(decided.where("given > 0 and given < equal"))
-    return final(rows.where(~inside).withColumn("extra", whole_bucket), "mix_row").unionByName(final(alike, "mix_row")).unionByName(final(parted, "mix_row"))
+    alike, parted = (part.where(test) for test in ("given = 0 or given = equal", "given > 0 and given < equal"))
+    out = final(rows.where(~inside).withColumn("extra", whole_bucket), "mix_row")
+    out = out.unionByName(final(rows.where(inside).join(alike, same).withColumn("extra", F.least("given", F.lit(1))), "mix_row"))
+    if parted.isEmpty():
+        return out
+    return out.unionByName(final(_first_of_equal(rows.where(inside).join(parted, same)), "mix_row"))
 
 
 def _first_of_equal(rows: DataFrame) -> DataFrame:
