@@ -48,6 +48,28 @@ def test_known_part_of_an_expression():
     assert scanned("SPDX-License-Identifier: Apache-2.0+. MIT")[0] == {"apache-2.0+"}
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("SPDX-License-Identifier: OGC-1.0 OR MIT", {"unknown", "mit"}),
+        ("SPDX-License-Identifier: MIT OR AGPL-1.0-only OR Parity-7.0.0 OR ISC", {"mit", "agpl-1.0-only", "unknown", "isc"}),
+        ("the license expression ruby is", set()),
+        ("SPDX-License-Identifier: Zlib\nor ruby code follows", {"zlib"}),
+        ("SPDX-License-Identifier: MIT OR\n  Apache-2.0\nand ISC", {"mit", "apache-2.0"}),
+        ("SPDX-License-Identifier: (MIT\nOR ISC)\nOR Zlib", {"mit", "isc"}),
+        ("License expression:\nMIT", {"mit"}),
+        ('a license expression "ISC" here', {"isc"}),
+        ("SPDX license identifier MIT", {"mit"}),
+        ("license expression", set()),
+        ("SPDX-License-Identifier: MIT AND version-less", {"mit"}),
+    ],
+)
+def test_unknown_names_lines_and_prose(text, labels):
+    assert scanned(text) == (labels, 1.0 if labels else 0.0)
+    e = parse_expression("OGC-1.0 OR MIT")
+    assert e.required() == set() and e.allowed({"mit"}.__contains__) and not parse_expression("OGC-1.0 AND MIT").allowed({"mit"}.__contains__)
+
+
 def brute_value(tokens, accept):
     """Precedence climbing over tokens, as a check of the shunting-yard: (satisfied, licences, required)."""
 

@@ -4,9 +4,11 @@ A text is lower-cased (A-Z) and reduced to its words of letters and digits; one
 every notice phrase and every identifier tag in one pass over the words, whatever the number of
 patterns. Behind a tag, wherever the automaton found it, the raw text is read as a licence
 expression to its end: identifiers joined by `and`, `or` and `with`, in parentheses or not, `with`
-binding closest. Only identifiers of the known families (`FAMILIES`), names that begin with
-LicenseRef- and exceptions behind `with` count; anything else ends the expression at its last
-well-formed point.
+binding closest. Identifiers of the known families (`FAMILIES`), names that begin with LicenseRef- and
+exceptions behind `with` count; another name with a version behind a hyphen is a licence too, `unknown`.
+Anything else ends the expression at its last well-formed point, and so does the end of a line where no operator waits for
+its second side and no parenthesis is open. The tag `license expression` written as two words is prose unless a colon, an
+equals sign or a quote follows.
 
 An expression is evaluated twice: `required` lists the licences that hold whichever side of an `or`
 is chosen, and `accepted` says whether a set of accepted licences suffices for all expressions of
@@ -80,12 +82,16 @@ FAMILIES = [
 #: Licences that `accepted` takes for acceptable unless told otherwise, as patterns of the same kind.
 PERMISSIVE = (r"apache-.*", r"mit(?:-.*)?", r"bsd-.*", r"0bsd", r"bsl-1\.0", r"isc", r"cc-by-[1-4].*", r"cc0-1\.0", r"unlicense", r"zlib.*", r"x11", r"ncsa", r"postgresql", r"python-2.*", r"psf-2\.0")
 _KNOWN = re.compile("|".join(FAMILIES))
+#: Names of licences that no family has: a version stands behind a hyphen.
+_VERSIONED = re.compile(r"[a-z][a-z0-9]*(?:-[a-z]+[0-9]*)*-v?[0-9]+(?:\.[0-9]+)*(?:-[a-z]+)*\+?")
+UNKNOWN = "unknown"
 _EXCEPTION = re.compile(r"[a-z0-9.-]*exception[a-z0-9.-]*|additionref-[a-z0-9.-]+|llvm-.*|.*-linking-.*")
 
 #: The same words in decoded text.
 _RAW_WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010FFFF]+")
 #: What may stand between a tag and its expression.
 _BEHIND_TAG = re.compile(r"[\s\"'`*\\]*[:=]*>?[\s\"'`*\\]*")
+_POINTED = re.compile(r"[:=\"'`]")
 _TOKEN = re.compile(r"\s*(?:(\()|(\))|([A-Za-z0-9][A-Za-z0-9.+:-]*))")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -130,10 +136,10 @@ def _joined(left: list, right: list) -> list:
 
 
 def _tokens(text: str, at: int):
-    """Parentheses and words from a place on, lower case."""
+    """Parentheses and words from a place on, lower case, and whether each stands on a later line than what is before it."""
     while m := _TOKEN.match(text, at):
         opening, closing, word = m.groups()
-        yield opening or closing or word.lower()
+        yield opening or closing or word.lower(), "\n" in text[at : m.start(m.lastindex)]
         at = m.end()
 
 
@@ -141,16 +147,20 @@ def parse_expression(text: str, at: int = 0) -> Expression | None:
     """The longest well-formed expression that starts at a place of text, by the shunting-yard algorithm."""
     # first pass: where the last token stands behind which no operand is due and no parenthesis is open
     depth, operand_due, behind_with, n_good, tokens = 0, True, False, 0, []
-    for token in _tokens(text, at):
+    for token, below in _tokens(text, at):
+        if below and tokens and not operand_due and not depth:
+            break
         if operand_due:
             if token == "(" and not behind_with:
                 depth += 1
             elif token not in _PRECEDENCE and token not in "()":
                 bare = token.rstrip(".:-")
+                ended = token != bare  # a full stop at a sentence's end also ends the expression
                 if not (_EXCEPTION if behind_with else _KNOWN).fullmatch(bare.removesuffix("+")):
-                    break
-                # a full stop at a sentence's end also ends the expression
-                token, ended, operand_due, behind_with = bare, token != bare, False, False
+                    if behind_with or not _VERSIONED.fullmatch(bare):
+                        break
+                    bare = UNKNOWN
+                token, operand_due, behind_with = bare, False, False
                 tokens.append(token)
                 n_good = len(tokens) if not depth else n_good
                 if ended:
@@ -226,9 +236,13 @@ def scan_text(automaton, data: bytes, accept=None) -> tuple:
     required, accepted = set(), None
     if tags:
         raw = data.decode("utf-8", "replace")
-        behind = [m.end() for m in _RAW_WORD.finditer(raw)]
+        spans = [m.span() for m in _RAW_WORD.finditer(raw)]
         for last in tags:
-            expression = parse_expression(raw, _BEHIND_TAG.match(raw, behind[last]).end())
+            begin = _BEHIND_TAG.match(raw, spans[last][1]).end()
+            own = raw[spans[last - 1][0] : spans[last][1]].lower()
+            if own.split() == ["license", "expression"] and not _POINTED.search(raw, spans[last][1], begin):
+                continue
+            expression = parse_expression(raw, begin)
             if expression is not None:
                 labels |= expression.licences()
                 required |= expression.required()
