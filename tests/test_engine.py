@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import paths as P
 from tidemark.functions import text as T
+from tidemark.functions.tokens import argument_line, pairs_of
 from tidemark.operators import events as E
 from tidemark.operators import incidents as I
 from tidemark.operators import process_tree as tree_ops
@@ -57,6 +58,29 @@ def test_fields(spark):
 )
 def test_command_line(spark, fields, want):
     assert one(spark, lambda v: T.command_line(T.entries(v)), fields) == want
+    assert argument_line(pairs_of(fields)) == want
+
+
+def test_arguments_in_arrow_are_those_of_columns(spark):
+    """Random arguments: chunks, repeated places, NUL, invalid UTF-8, surrogates in UTF-8, odd hex and bare words."""
+    rng = random.Random(11)
+    byte_runs = [b"\0", b"\xff", b"\xe2\x82", b"\xed\xa0\x80", b"\xf0\x9f\x92\xa9", b"\xf4\x90\x80\x80", b"\xc0\xaf", b"\xf0\x80\x80", b"a", b" ", b"\xc3\xa9"]
+
+    def value():
+        form = rng.randrange(5)
+        if form == 0:
+            return f'"{rng.choice(["", "x y", "(null)", "41", "caf\u00e9", "\U0001f600"])}"'
+        if form == 1:
+            return rng.choice(["(null)", "(none)", "?", "abc", "a", "0x41", "\u0661\u0662", '"'])
+        return b"".join(rng.choices(byte_runs, k=rng.randrange(1, 7))).hex().upper()
+
+    def key():
+        return rng.choice(["a{}", "a0{}", "a{}[0]", "a{}[1]", "a{}[01]", "a{}_len", "b{}", "a\u0661{}"]).format(rng.randrange(4))
+
+    lines = [" ".join(f"{key()}={value()}" for _ in range(rng.randrange(7))) for _ in range(600)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "i int, v string")
+    got = dict(df.select("i", T.command_line(T.entries(F.col("v")))).collect())
+    assert {i: argument_line(pairs_of(v)) for i, v in enumerate(lines)} == got
 
 
 @pytest.mark.parametrize("blob, want", [("02000050C0A80001", "192.168.0.1:80"), ("0A0001BB0000000020010DB800000000000000000000000100000000", "[2001:db8:0:0:0:0:0:1]:443"), ("01002F746D70", None), ("0200", None), ("zz", None)])

@@ -83,7 +83,7 @@ def test_records_joined_in_blocks(spark, tmp_path, most_open, files):
     rows = [(f"f{min(i // cut, files - 1)}", i + 1, x) for i, x in enumerate(lines)]
     spark.createDataFrame(rows, LINE).repartitionByRange(3, "line_no").sortWithinPartitions("line_no").write.parquet(f"{tmp_path}/lines")
     df = spark.read.parquet(f"{tmp_path}/lines")
-    show = lambda d: sorted(map(str, d.select("host", "audit_id", "epoch", "first_at", "has_execve", "argv", "raw", "path_name", "proctitle", "saddr", *[f"s_{n}" for n in E.PICKED]).collect()))
+    show = lambda d: sorted(map(str, d.select("host", "audit_id", "epoch", "first_at", "has_execve", "argv_line", "raw", "path_name", "proctitle", "saddr", *[f"s_{n}" for n in E.PICKED]).collect()))
     want = show(E.staple(E.parse_records(df)))
     assert show(B.staple_lines(E.headed_records(df).where("class = 'exec'"), most_open)) == want and len(want) > 200
     built, other = E.events_of_lines(df, S.syscall_dimension(spark))

@@ -103,14 +103,15 @@ class NoiseConfig:
         return starts(path, [*self.extra, *NOISE]) | ends(path, [".so", "ld.so.cache"]) | path.contains(".so.")
 
 
-def danger_labels(exe: Column, cmdline: Column) -> Column:
-    """Sorted distinct reasons why a command looks dangerous."""
+def danger_labels(exe: Column, cmdline: Column, *more: Column) -> Column:
+    """Sorted distinct reasons why a command looks dangerous; `more` are reasons of the caller's own, null where they don't apply.
+    They are joined here, as a second copy of the patterns in a plan makes a method that the JVM doesn't compile."""
     both, base = F.concat_ws(" ", cmdline, exe), basename(exe)
     program = F.lit(None).cast("string")
     for name, label in reversed(DANGER_PROGRAMS.items()):
         program = F.when(base == name, label).otherwise(program)
     program = F.when(base.isin(*DANGER_PROGRAMS), program).when(base.startswith("mkfs"), "filesystem format")
-    found = [program, *[F.when(holds(both, list(parts)) & both.rlike(U + p), label) for (p, label), parts in zip(DANGER_PATTERNS, DANGER_PARTS, strict=True)], F.when(starts(exe, WORLD_WRITABLE), "binary in world-writable dir")]
+    found = [program, *[F.when(holds(both, list(parts)) & both.rlike(U + p), label) for (p, label), parts in zip(DANGER_PATTERNS, DANGER_PARTS, strict=True)], F.when(starts(exe, WORLD_WRITABLE), "binary in world-writable dir"), *more]
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
 
 

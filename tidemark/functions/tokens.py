@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 FIELD = re.compile(rf'([^{SPACE}=]+)=("[^"\\]*+(?:\\.[^"\\]*+)*+"|\([^)]*\)|[^{SPACE}]+)')
 HEADER_END = re.compile(rf"\):[{SPACE}]*")
+HEX = re.compile("[0-9A-Fa-f]+")
+ARGUMENT = re.compile(r"a([0-9]{1,9})(?:\[([0-9]{1,9})\])?")
 PAM = re.compile(r"\bmsg='([^']*)'")
 
 
@@ -29,6 +31,29 @@ def pairs_of(line: str) -> list[tuple[str, str]]:
     return found + FIELD.findall(inside[1]) if inside else found
 
 
+def argument_text(value: str) -> str:
+    """`functions.text.decode` of one argument, with NUL bytes kept."""
+    if len(value) >= 2 and value[0] == value[-1] == '"':
+        return value[1:-1]
+    if value in ("(null)", "(none)", "?"):
+        return ""
+    return bytes.fromhex(value).decode("utf-8", "replace") if len(value) % 2 == 0 and HEX.fullmatch(value) else value
+
+
+def argument_line(pairs: list[tuple[str, str]]) -> str:
+    """`functions.text.command_line`: the arguments in order, each whole or from its chunks."""
+    whole: dict[int, list[str]] = {}
+    chunks: dict[int, list[tuple[int, str]]] = {}
+    for key, value in dict(pairs).items():
+        if place := ARGUMENT.fullmatch(key):
+            if place[2]:
+                chunks.setdefault(int(place[1]), []).append((int(place[2]), argument_text(value)))
+            else:
+                whole.setdefault(int(place[1]), []).append(argument_text(value))
+    shown = lambda i: "".join(text for _, text in sorted(chunks[i])) if i in chunks else max(whole[i])
+    return " ".join(shown(i) for i in sorted(whole.keys() | chunks.keys()))
+
+
 def flat_lists(rows: list) -> tuple[pa.Array, list]:
     """Offsets of the rows' items, and all items."""
     return pa.array([0, *itertools.accumulate(map(len, rows))], pa.int32()), list(itertools.chain.from_iterable(rows))

@@ -73,7 +73,7 @@ def staple(records: DataFrame) -> DataFrame:
         F.flatten(F.transform(listed(F.col("pairs"), kind == "EXECVE"), lambda e: e["x"])).alias("argv"),
         F.transform(listed(F.col("value"), F.lit(True)), lambda e: e["x"]).alias("raw"),
     )
-    return grouped.where("has_syscall")
+    return grouped.where("has_syscall").withColumn("argv_line", T.command_line(F.col("argv"))).drop("argv")
 
 
 def last_verdicts(records: DataFrame) -> DataFrame:
@@ -105,7 +105,6 @@ def syscall_events(stapled: DataFrame, dimension: DataFrame, verdicts: DataFrame
     dropped = named & (noise.is_excluded(path) | (noise.is_noise(path) & ~is_sensitive(path)))
     df = df.where(F.col("is_exec") | F.col("has_key") | (followed & ~dropped))
 
-    df = df.withColumn("argv_line", T.command_line(F.col("argv")))
     df = df.withColumn("typed", F.when(F.col("argv_line") != "", F.col("argv_line")).otherwise(T.decode(F.col("proctitle"))))
     df = df.withColumn("exe", F.coalesce(F.nullif(T.unquote(F.col("s_exe")), F.lit("")), F.substring_index("typed", " ", 1))).withColumn("cmdline", F.coalesce(F.nullif(F.col("typed"), F.lit("")), T.unquote(F.col("s_comm"))))
     kind = F.when(F.col("is_exec"), "exec").when(F.col("syscall_kind").isin("other", "exec"), "watch").otherwise(F.col("syscall_kind"))
@@ -117,8 +116,7 @@ def syscall_events(stapled: DataFrame, dimension: DataFrame, verdicts: DataFrame
     within = F.col("auth_epoch") - F.col("epoch")
     denied = F.col("is_exec") & T.basename(F.col("exe")).isin(*ESCALATION_TOOLS) & ~F.col("auth_ok") & (within >= 0) & (within < AUTH_WINDOW)
     denied = F.coalesce(denied, F.lit(False))
-    danger = danger_labels(F.col("exe"), F.col("cmdline"))
-    danger = F.when(denied, F.array_sort(F.array_union(danger, F.array(F.lit("authentication failed"))))).otherwise(danger)
+    danger = danger_labels(F.col("exe"), F.col("cmdline"), F.when(denied, "authentication failed"))
     signed = lambda c: F.pmod(c + 2147483648, F.lit(4294967296)) - 2147483648
     return df.select(
         T.show_epoch(F.col("epoch")).alias("ts"), "epoch", "pid", T.unsigned(T.integer(F.col("s_ppid"), 0)).alias("ppid"), T.integer(T.unquote(F.col("s_uid")), -1).alias("uid"), "kind",

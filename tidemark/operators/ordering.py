@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.storage import save
 
-#: Rows of a range partition, about.
+#: Rows of a range partition, about, and the fewest that are worth a task of their own where cores would be idle.
 RANGE_ROWS = 1 << 17
+FEWEST_ROWS = 1 << 13
 
 
 def placed_rows(df: DataFrame, order: list[str | Column], rows_each: int) -> DataFrame:
-    """df in range partitions of about rows_each rows, sorted and written, with at_part and at_row, a row's place in its partition."""
-    parts = max(1, -(-df.count() // rows_each))
+    """df in range partitions of about rows_each rows, or fewer where that would leave cores without one, sorted and
+    written, with at_part and at_row, a row's place in its partition."""
+    rows = df.count()
+    parts = max(1, -(-rows // rows_each), min(df.sparkSession.sparkContext.defaultParallelism, rows // FEWEST_ROWS))
     dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return save(dealt.select("*", F.spark_partition_id().alias("at_part"), F.monotonically_increasing_id().alias("at_row")))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.tokens import flat_lists, pair_lists, pairs_of
+from tidemark.functions.tokens import argument_line, flat_lists, pairs_of
 from tidemark.operators.events import PICKED, parse_records, staple
 from tidemark.operators.storage import save
 
@@ -27,9 +27,11 @@ _AT = "struct<file: string, line_no: bigint>"
 _PICKS = [f"s_{name}" for name in PICKED]
 _OTHERS = {"PATH": ("name", "path_name"), "PROCTITLE": ("proctitle", "proctitle"), "SOCKADDR": ("saddr", "saddr")}
 _TEXTS = [*_PICKS, *(column for _, column in _OTHERS.values())]
+#: The columns of `events.staple`.
+STAPLED = ["host", "audit_id", "epoch", "first_at", "has_syscall", "has_execve", *_TEXTS, "argv_line", "raw"]
 _SCHEMA = (
     f"host string, audit_id string, epoch double, first_at {_AT}, has_syscall boolean, has_execve boolean, {', '.join(c + ' string' for c in _TEXTS)}, "
-    "argv array<struct<k: string, v: string>>, lines array<struct<file: string, line_no: bigint, value: string>>"
+    "argv_line string, lines array<struct<file: string, line_no: bigint, value: string>>"
 )
 _ITEM = pa.struct([("file", pa.string()), ("line_no", pa.int64()), ("value", pa.string())])
 
@@ -50,17 +52,17 @@ def _row(key: tuple[str, str], epoch: float, records: list[tuple]) -> tuple:
         elif kind in _OTHERS:
             field, column = _OTHERS[kind]
             picks[column] = dict(pairs_of(value)).get(field, picks[column])
-    return (*key, epoch, records[0][:2], "SYSCALL" in kinds, "EXECVE" in kinds, *picks.values(), argv, [r[:3] for r in records])
+    return (*key, epoch, records[0][:2], "SYSCALL" in kinds, "EXECVE" in kinds, *picks.values(), argument_line(argv), [r[:3] for r in records])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["host", "audit_id", "epoch", "first_at", "has_syscall", "has_execve", *_TEXTS, "argv", "lines"]
+    names = ["host", "audit_id", "epoch", "first_at", "has_syscall", "has_execve", *_TEXTS, "argv_line", "lines"]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
     offsets, items = flat_lists(columns[-1])
     arrays = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())]
     first = [pa.array([x[0] for x in columns[3]], pa.string()), pa.array([x[1] for x in columns[3]], pa.int64())]
     arrays += [pa.StructArray.from_arrays(first, names=["file", "line_no"]), pa.array(columns[4], pa.bool_()), pa.array(columns[5], pa.bool_())]
-    arrays += [pa.array(c, pa.string()) for c in columns[6:-2]] + [pair_lists(list(columns[-2]))]
+    arrays += [pa.array(c, pa.string()) for c in columns[6:-1]]
     parts = [pa.array([x[i] for x in items], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))]
     arrays.append(pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, fields=list(_ITEM))))
     return pa.RecordBatch.from_arrays(arrays, names=names)
@@ -95,7 +97,8 @@ def staple_lines(lines: DataFrame, most_open: int = MOST_OPEN) -> DataFrame:
     rows = save(rows.withColumn("id_hash", F.xxhash64("host", "audit_id")))
     several = save(rows.groupBy("id_hash").count().where("count > 1").select("id_hash"))
     whole = rows.join(several, "id_hash", "left_anti").where("has_syscall")
+    whole = whole.withColumn("raw", F.transform("lines", lambda x: x["value"])).select(STAPLED)
+    if several.isEmpty():
+        return whole
     parted = rows.join(several, "id_hash", "left_semi").select(F.explode("lines").alias("l")).select("l.*")
-    whole = whole.withColumn("raw", F.transform("lines", lambda x: x["value"]))
-    joined = staple(parse_records(parted))
-    return whole.select(joined.columns).unionByName(joined)
+    return whole.unionByName(staple(parse_records(parted)).select(STAPLED))
