@@ -5,6 +5,7 @@ any other path's kinds are fixed when it is first stained. So who holds what, fr
 on, is a smallest fixpoint: first when each process and path is tainted at all (which tells who
 stained a path), then per kind. Each round joins what is new with the events and keeps the earliest
 position; the number of rounds is the number of hops, not of events. Flows follow relationally.
+With a carrier cap, the parts that an eviction changes are taken from operators/taint_capped.py.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import carrier_tokens, is_archive, is_network_sink, source_kinds
+from tidemark.operators.fixpoint import fixpoint
 from tidemark.operators.hosts import own_pid
 from tidemark.operators.storage import save
+from tidemark.operators.taint_capped import capped
 from tidemark.schemas import taint_label
 
 _NUMBER = "host_no"
@@ -39,25 +42,6 @@ def _tokens(events: DataFrame) -> Column:
     return F.transform(words, _of_host) if _NUMBER in events.columns else words
 
 
-def _fixpoint(start: DataFrame, grow, keys: list[str]) -> DataFrame:
-    """The smallest fixpoint over rows (keys, pos, and what else is in start): the earliest row of each key that
-    start or grow gives. grow(fresh) derives rows from those that were new in the last round; a round
-    writes one table, and every eighth joins what is known into one."""
-    earliest = lambda df: df.groupBy(*keys).agg(F.min(F.struct("pos", *[c for c in df.columns if c not in (*keys, "pos")])).alias("row")).select(*keys, "row.*")
-    fresh = known = save(earliest(start))
-    rounds = 0
-    while True:
-        old = known.groupBy(*[F.col(k).alias(f"old_{k}") for k in keys]).agg(F.min("pos").alias("old_pos"))
-        match = [F.col(k).eqNullSafe(F.col(f"old_{k}")) for k in keys]
-        found = earliest(grow(fresh).select(start.columns))
-        fresh = save(found.join(old, match, "left").where("old_pos is null or pos < old_pos").select(start.columns))
-        if fresh.isEmpty():
-            return save(earliest(known))
-        known, rounds = known.unionByName(fresh), rounds + 1
-        if rounds % 8 == 0:
-            known = save(earliest(known))
-
-
 def first_taint(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pid, pos) from which a process is tainted, and (path, pos, stainer) from which a path that is no source is."""
     staged = events.where("kind = 'file' and size(own_kinds) = 0").select(F.col("pid").alias("toucher"), F.col("target").alias("file"), F.col("pos").alias("at"))
@@ -73,7 +57,7 @@ def first_taint(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         stained = staged.join(pids, F.col("toucher") == F.col("pid")).where("pos < at").select(no_pid.alias("pid"), F.col("file").alias("path"), F.col("at").alias("pos"), F.col("toucher").alias("stainer"))
         return born.unionByName(adopted).unionByName(stained)
 
-    reached = _fixpoint(read.unionByName(argued).select("pid", no_path, "pos", no_pid.alias("stainer")), grow, ["pid", "path"])
+    reached = fixpoint(read.unionByName(argued).select("pid", no_path, "pos", no_pid.alias("stainer")), grow, ["pid", "path"])
     return reached.where("path is null").select("pid", "pos"), reached.where("path is not null").select("path", "pos", "stainer")
 
 
@@ -96,13 +80,14 @@ def taint_by_kind(events: DataFrame, paths: DataFrame) -> DataFrame:
         argued = tokens.join(grown, "path").where("grown < at").select(F.col("namer").alias("pid"), "kind_rank", F.col("at").alias("pos"))
         return born.unionByName(adopted).unionByName(argued)
 
-    return _fixpoint(read.unionByName(named), grow, ["pid", "kind_rank"])
+    return fixpoint(read.unionByName(named), grow, ["pid", "kind_rank"])
 
 
-def taint_flows(events: DataFrame, chains: DataFrame, exec_clears_taint: bool = False) -> DataFrame:
+def taint_flows(events: DataFrame, chains: DataFrame, exec_clears_taint: bool = False, carrier_cap: int | None = None) -> DataFrame:
     """Flows of events (pos, seq, pid, ppid, kind, target, cmdline, success): one per sink and kind, with
     `ord` (pos, kind_rank). With exec_clears_taint, a process that execs anew keeps only what it
-    inherits or names: each span between execs is a process of its own."""
+    inherits or names: each span between execs is a process of its own. With carrier_cap, a host (all events, if
+    they have no host) remembers so many tainted paths, and the one that came first goes when there is one more."""
     used = save(_relevant(events))
     if exec_clears_taint:
         used, real = _by_exec(used)
@@ -131,7 +116,10 @@ def taint_flows(events: DataFrame, chains: DataFrame, exec_clears_taint: bool =
     first = used.where("kind = 'file' and size(own_kinds) > 0").select("pid", "pos", F.col("target").alias("path")).unionByName(tokens.select("pid", "pos", "path"))
     origins = first.groupBy("path").agg(F.min_by("pid", "pos").alias("origin")).unionByName(paths.select("path", F.col("stainer").alias("origin")))
     both = wrote.select("pos", "seq", "pid", "target", "carrier", "kind_rank", "sink_kind").unionByName(sent.select("pos", "seq", "pid", "target", "carrier", "kind_rank", "sink_kind"))
-    both = both.join(origins, F.col("carrier") == F.col("path"), "left").withColumn("origin", F.coalesce("origin", "pid"))
+    both = both.join(origins, F.col("carrier") == F.col("path"), "left").withColumn("origin", F.coalesce("origin", "pid")).drop("path")
+    if carrier_cap is not None:
+        host = F.col(_NUMBER) if _NUMBER in events.columns else F.lit(0).cast("long")
+        both = capped(used.withColumn("host", host), _tokens(used), both, pids, paths, carrier_cap)
     if exec_clears_taint:
         for c in ("pid", "origin"):
             both = both.join(real.select(F.col("node").alias(c), F.col("real_pid").alias(f"real_{c}")), c, "left").withColumn(c, F.col(f"real_{c}")).drop(f"real_{c}")

@@ -16,6 +16,7 @@ from tidemark.operators.rules import Rule, confirm_taints, findings
 from tidemark.operators.storage import save
 from tidemark.operators.syscalls import syscall_dimension
 from tidemark.operators.taint import taint_flows
+from tidemark.operators.taint_fold import CARRIER_CAP
 from tidemark.sources.logs import parse_jsonl, read_lines, split_lines
 
 
@@ -32,16 +33,17 @@ class Analysis:
     auth_failures: DataFrame | None = None
 
 
-def analyze(events: DataFrame, rules: list[Rule] | None = None, exec_clears_taint: bool = False, confirm: bool = False, errors: DataFrame | None = None, auth_failures: DataFrame | None = None) -> Analysis:
+def analyze(events: DataFrame, rules: list[Rule] | None = None, exec_clears_taint: bool = False, confirm: bool = False, carrier_cap: int | None = None, errors: DataFrame | None = None, auth_failures: DataFrame | None = None) -> Analysis:
     """events with pos, their order, and maybe host: pids in tree, paths, chains, findings and flows are then numbers over
-    all hosts (operators/hosts.py), incidents name theirs. confirm: findings also list the kinds that their process leaked."""
+    all hosts (operators/hosts.py), incidents name theirs. confirm: findings also list the kinds that their process leaked.
+    carrier_cap: so many tainted paths are remembered per host; None for all, analyze_log and analyze_jsonl keep CARRIER_CAP."""
     hosts = save(number_hosts(events)) if "host" in events.columns else None
     given, events = events, events if hosts is None else keyed(events, hosts)
     tree = save(build_tree(events))
     paths = save(ancestor_paths(tree, save))
     lines = save(chains(tree, paths))
     found = findings(events, rules)
-    flows = save(taint_flows(events, lines, exec_clears_taint))
+    flows = save(taint_flows(events, lines, exec_clears_taint, carrier_cap))
     found = confirm_taints(found, flows) if confirm else found
     incidents = correlate(found, flows, lines)
     if hosts is not None:
@@ -57,9 +59,9 @@ def analyze_lines(lines: DataFrame, noise: NoiseConfig | None = None, calls: dic
 
 
 def analyze_log(spark: SparkSession, path: str, **options) -> Analysis:
-    return analyze_lines(read_lines(spark, path), **options)
+    return analyze_lines(read_lines(spark, path), **{"carrier_cap": CARRIER_CAP, **options})
 
 
 def analyze_jsonl(spark: SparkSession, path: str, **options) -> Analysis:
     events, errors = parse_jsonl(read_lines(spark, path))
-    return analyze(save(events.drop("extra")), errors=errors, **options)
+    return analyze(save(events.drop("extra")), errors=errors, **{"carrier_cap": CARRIER_CAP, **options})

@@ -411,6 +411,14 @@ def tnt_flows(spark, sf_dir):
     return flows.select(F.col("ord.pos").alias("pos"), F.col("taint.kind").alias("kind"), "sink_pid", "origin_pid", "sink_seq", "sink_kind", "sink_target", "chain", "carrier")
 
 
+@query()
+def tnt_carrier_cap(spark, sf_dir):
+    """Taint where 64 paths are remembered, so that eviction decides. It has no SQL, tests hold it against a fold."""
+    events = save(audit_events(spark, sf_dir))
+    flows = taint_flows(events, _tree(spark, sf_dir)[2], carrier_cap=64)
+    return flows.select(F.col("ord.pos").alias("pos"), F.col("taint.kind").alias("kind"), "sink_pid", "origin_pid", "sink_seq", "sink_kind", "sink_target", "chain", "carrier")
+
+
 @query(_FLOWS + f""", {_FOUND}, leaked as (select sink_pid as pid, array_to_string(list_sort(list_distinct(list(kind))), ',') as taints from flows group by 1)
 select rule_id, seq, f.pid, coalesce(taints, '') as taints from found f left join leaked l on f.pid = l.pid""")
 def fn_confirm_taints(spark, sf_dir):
