@@ -63,3 +63,15 @@ def test_recall_on_the_test_table(spark, sf_dir):
         if len(lines) > 2:
             wanted, reached = wanted + len(lines), reached + left[i]
     assert wanted > 20 and reached >= 0.9 * wanted
+
+
+@pytest.mark.parametrize(("length", "part"), [(3, slice(0, 2)), (3, slice(1, 3)), (4, slice(1, 3)), (6, slice(2, 4))])
+def test_runs_whose_parts_stood_before(spark, length, part):
+    """All lines of a run go from its second place, though some of them stand in an earlier document between other lines."""
+    rng = random.Random(length)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    runs = [[word() for _ in range(length)] for _ in range(300)]
+    around = lambda lines: "\n".join([word(), word(), *lines, word(), word()])
+    docs = [(i, around(run[part])) for i, run in enumerate(runs)] + [(1000 + i, around(run)) for i, run in enumerate(runs)] + [(2000 + i, around(run)) for i, run in enumerate(runs)]
+    removed = {r["doc_id"]: r["n_removed"] for r in remove_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(removed[i] == 0 and removed[1000 + i] in (0, 2, 3) and removed[2000 + i] == length for i in range(300))

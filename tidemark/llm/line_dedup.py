@@ -4,11 +4,11 @@ Lines are hashed, and a hash rolls over every two neighbouring ones. A boundary
 rolled hash is no larger than one of its two neighbours, so it depends on four lines alone and moves with
 the content; of any three lines in a row, two at least stand at a boundary. The chunk of a boundary is its
 two lines. Where it occurs again, in another document or further down, it is compared with its first
-occurrence by (doc_id, line), and grows by the line before and the line behind if these are alike
-too: neighbouring chunks touch, so that every line of a repeated run of three or more is reached, unless part of the
-run stands in an earlier document in other surroundings: then its chunks are compared with that place, and a line at
-the run's end may stay. Last, the bytes of each line found are compared with those of the line it repeats, and lines
-that are equal go. The first occurrence stays.
+occurrence by (doc_id, line), and grows by the line before and the line behind if these are alike too. Where one of
+them isn't, it grows by it if the chunk has occurred with that line before: the first occurrence of the chunk may stand
+in other surroundings. Of any two neighbouring chunks of two lines one is at a boundary, the same one wherever the three lines stand, so
+that every line of a repeated run of three or more is reached. Last, the bytes of each line found are compared with those of the line it
+repeats, and lines that are equal go. The first occurrence stays.
 
 A run of two lines is found by chance only (a little over half of the time), or where it begins or ends a text. A chunk that
 overlaps its own first occurrence stays. A null text stays null and has no lines; a single repeated
@@ -123,15 +123,26 @@ def repeated_lines(named: DataFrame) -> DataFrame:
     chunks = materialize(named.mapInArrow(_chunks, "doc_id long, line int, hash long, before long, after long"))
     place = F.struct("doc_id", "line", "before", "after")
     twice = materialize(chunks.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("hash", "first"))
-    again = maybe_in(chunks, "hash", members(twice, "hash")).join(twice, "hash").where("doc_id <> first.doc_id or line >= first.line + 2")
+    met = materialize(maybe_in(chunks, "hash", members(twice, "hash")).join(twice, "hash"))
     # within one text, a chunk does not grow into its own first occurrence
     left = "before <> 0 and before = first.before and (doc_id <> first.doc_id or line >= first.line + 3)"
     steps = f"filter(array(-1, 0, 1, 2), s -> s in (0, 1) or s = -1 and {left} or s = 2 and after <> 0 and after = first.after)"
-    lines = again.select("doc_id", "line", "first", F.explode(F.expr(steps)).alias("step"))
+    again = met.where("doc_id <> first.doc_id or line >= first.line + 2").select("doc_id", "line", "first", F.explode(F.expr(steps)).alias("step"))
+    lines = again.unionByName(_elsewhere(met, "before", -1)).unionByName(_elsewhere(met, "after", 2))
     lines = lines.select("doc_id", (F.col("line") + F.col("step")).alias("line"), F.struct(F.col("first.doc_id").alias("first_doc"), (F.col("first.line") + F.col("step")).alias("first_line")).alias("first"))
     return lines.groupBy("doc_id", "line").agg(F.min("first").alias("first")).select("doc_id", "line", "first.*")
 
 
+def _elsewhere(met: DataFrame, side: str, step: int) -> DataFrame:
+    """Repeated chunks whose line on one side is not that of the chunk's first occurrence, with the first one that has the same
+    line there: the chunk grows by it."""
+    place = F.struct("doc_id", "line", "before", "after")
+    other = met.where(f"{side} <> 0 and {side} <> first.{side}").drop("first")
+    firsts = other.groupBy("hash", side).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
+    apart = 3 if step < 0 else 2
+    return other.join(firsts, ["hash", side]).where(f"doc_id <> first.doc_id or line >= first.line + {apart}").select("doc_id", "line", "first", F.lit(step).alias("step"))
+
+
 def remove_repeated_lines(docs: DataFrame, carry: list[str] | None = None, texts: bool = True) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_lines, n_removed, kept_sha256, with texts kept_text, and the
     columns in carry as a struct row_columns."""
