@@ -142,7 +142,7 @@ class StreamSession:
         own = E.last_verdicts(other).withColumn("at", F.lit(None).cast("struct<file:string,line_no:bigint>"))
         verdicts = self._store(version, "verdicts", own.unionByName(state["verdicts"].join(own.select("auth_host", "auth_pid"), ["auth_host", "auth_pid"], "left_anti").select(own.columns)))
 
-        both = E.syscall_events(E.staple(closed), self.dimension, verdicts.drop("at"), self.noise).unionByName(E.system_events(other))
+        both = E.with_danger(E.syscall_events(E.staple(closed), self.dimension, verdicts.drop("at"), self.noise).unionByName(E.system_events(other)))
         both = save(both.join(state["window"].select("host", "audit_id").distinct(), ["host", "audit_id"], "left_anti"))
         hosts = self._store(version, "hosts", number_hosts(both, state["hosts"]))
         # numbers over all hosts, less those of the hosts before, behind the last position of the host
