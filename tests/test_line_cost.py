@@ -9,7 +9,10 @@ from tidemark.functions.tokens import FIELD, pairs_of
 from tidemark.operators import events as E
 from tidemark.operators import staple as ST
 from tidemark.operators import syscalls as S
-from tidemark.plans.bindings import audit_lines, log_lines
+from tidemark.operators.process_tree import ancestor_paths, build_tree, chains
+from tidemark.operators.storage import save
+from tidemark.operators.taint import taint_flows
+from tidemark.plans.bindings import audit_events, audit_lines, log_lines
 from tidemark.sources.logs import line_class
 
 
@@ -49,3 +52,11 @@ def test_short_cuts_give_what_the_patterns_give(spark):
         assert df.where(~got.eqNullSafe(want)).collect() == []
     for body in ["a=b c=d", 'a="x y" b=(c d) e', "a=\x0bb\x0cc=d\re=f", "a=b\x1cc=d\x1fe=f", 'k="a\\"b" z=1', "=x a==b"]:
         assert pairs_of("h): " + body) == FIELD.findall(body)
+
+
+def test_command_lines_are_cut_once(spark, sf_dir):
+    """No plan of a fixpoint's round or of flows cuts command lines into words again."""
+    events = save(audit_events(spark, sf_dir))
+    tree = save(build_tree(events))
+    flows = taint_flows(events, save(chains(tree, ancestor_paths(tree, save))))
+    assert "split(" not in flows._jdf.queryExecution().optimizedPlan().toString() and flows.count() > 0
